@@ -1,0 +1,188 @@
+"""Operator 6: secret scans, in DataFrame functions only.
+
+Three base kinds of span come from patterns (keyword assignments, access keys,
+long hex runs). The method adds ``entropy`` spans: candidate strings slide a
+window through their characters, an ``aggregate`` keeps the counts of the
+window's characters and the sum of their c*log2(c) in whole micro-bits, changed
+by the entering and the leaving character only, and a candidate whose largest
+window entropy reaches its character class's threshold is reported unless an
+allow-list pattern matches it. Spark's ``split`` on a pattern gives the text
+between matches, so match offsets are running sums of lengths.
+
+Defined results: a null or empty text has no spans; kinds may overlap; equal
+rows give equal results; offsets are code points, end exclusive.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.llm.store import documents
+
+#: The base patterns (fixed values); assign counts where its value, group 2, has 8 characters or more.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{12,}"
+HEX = r"[0-9a-f]{32,}"
+LEAST_VALUE = 8
+#: Candidates of the entropy scan: runs of key characters that have a digit and a letter.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20
+#: Character classes, tried in this order, and the window entropy (bits) that makes a candidate a secret.
+CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[0-9A-Za-z]+$", 3.6), ("base64", r"^[0-9A-Za-z+/=_-]+$", 3.8)]
+#: What looks like a key and is none: UUIDs, dates, separators, words joined by hyphens or underscores.
+ALLOW = [
+    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9:_-]*$",
+    r"^[=_/+-]+$",
+    r"^[A-Za-z]+([_/-][A-Za-z]+)*[_/-]?[0-9]{0,4}$",
+    r"(?i)example|placeholder|changeme|xxxxx|00000000",
+]
+_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+_MICRO = 1_000_000
+_GAIN = [0, *(round(c * math.log2(c) * _MICRO) for c in range(1, WINDOW + 1))]
+KINDS = ["assign", "access", "hex", "entropy"]
+_SPANS = "array<struct<start:int,end:int,kind:int>>"
+
+
+def entropy(codes: Column) -> Column:
+    """Largest Shannon entropy, in micro-bits, of the windows over ``codes`` (1-based alphabet places).
+
+    The state holds the window's counts and their sum of c*log2(c); each step
+    changes one count up and, once the window is full, one down.
+    """
+    gain = F.array(*[F.lit(g).cast("long") for g in _GAIN])
+    start = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 40).cast("long").alias("least"))
+
+    def change(counts: Column, total: Column, place: Column, by: int) -> tuple[Column, Column]:
+        now = F.get(counts, place - 1)
+        return F.transform(counts, lambda c, k: F.when(k == place - 1, c + by).otherwise(c)), total + F.get(gain, now + by) - F.get(gain, now)
+
+    def step(s: Column, i: Column) -> Column:
+        counts, total = change(s["counts"], s["sum"], F.get(codes, i), 1)
+        grown = F.struct(counts.alias("counts"), total.alias("sum"))
+        full = F.transform(F.array(grown), lambda g: F.struct(*[x.alias(n) for x, n in zip(change(g["counts"], g["sum"], F.get(codes, i - WINDOW), -1), ("counts", "sum"), strict=True)]))
+        after = F.when(i >= WINDOW, F.get(full, F.lit(0))).otherwise(grown)
+        return F.get(F.transform(F.array(after), lambda a: F.struct(a["counts"].alias("counts"), a["sum"].alias("sum"), F.when(i >= WINDOW - 1, F.least(s["least"], a["sum"])).otherwise(s["least"]).alias("least"))), F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.floor((F.lit(_GAIN[WINDOW]).cast("long") - s["least"]) / WINDOW))
+
+
+def _is_secret(candidate: Column) -> Column:
+    allowed = F.lit(False)
+    for pattern in ALLOW:
+        allowed = allowed | candidate.rlike(pattern)
+    least = F.lit(None).cast("long")
+    for _, pattern, bits in reversed(CLASSES):
+        least = F.when(candidate.rlike(pattern), F.lit(round(bits * _MICRO)).cast("long")).otherwise(least)
+    codes = F.transform(F.sequence(F.lit(1), F.char_length(candidate)), lambda i: F.position(F.substring(candidate, i, F.lit(1)), F.lit(_ALPHABET)))
+    mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
+    return F.coalesce(F.when(mixed & ~allowed, F.get(F.transform(F.array(codes), entropy), F.lit(0)) >= least), F.lit(False))
+
+
+def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``row`` (the kept columns) and ``spans``: start, end and kind (place in KINDS), sorted."""
+    patterns = [ASSIGN, ACCESS, HEX, CANDIDATE]
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("body")).select("row", "body", *[F.regexp_extract_all("body", F.lit(p), F.lit(0)).alias(f"f{k}") for k, p in enumerate(patterns)])
+    between = found.select("row", *[f"f{k}" for k in range(4)], *[F.when(F.size(f"f{k}") > 0, F.transform(F.split("body", p, -1), F.char_length)).alias(f"b{k}") for k, p in enumerate(patterns)])
+    value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
+    good = [value, None, None, _is_secret]
+
+    def spans(k: int) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            match = F.get(F.col(f"f{k}"), i)
+            start = s["at"] + F.get(F.col(f"b{k}"), i)
+            end = start + F.char_length(match)
+            one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(k).alias("kind")))
+            return F.struct(end.alias("at"), (F.concat(s["out"], one) if good[k] is None else F.when(good[k](match), F.concat(s["out"], one)).otherwise(s["out"])).alias("out"))
+
+        none = F.array().cast(_SPANS)
+        some = F.aggregate(F.sequence(F.lit(0), F.size(f"f{k}") - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        return F.when(F.size(f"f{k}") > 0, some).otherwise(none)
+
+    return between.select("row", _by_start(F.concat(*[spans(k) for k in range(4)])).alias("spans"))
+
+
+def _by_start(spans: Column) -> Column:
+    """Sorted by start, then kind."""
+    moved = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return F.transform(moved, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+
+def _listed(spans: Column) -> Column:
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The documents' own columns with each stretch of spans replaced by ``mark``; ``n_chars``, where there is
+    such a column, follows the new text."""
+    found = scan(docs, docs.columns, text)
+    old = F.col("row").getField(text)
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = x["start"] >= s["at"]
+        return F.struct(
+            F.when(fresh, F.concat(s["kept"], F.substring(old, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["kept"]).alias("kept"),
+            F.greatest(s["at"], x["end"]).alias("at"),
+        )
+
+    new = F.aggregate("spans", F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), step, lambda s: F.concat(s["kept"], F.substring(old, s["at"] + 1, F.char_length(old))))
+    changed = found.select("row", F.when(F.size("spans") > 0, new).otherwise(old).alias("new"), (F.size("spans") > 0).alias("changed"))
+    own = lambda c: F.col("new") if c == text else F.when(F.col("changed"), F.char_length("new").cast(docs.schema[c].dataType)).otherwise(F.col("row").getField(c)) if c == "n_chars" else F.col("row").getField(c)
+    return changed.select(*[own(c).alias(c) for c in docs.columns])
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir), ["doc_id"])
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("row.doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB, with each window's entropy counted from scratch."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    matches = " UNION ALL ".join(
+        f"SELECT r, {k} AS kind, regexp_extract_all(body, {quoted(p)}) AS f, list_transform(regexp_split_to_array(body, {quoted(p)}), lambda x: length(x)) AS b FROM d"
+        for k, p in enumerate([ASSIGN, ACCESS, HEX, CANDIDATE])
+    )
+    classes = " ".join(f"WHEN regexp_matches(m, {quoted(p)}) THEN {round(bits * _MICRO)}" for _, p, bits in CLASSES)
+    allow = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in ALLOW)
+    gains = ", ".join(map(str, _GAIN))
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+raw AS ({matches}),
+m AS (
+  SELECT r, kind, f[i] AS m, CAST(list_sum(b[1:i]) AS BIGINT) + coalesce(CAST(list_sum(list_transform(f[1:i - 1], lambda x: length(x))) AS BIGINT), 0) AS s
+  FROM raw, unnest(generate_series(1, len(f))) AS t(i)
+), c AS (
+  SELECT DISTINCT m, CASE {classes} END AS least FROM m
+  WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({allow})
+), w AS (
+  SELECT m, least, i, substr(m, i + j, 1) AS ch, count(*) AS n
+  FROM c, unnest(generate_series(1, length(m) - {WINDOW - 1})) AS t(i), unnest(generate_series(0, {WINDOW - 1})) AS u(j)
+  GROUP BY ALL
+), e AS (
+  SELECT m FROM (SELECT m, least, i, sum(([{gains}])[n + 1]) AS g FROM w GROUP BY m, least, i)
+  GROUP BY m, least HAVING floor(({_GAIN[WINDOW]} - min(g)) / {float(WINDOW)}) >= least
+), k AS (
+  SELECT r, kind, s, s + length(m) AS e FROM m
+  WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(m, {quoted(ASSIGN)}, 2)) >= {LEAST_VALUE}) OR (kind = 3 AND m IN (SELECT m FROM e))
+), a AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
+    string_agg(([{names}])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base,
+    string_agg(([{names}])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans
+  FROM k GROUP BY r
+)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+ORACLE = _oracle()
