@@ -23,9 +23,11 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.llm.arrowtext import annotate, list_array
@@ -281,10 +283,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text"
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """Adds the plain text of each row's ids: words lower-cased as encoded, a space after each (null ids: null)."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def text_of(column: pd.Series) -> pd.Series:
         tool = codec(vocabulary)
         return column.map(lambda x: None if x is None else tool.decode(x))
