@@ -1,4 +1,336 @@
-"""The catalog's queries and their DuckDB twins."""
+"""The catalog's queries over the driver's tables, each with its DuckDB twin where SQL can say it.
 
-QUERIES: dict = {}
+``part`` stands for the catalog, the first lines of ``documents`` for accented
+titles, ``pages`` for captured responses, and ``events`` in arrival order for
+the outcome log.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.functions import text as tx
+from folioforge.functions.highlight import highlight
+from folioforge.operators import catalog as ca
+from folioforge.operators import index as ix
+from folioforge.operators import outcomes as oc
+from folioforge.operators import search as se
+from folioforge.operators import viewer as vi
+from folioforge.operators import writes as wr
+from folioforge.sources import responses as rs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def books_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").cast("string").alias("year"), F.lit("").alias("city"), F.col("p_type").alias("category"), F.lit("part").alias("source"))
+
+
+def books_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    first = F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 200)
+    return d.select(F.col("doc_id").alias("id"), first.alias("title"), F.col("source").alias("author"), F.lit("").alias("year"), F.lit("").alias("city"), F.col("lang").alias("category"), F.lit("documents").alias("source"))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq is the event id: events are numbered as they arrive."""
+    e = table(spark, sf_dir, "events")
+    reason = F.when(F.col("event_type") == "error", "http-403").when(F.col("event_type") == "view", "http-404").otherwise("ok")
+    return e.select(F.col("event_id").alias("seq"), F.col("event_id").alias("id"), reason.alias("reason"), F.col("event_type").alias("detail"), "ts")
+
+
+_BOOKS = "books AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, CAST(p_size AS VARCHAR) AS year, '' AS city, p_type AS category, 'part' AS source FROM part)"
+_DOCS = "books AS (SELECT doc_id AS id, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 200) AS title, source AS author, '' AS year, '' AS city, lang AS category FROM documents)"
+_LOG = "log AS (SELECT event_id AS seq, event_id AS id, ts, event_type AS detail, CASE event_type WHEN 'error' THEN 'http-403' WHEN 'view' THEN 'http-404' ELSE 'ok' END AS reason FROM events)"
+_QUOTED = "''".join("׳״'\"‘’“”`´".split("'"))
+_FOLD = f"trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(%s), '[\\x{{0591}}-\\x{{05c7}}]', '', 'g'), '{_QUOTED}', ''), '[\\x{{05be}}\\-\\x{{2010}}-\\x{{2015}}_/\\\\|,.;:()\\[\\]{{}}<>]+', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+_TOKENS = f"regexp_extract_all(strip_accents({_FOLD}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _ranked(books: str, phrases: list[tuple[str, bool]], columns: str, where: str = "", tail: str = "", score: bool = True) -> str:
+    """BM25 over the three columns in SQL, each phrase counted from the tokens."""
+    holds = " UNION ALL ".join(f"SELECT id, {i} AS phrase, weight FROM tok WHERE " + (f"starts_with(term, '{t}')" if p else f"term = '{t}'") for i, (t, p) in enumerate(phrases))
+    cols = " UNION ALL ".join(f"SELECT id, {w} AS weight, {_TOKENS % c} AS t FROM books" for c, w in (("title", "10.0e0"), ("author", "4.0e0"), ("category", "1.0e0")))
+    return f"""
+WITH {books}, cols AS ({cols}), tok AS (SELECT id, weight, unnest(t) AS term FROM cols),
+len AS (SELECT id, CAST(count(*) AS DOUBLE) AS d FROM tok GROUP BY id),
+tot AS (SELECT CAST((SELECT count(*) FROM books) AS DOUBLE) AS n, CAST((SELECT count(*) FROM tok) AS DOUBLE) AS t),
+hit AS (SELECT id, phrase, sum(weight) AS f FROM ({holds}) GROUP BY id, phrase),
+df AS (SELECT phrase, CAST(count(*) AS DOUBLE) AS df FROM hit GROUP BY phrase),
+idf AS (SELECT phrase, CASE WHEN ln((n - df + 0.5e0) / (df + 0.5e0)) > 0 THEN ln((n - df + 0.5e0) / (df + 0.5e0)) ELSE 1e-6 END AS idf, t / n AS mean FROM df, tot),
+sc AS (SELECT id, -sum(idf * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * d / mean))) AS score FROM hit JOIN idf USING (phrase) JOIN len USING (id) GROUP BY id HAVING count(*) = {len(phrases)})
+SELECT {columns}{', round(score, 9) AS score' if score else ''} FROM sc JOIN books USING (id) {where} {tail}"""
+
+
+_PAGE = "id, title, author, year, city, category"
+_ORDER = "ORDER BY round(score, 9), id LIMIT"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 9))
+
+
+def _index(books: DataFrame) -> ix.Index:
+    return ix.build(books)
+
+
+def _page(books: DataFrame, text: str, category: str = "", limit: int = 30, offset: int = 0) -> DataFrame:
+    """As ``search``, with scores rounded before the order, so that drift in the last digits cannot swap ties."""
+    found = _rounded(se.hits(_index(books), books, se.compile_query(text), category))
+    return found.select(*se.SEARCH_COLUMNS, "score").orderBy("score", "id").offset(offset).limit(limit)
+
+
+@query(_ranked(_BOOKS, [("blue", False), ("b", True)], _PAGE, "", _ORDER + " 30"))
+def search_ranked(spark, sf_dir):
+    return _page(books_part(spark, sf_dir), "blue b")
+
+
+@query(_ranked(_BOOKS, [("blue", False), ("b", True)], _PAGE, "WHERE category = (SELECT min(p_type) FROM part)", _ORDER + " 30"))
+def search_ranked_category(spark, sf_dir):
+    books = books_part(spark, sf_dir)
+    return _page(books, "blue b", books.agg(F.min("category")).first()[0])
+
+
+@query(_ranked(_BOOKS, [("b", True)], _PAGE, "", _ORDER + " 30 OFFSET 30"))
+def search_page2(spark, sf_dir):
+    return _page(books_part(spark, sf_dir), "b", offset=30)
+
+
+@query(f"SELECT count(*) AS total FROM ({_ranked(_BOOKS, [('blue', False), ('b', True)], 'id')})")
+def search_total(spark, sf_dir):
+    books = books_part(spark, sf_dir)
+    return se.total(_index(books), books, "blue b")
+
+
+@query(_ranked(_DOCS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
+def search_accented(spark, sf_dir):
+    return _page(books_doc(spark, sf_dir), "de é")
+
+
+@query(_ranked(_BOOKS, [("re", True)], "id, title, author, category", "", _ORDER + " 8"))
+def suggest(spark, sf_dir):
+    books = books_part(spark, sf_dir)
+    return _rounded(se.hits(_index(books), books, se.compile_query("re"))).select(*se.SUGGEST_COLUMNS, "score").orderBy("score", "id").limit(8)
+
+
+_MANY = {"q1": "blue b", "q2": "red", "q3": "brand 1", "q4": "green a"}
+
+
+@query(
+    "SELECT * FROM ("
+    + ") UNION ALL SELECT * FROM (".join(
+        f"SELECT '{q}' AS query_id, row_number() OVER (ORDER BY round(score, 9), id) AS rank, id, title, round(score, 9) AS score FROM ({_ranked(_BOOKS, p, 'id, title', '', '', True)}) QUALIFY rank <= 10"
+        for q, p in {"q1": [("blue", False), ("b", True)], "q2": [("red", True)], "q3": [("brand", False), ("1", True)], "q4": [("green", False), ("a", True)]}.items()
+    )
+    + ")"
+)
+def search_batch(spark, sf_dir):
+    books = books_part(spark, sf_dir)
+    return _rounded(se.search_many(_index(books), books, _MANY)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_BOOKS} SELECT {_PAGE} FROM books ORDER BY id LIMIT 30 OFFSET 60")
+def browse_all(spark, sf_dir):
+    return se.browse(books_part(spark, sf_dir), offset=60).drop("score")
+
+
+@query(f"WITH {_BOOKS} SELECT {_PAGE} FROM books WHERE category = (SELECT max(p_type) FROM part) ORDER BY id LIMIT 30")
+def browse_category(spark, sf_dir):
+    books = books_part(spark, sf_dir)
+    return se.browse(books, books.agg(F.max("category")).first()[0]).drop("score")
+
+
+@query(f"WITH {_BOOKS} SELECT count(*) AS total, count(*) FILTER (WHERE category = (SELECT max(p_type) FROM part)) AS of_category FROM books")
+def catalog_totals(spark, sf_dir):
+    books = books_part(spark, sf_dir)
+    top = books.agg(F.max("category")).first()[0]
+    return books.agg(F.count("*").alias("total"), F.count_if(F.col("category") == top).alias("of_category"))
+
+
+@query(f"WITH {_BOOKS} SELECT id, title, author, year, city, category, source, 'https://example.org/' || id AS viewer_url, 'https://example.org/pdf/' || id AS pdf_url, '/api/read/' || id AS proxy_url FROM books WHERE id = 17")
+def book_lookup(spark, sf_dir):
+    return ca.lookup(books_part(spark, sf_dir), 17, proxy=True)
+
+
+@query(f"""WITH {_BOOKS}, one AS (SELECT * FROM books WHERE id = 17)
+SELECT b.id, b.title, b.author, b.year, b.category, CASE WHEN b.author = one.author THEN 0 ELSE 1 END AS prio FROM books b, one
+WHERE b.id <> one.id AND (b.author = one.author AND b.author <> '' OR b.category = one.category AND b.category <> '' AND b.author <> one.author) ORDER BY prio, b.id LIMIT 50""")
+def related_author_then_category(spark, sf_dir):
+    return ca.related(books_part(spark, sf_dir), 17, 50)
+
+
+@query(f"WITH {_BOOKS} SELECT category, count(*) AS n FROM books WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 24")
+def category_histogram(spark, sf_dir):
+    return ca.histogram(books_part(spark, sf_dir))
+
+
+@query(f"WITH {_BOOKS} SELECT '' AS category, count(*) AS n, 0 AS prio FROM books UNION ALL SELECT * FROM (SELECT category, count(*) AS n, 1 AS prio FROM books WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 3)")
+def category_chips(spark, sf_dir):
+    return ca.chips(books_part(spark, sf_dir), 3)
+
+
+@query(f"WITH {_DOCS} SELECT id, {_FOLD % 'title'} AS normalized FROM books")
+def normalize_titles(spark, sf_dir):
+    return books_doc(spark, sf_dir).select("id", tx.normalize(F.col("title")).alias("normalized"))
+
+
+@query(f"WITH {_DOCS} SELECT id, {_FOLD % 'title'} AS expanded, array_to_string({_TOKENS % 'title'}, ' ') AS tokens FROM books")
+def expand_tokens(spark, sf_dir):
+    d = books_doc(spark, sf_dir).select("id", tx.expand(F.col("title")).alias("expanded"))
+    return d.select("id", "expanded", F.array_join(tx.index_tokens(F.col("expanded")), " ").alias("tokens"))
+
+
+_COLS = " UNION ALL ".join(f"SELECT id, '{c}' AS col, {_TOKENS % c} AS t FROM books" for c in ("title", "author", "category"))
+
+
+@query(f"WITH {_BOOKS}, cols AS ({_COLS}), tok AS (SELECT id, col, unnest(t) AS term FROM cols) SELECT col, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, count(DISTINCT id) AS n_rows FROM tok GROUP BY col")
+def postings_stats(spark, sf_dir):
+    p = ix.postings(books_part(spark, sf_dir))
+    return p.groupBy("col").agg(F.count("*").alias("n_tokens"), F.count_distinct("term").alias("n_terms"), F.count_distinct("id").alias("n_rows"))
+
+
+@query(f"WITH {_BOOKS}, cols AS ({_COLS}), tok AS (SELECT id, unnest(t) AS term FROM cols) SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM tok GROUP BY term")
+def term_df(spark, sf_dir):
+    return ix.build(books_part(spark, sf_dir)).terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {_LOG} SELECT DISTINCT id FROM (SELECT doc_id AS id FROM labels UNION ALL SELECT id FROM log WHERE reason IN ('http-404', 'dead-title'))")
+def known_ids(spark, sf_dir):
+    return oc.known_ids(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), outcomes(spark, sf_dir).select("id", "reason"))
+
+
+@query("SELECT i AS id FROM generate_series(1, 2000) AS t(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
+def pending_ids(spark, sf_dir):
+    return oc.pending_ids(spark, 1, 2000, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query(f"WITH {_LOG} SELECT reason, count(*) AS n, 100.0e0 * count(*) / sum(count(*)) OVER () AS share, min(seq) AS first_seq FROM log GROUP BY reason")
+def outcome_summary(spark, sf_dir):
+    return oc.summary(outcomes(spark, sf_dir))
+
+
+_TOTALS = "count(*) FILTER (WHERE reason = 'ok') AS found, count(*) FILTER (WHERE reason IN ('http-404', 'dead-title')) AS missing, count(*) FILTER (WHERE reason = 'http-403') AS failed, count(*) FILTER (WHERE reason = 'http-403') AS blocked, count(*) FILTER (WHERE reason = 'challenge') AS challenged, count(*) AS processed"
+
+
+@query(f"WITH {_LOG} SELECT {_TOTALS}, max(id) AS high_water, count(*) / 50.0e0 AS rate FROM log")
+def outcome_totals(spark, sf_dir):
+    return oc.totals(outcomes(spark, sf_dir), 50.0)
+
+
+@query(f"WITH {_LOG}, t AS (SELECT {_TOTALS} FROM log) SELECT *, CASE WHEN processed > 0 AND found = 0 THEN 3 WHEN challenged > 0 THEN 5 WHEN 1.0e0 * blocked / processed > 0.25e0 THEN 4 ELSE 0 END AS exit_code FROM t")
+def run_verdict(spark, sf_dir):
+    return oc.verdict(outcomes(spark, sf_dir))
+
+
+@query(f"WITH {_LOG} SELECT reason, CAST(row_number() OVER (PARTITION BY reason ORDER BY seq) AS INTEGER) AS place, seq, id, detail FROM log WHERE reason <> 'ok' QUALIFY place <= 3")
+def reason_samples(spark, sf_dir):
+    return oc.samples(outcomes(spark, sf_dir))
+
+
+_RUNS = f"""WITH {_LOG}, a AS (SELECT *, CASE WHEN reason = 'http-403' THEN 1 ELSE 0 END AS h, row_number() OVER (ORDER BY seq) AS seen FROM log),
+b AS (SELECT *, sum(1 - h) OVER (ORDER BY seq) AS soft, sum(h) OVER (ORDER BY seq) AS hard, count(*) FILTER (WHERE reason = 'ok') OVER (ORDER BY seq) AS found FROM a),
+c AS (SELECT seq, id, reason, CAST(seen AS BIGINT) AS seen, CAST(found AS BIGINT) AS found, CAST(hard AS BIGINT) AS hard, CAST(sum(h) OVER (PARTITION BY soft ORDER BY seq) AS BIGINT) AS consecutive FROM b)
+SELECT *, consecutive >= 4 OR (seen >= 60 AND found = 0 AND 1.0e0 * hard / seen > 0.8e0) AS tripped FROM c"""
+
+
+@query(f"SELECT * FROM ({_RUNS}) WHERE tripped ORDER BY seq LIMIT 1")
+def breaker_trip(spark, sf_dir):
+    return oc.trip(outcomes(spark, sf_dir), threshold=4)
+
+
+@query(_RUNS)
+def breaker_runs(spark, sf_dir):
+    return oc.breaker(outcomes(spark, sf_dir), threshold=4, chunk_rows=1000)
+
+
+@query(f"SELECT reason, count(*) AS n FROM (WITH {_LOG} SELECT * FROM log) WHERE seq <= (SELECT coalesce(min(seq), 9223372036854775807) FROM ({_RUNS}) WHERE tripped) GROUP BY reason")
+def outcomes_accepted(spark, sf_dir):
+    return oc.accepted(outcomes(spark, sf_dir), threshold=4).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LOG} SELECT time_bucket(INTERVAL '10 seconds', ts) AS window_start, {_TOTALS} FROM log GROUP BY 1")
+def progress_10s(spark, sf_dir):
+    return oc.progress(outcomes(spark, sf_dir))
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS seq, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def upsert_last_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "event_type", "value")
+    return wr.last_write_wins(e, "user_id")
+
+
+@query("""WITH n AS (SELECT user_id AS id, arg_max(event_type, event_id) AS title FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey NOT IN (SELECT id FROM n) UNION ALL SELECT id, title FROM n""")
+def upsert_catalog(spark, sf_dir):
+    old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    new = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("id"), F.col("event_type").alias("title"), F.col("event_id").alias("seq"))
+    return wr.upsert(old, new)
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
+
+
+@query("""SELECT page_id AS id, trim(regexp_replace(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&'), '&#x27;', ''''), '\\s+', ' ', 'g'), '[ :·|]+$', '')) AS page_title FROM pages""")
+def page_titles(spark, sf_dir):
+    seen = rs.inspect(_pages(spark, sf_dir))
+    title = F.get(F.filter("trace.candidates", lambda c: c["source"] == "<title>"), F.lit(0))["text"]
+    return seen.select("id", title.alias("page_title"))
+
+
+@query("SELECT 'not-hebrew' AS reason, count(*) AS n FROM pages")
+def page_reject_reasons(spark, sf_dir):
+    return rs.inspect(_pages(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_books(spark, sf_dir):
+    """Accepted under a profile for Latin script."""
+    latin = rs.ParseProfile(script="[A-Za-z]")
+    return rs.inspect(_pages(spark, sf_dir), profile=latin).where("book IS NOT NULL").select("book.*")
+
+
+@query("SELECT p_partkey AS id, regexp_replace(p_name, '(blue|red)', '<mark>\\1</mark>', 'gi') AS marked FROM part")
+def highlight_titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), highlight(F.col("p_name"), "blue red").alias("marked"))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'no framing restriction', true, 'framed'), (2, 'x-frame-options: sameorigin', false, 'proxied'), (3, 'csp frame-ancestors', false, 'link'), (4, 'probe returned 503', false, 'link'), (5, 'unreachable: timeout', false, 'proxied')) AS t(id, reason, iframe, shown)")
+def framing_verdict(spark, sf_dir):
+    rows = [(1, 200, {}, None, False), (2, 200, {"x-frame-options": "SAMEORIGIN"}, None, True), (3, 200, {"content-security-policy": "frame-ancestors 'self'"}, None, False), (4, 503, {}, None, False), (5, None, {}, "timeout", True)]
+    df = spark.createDataFrame(rows, "id long, status int, headers map<string,string>, error string, proxy boolean")
+    verdicts = vi.framing(df)
+    return verdicts.join(df.select("id", "proxy"), "id").select("id", "reason", "iframe", vi.viewer(F.col("iframe"), F.col("proxy")).alias("shown"))
+
+
+@query()
+def throttle_delay(spark, sf_dir):
+    e = outcomes(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("w"), F.pmod("user_id", F.lit(50))).alias("worker")), "seq")
+    return oc.throttle(e)
+
+
+@query("SELECT p_partkey AS id, concat_ws(' · ', nullif(p_brand, ''), nullif(CAST(p_size AS VARCHAR), ''), nullif(p_type, '')) AS line FROM part")
+def card_lines(spark, sf_dir):
+    b = books_part(spark, sf_dir)
+    return b.select("id", tx.card_line(F.col("author"), F.col("year"), F.col("city"), F.col("category")).alias("line"))
+
