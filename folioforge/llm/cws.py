@@ -61,8 +61,8 @@ def _unit(bits: Column) -> Column:
     return (bits + 0.5) / float(1 << 32)
 
 
-def draw(term: Column, weights: dict[str, Column], sample: int) -> dict[str, tuple[Column, Column]]:
-    """For each named weight: the value to minimise (null where the weight is 0) and the sample's code."""
+def draw(term: Column, logs: dict[str, Column], sample: int) -> dict[str, tuple[Column, Column]]:
+    """For each named logarithm of a weight (null for 0): the value to minimise and the sample's code."""
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     high = lambda h: F.shiftrightunsigned(h, 32)
     h1, h2, h3 = (F.xxhash64(term, F.lit(3 * sample + i)) for i in range(3))
@@ -70,15 +70,16 @@ def draw(term: Column, weights: dict[str, Column], sample: int) -> dict[str, tup
     log_c = F.log(-F.log(_unit(low(h2)) * _unit(high(h2))))
     b = _unit(low(h3))
     out = {}
-    for name, w in weights.items():
-        t = F.floor(F.log(w) / r + b)
-        out[name] = (F.when(w > 0, log_c - r * (t - b + 1)), term.bitwiseXOR(t))
+    for name, log_w in logs.items():
+        t = F.floor(log_w / r + b)
+        out[name] = (log_c - r * (t - b + 1), term.bitwiseXOR(t))
     return out
 
 
 def fingerprint_terms(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
     """From rows (keys, ``term`` as a long, weights): per key and weight the samples' codes, as ``<weight>_<k>``."""
     columns = []
+    terms = terms.select(*keys, "term", *[F.log(F.col(w)).alias(w) for w in weights])
     for k in range(samples):
         for name, (value, code) in draw(F.col("term"), {w: F.col(w) for w in weights}, k).items():
             columns.append(F.min_by(code, value).alias(f"{name}_{k}"))
