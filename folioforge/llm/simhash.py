@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,16 +275,19 @@ def group(docs: DataFrame, keep: list[str], text: str = "text", id: str = "doc_i
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how) -> DataFrame:
     """The documents' own columns, one document of each group: the one whose id is the group's smallest.
 
-    Rows that repeat that id give one row, chosen by the smallest hash of the text.
+    Rows without an id stay. Rows that repeat a kept id give one row, chosen by
+    the smallest hash of the text; texts meet for that only where ids repeat.
     """
-    grouped = group(docs, [], text, id, **how).select(F.col("row").getField(id).alias("_id"), "component_id").where("_id = component_id").select("_id").distinct()
+    grouped = group(docs, [], text, id, **how).select(F.col("row").getField(id).alias("_id"), "component_id")
+    dropped = cut(grouped.where("_id <> component_id").select("_id").distinct())
+    ids = docs.select(F.col(f"`{id}`").alias("_id"))
+    repeated = cut(ids.where("_id IS NOT NULL").groupBy("_id").count().where(F.col("count") > 1).select("_id").join(dropped, "_id", "left_anti"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.select(row.alias("row"), F.col(f"`{id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h")).join(grouped, "_id", "left_semi")
-    repeated = kept.groupBy("_id").agg(F.count("*").alias("_n"), F.min("_h").alias("_low")).where("_n > 1")
-    kept = kept.join(repeated, "_id", "left").where("_n IS NULL OR _h = _low")
-    alone = kept.where("_n IS NULL").select("row")
-    again = kept.where("_n IS NOT NULL").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("_h"))).where("_k = 1").select("row")
-    return alone.unionByName(again).select("row.*")
+    kept = docs.select(row.alias("row"), F.col(f"`{id}`").alias("_id")).join(dropped, "_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    again = kept.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.xxhash64(F.col("row").getField(text))).alias("row"))
+    return kept.join(repeated, "_id", "left_anti").select("row").unionByName(again.select("row")).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
