@@ -38,7 +38,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     n, low, high = rows.agg(F.count("*"), F.min("id"), F.max("id")).first()
     blocks = max(1, min(MOST_BLOCKS, (n or 0) // BLOCK_ROWS))
     width = max(1, ((high or 0) - (low or 0)) // blocks + 1)
-    block = lambda: F.coalesce(F.expr(f"(id - {low or 0}L) div {width}L"), F.lit(-1).cast("long"))  # noqa: E731  null ids come last
+    block = lambda c="id": F.coalesce(F.expr(f"({c} - {low or 0}L) div {width}L"), F.lit(-1).cast("long"))  # noqa: E731  null ids come last
     firsts = sorted(((r.block, r.id) for r in rows.groupBy(block().alias("block")).agg(F.max("id").alias("id")).collect()), reverse=True)
     sent = [(own, key, firsts[i - 1][0]) for i, (own, key) in enumerate(firsts)]
     spark = docs.sparkSession
@@ -47,12 +47,12 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     joined = placed.join(F.broadcast(heads), (F.col("block") == F.col("own")) & F.col("id").eqNullSafe(F.col("key")), "left")
     here = F.struct(F.col("block").alias("at"), F.lit(False).alias("guest"))
     there = F.struct(F.col("target").alias("at"), F.lit(True).alias("guest"))
-    dealt = joined.select("id", "text", "block", F.explode(F.when(F.col("own").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("id", "text", "block", "to.at", "to.guest")
+    dealt = joined.select("id", "text", F.explode(F.when(F.col("own").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("id", "text", "to.at", "to.guest")
     order = Window.partitionBy("at").orderBy("guest", F.desc_nulls_last("id"), "text")
     return (
-        dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest"), F.lead("block").over(order).alias("next_at"))
+        dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest"), F.lead("id").over(order).alias("next_id"))
         .where("NOT guest")
-        .select("id", "text", F.col("at").alias("block"), "place", "next_text", F.col("next_at").alias("next_block"), F.when(F.col("next_guest"), 1).otherwise(F.col("place") + 1).alias("next_place"))
+        .select("id", "text", F.col("at").alias("block"), "place", "next_text", block("next_id").alias("next_block"), F.when(F.col("next_guest"), 1).otherwise(F.col("place") + 1).alias("next_place"))
     )
 
 
