@@ -25,7 +25,7 @@ from folioforge.llm.arrowtext import annotate
 from folioforge.llm.bytewords import Words
 from folioforge.llm.store import cut, documents
 
-SAMPLE = 4000
+SAMPLE = 2500
 BITS = 16
 ROUNDS = 120
 
@@ -90,9 +90,10 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", id: str = "doc_
     grades = sorted(set(rows["grade"])) or [0.0]
     if len(grades) == 1:
         return Model(np.zeros(2 << BITS), np.zeros(0), grades)
-    counts = rows["bucket"].map(len).to_numpy()
-    row = np.repeat(np.arange(len(rows)), counts)
-    weights, thresholds = _train(row, np.concatenate(rows["bucket"].to_list()), np.concatenate(rows["value"].to_list()), rows["grade"].map(grades.index).to_numpy(), len(grades))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), rows["bucket"].map(len).to_numpy())
+    bucket, value, y = np.concatenate(rows["bucket"].to_list()), np.concatenate(rows["value"].to_list()), rows["grade"].map(grades.index).to_numpy()
+    del rows
+    weights, thresholds = _train(row, bucket, value, y, len(grades))
     return Model(weights, thresholds, grades)
 
 
