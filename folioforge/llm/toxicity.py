@@ -183,8 +183,11 @@ def _segments(train: DataFrame, features: np.ndarray, telling: np.ndarray) -> tu
     return ids, mask, toxic
 
 
-def _train(ids: np.ndarray, mask: np.ndarray, y: np.ndarray, n: int, rounds: int = 45, rate: float = 0.3, l2: float = 1e-4):
-    """Adam on the penalised log-likelihood; expectations by forward-backward over all runs at once."""
+def _train(ids: np.ndarray, mask: np.ndarray, y: np.ndarray, n: int, rounds: int = 45, rate: float = 0.3, l2: float = 1e-6):
+    """Adam on the penalised log-likelihood; expectations by forward-backward over all runs at once.
+
+    The likelihood is a mean over all words, of which one feature holds few, so the penalty has to be small.
+    """
     runs, steps = mask.shape
     theta = np.zeros(n + 5)  # weights, bias, the 2 x 2 moves
     theta[n], theta[n + 1 :] = -2.0, [0.5, -1.0, -0.5, 0.0]

@@ -101,6 +101,8 @@ def test_toxicity(spark, odd):
     assert all((got[i].score >= 0.5) == bool(t) for i, _, t in rows)
     s = got[300].spans[0]
     assert rows[300][1][s.start : s.end] == "nastyword"
+    for i, text, toxic in rows:
+        assert [text[s.start : s.end] for s in got[i].spans] == ["nastyword", "nastyish"] * toxic
     kept = toxicity.reject(odd, labels)
     assert kept.dtypes == odd.dtypes and kept.count() == len(ODD)
     assert 0 <= toxicity.score_column(odd, toxicity.fit(odd, labels.where("false")), ["doc_id"]).first().out.score <= 1
