@@ -61,18 +61,18 @@ class Notices:
         """(start, end, label, edits) in the text of spaced words; of overlapping matches of a notice the first."""
         out = []
         for label, words, errors, parts, pattern in self.notices:
-            tried: list[tuple[int, int]] = []
+            windows = set()
             for seed, offset in parts:
                 at = text.find(seed)
                 while at >= 0:
-                    lo, hi = max(0, at - offset - errors), min(len(text), at - offset + len(words) + errors)
-                    if not any(a <= lo and hi <= b for a, b in tried):
-                        tried.append((lo, hi))
-                        m = pattern.search(text, lo, hi)
-                        if m:
-                            out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                            tried.append((m.start() - errors, m.end() + errors))
+                    windows.add((max(0, at - offset - errors), min(len(text), at - offset + len(words) + errors)))
                     at = text.find(seed, at + 1)
+            done = 0  # windows that end here hold nothing but the match before
+            for lo, hi in sorted(windows):
+                m = pattern.search(text, lo, hi) if hi > done else None
+                if m:
+                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    done = m.end() + errors
         return sorted(set(out))
 
 
