@@ -35,6 +35,8 @@ from folioforge.llm.store import documents
 
 #: Pieces whose output a task remembers.
 MEMO = 500_000
+#: Tokens decoded at a time.
+STEP = 1 << 16
 #: The characters of the Unicode property White_Space.
 _SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACES = regex.compile(f"[{''.join(map(chr, _SPACE))}]+")
@@ -156,12 +158,25 @@ class Encoder:
 
 
 class Decoder:
-    """Ids in, text out: a byte-to-text state machine that never holds more than one unfinished character."""
+    """Ids in, text out: a byte-to-text state machine that never holds more than one unfinished character.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    With ``symbols`` it gives what the library does for a file without a
+    decoder: the token strings as they stand, joined by one space; its state
+    is then whether a token came before.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, symbols: bool = False):
+        self.v, self.symbols, self.begun = vocabulary, symbols, False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
+    def push_all(self, tokens: list[int]) -> str:
+        """The text that becomes ready with these tokens."""
+        if not self.symbols:
+            return "".join(map(self.push, tokens))
+        text = " ".join(map(self.v.tokens.__getitem__, tokens))
+        text, self.begun = (" " * (self.begun and bool(tokens)) + text), self.begun or bool(tokens)
+        return text
+
     def push(self, token: int) -> str:
         name = self.v.tokens[token]
         if name in self.v.special:
@@ -180,52 +195,59 @@ class Codec:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.encoder = Encoder(self.v)
-        self.memo: dict[str, tuple[str, str, bytes]] = {}
-        self.pieces: dict[str, tuple[str, str, bytes]] = {}
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
-    def word(self, word: str) -> tuple[str, str, bytes]:
-        """Decimal ids and token strings, each joined by spaces, and the ids as int32 bytes."""
+    def word(self, word: str) -> tuple[str, bytes]:
+        """The ids in decimal, joined by spaces, and as int32 bytes."""
         ids = self.encoder.whole(word.encode())
-        names = self.v.tokens
-        out = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]), array("i", ids).tobytes())
+        out = (" ".join(map(str, ids)), array("i", ids).tobytes())
         if len(word) <= 100:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = out
         return out
 
-    def piece(self, piece: str) -> tuple[str, str, bytes]:
+    def piece(self, piece: str) -> tuple[str, bytes]:
         """The same of a run without white space, which may hold several words."""
         lower = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
         known, made = self.memo.get, self.word
         words = [known(w) or made(w) for w in ([lower] if _LETTERS(lower) else _WORDS.findall(lower))]
-        out = words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), " ".join([w[1] for w in words]), b"".join([w[2] for w in words]))
+        out = words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), b"".join([w[1] for w in words]))
         if len(piece) <= 12:
             if len(self.pieces) >= MEMO:
                 self.pieces.clear()
             self.pieces[piece] = out
         return out
 
-    def _span(self, text: str) -> list[tuple[str, str, bytes]]:
+    def _span(self, text: str) -> list[tuple[str, bytes]]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         known, made = self.pieces.get, self.piece
         return [known(p) or made(p) for p in (_SPACES.split(text) if _ODD_SPACE.search(text) else text.split())]
 
-    def encode(self, text: str) -> list[tuple[str, str, bytes]]:
+    def encode(self, text: str) -> list[tuple[str, bytes]]:
         special = self.v.special_at
         if special is None or not special.search(text):
-            return [x for x in self._span(text) if x[2]]
+            return [x for x in self._span(text) if x[1]]
         out, at = [], 0
         for m in special.finditer(text):
             i = self.v.special[m[0]]
-            out += [*self._span(text[at : m.start()]), (str(i), m[0], np.int32(i).tobytes())]
+            out += [*self._span(text[at : m.start()]), (str(i), np.int32(i).tobytes())]
             at = m.end()
-        return [x for x in out + self._span(text[at:]) if x[2]]
+        return [x for x in out + self._span(text[at:]) if x[1]]
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Decoder(self.v)
-        return "".join([machine.push(i) for i in ids]) + machine.finish()
+        return machine.push_all(list(ids)) + machine.finish()
+
+    def decoded_digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decoded text as the library gives it, fed to the digest ``STEP`` tokens at a time."""
+        digest, machine = hashlib.sha256(), Decoder(self.v, symbols=True)
+        for lo in range(0, len(ids), STEP):
+            digest.update(machine.push_all(ids[lo : lo + STEP].tolist()).encode())
+        digest.update(machine.finish().encode())
+        return digest.hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
@@ -255,7 +277,7 @@ OUT = T.StructType(
 
 def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
     """``row`` (the kept columns) beside ``out``: token ids (null unless ``with_ids``), their number, and the
-    SHA-256 of the decimal ids and of the decoded token strings, each joined by one space."""
+    SHA-256 of the decimal ids, joined by one space, and of what those ids decode to in the library."""
 
     def make():
         tool = codec(vocabulary)
@@ -264,12 +286,9 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text"
             counts, ids, decoded, raw = [], [], [], []
             for t in chunk.texts():
                 pieces = tool.encode(t)
-                a, b = hashlib.sha256(), hashlib.sha256()
-                a.update(" ".join([x[0] for x in pieces]).encode())
-                b.update(" ".join([x[1] for x in pieces]).encode())
-                ids.append(a.hexdigest())
-                decoded.append(b.hexdigest())
-                whole = b"".join([x[2] for x in pieces])
+                whole = b"".join([x[1] for x in pieces])
+                ids.append(hashlib.sha256(" ".join([x[0] for x in pieces]).encode()).hexdigest())
+                decoded.append(tool.decoded_digest(np.frombuffer(whole, dtype=np.int32)))
                 counts.append(len(whole) // 4)
                 if with_ids:
                     raw.append(whole)

@@ -75,8 +75,11 @@ def test_bpe_equals_the_library(spark, odd):
     for t in texts:
         wanted = library.encode(t, add_special_tokens=False)
         got = own.encode(t)
-        assert [i for x in got for i in np.frombuffer(x[2], np.int32)] == wanted.ids
-        assert " ".join(x[1] for x in got) == library.decode(wanted.ids, skip_special_tokens=False)
+        assert [i for x in got for i in np.frombuffer(x[1], np.int32)] == wanted.ids
+        decoded = library.decode(wanted.ids, skip_special_tokens=False)
+        assert own.decoded_digest(np.array(wanted.ids, np.int32)) == hashlib.sha256(decoded.encode()).hexdigest()
+        machine = bpe.Decoder(own.v, symbols=True)
+        assert "".join(machine.push_all(wanted.ids[i : i + 3]) for i in range(0, len(wanted.ids), 3)) == decoded
     rows = bpe.encode(odd, path, ["doc_id"]).select("row.doc_id", "out.*")
     got = {r.doc_id: r for r in bpe.decode(rows, path).collect()}
     assert got[1].n_tokens == 0 and got[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and got[1].text == ""
