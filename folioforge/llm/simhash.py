@@ -222,10 +222,11 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     one = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     bits = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[one.getItem(16 * q + b) for q in f for b in range(16)]) for f in free]), F.col("pair").cast("int") + 1)
     near = wide.select("pair", "key", "fp", F.explode(bits).alias("flip")).select("pair", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("meet"))
-    low = near.groupBy("pair", "key", "meet").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    if radius < 2:
-        low = low.where("false")
-    star = near.join(low, ["pair", "key", "meet"]).where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    if radius == 2:
+        low = near.groupBy("pair", "key", "meet").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    else:  # who meets at a fingerprint itself is at most one bit from it
+        low = wide.select("pair", "key", F.col("fp").alias("meet"), F.col("fp").alias("low")).where(F.lit(radius == 1))
+    star = near.join(low, ["pair", "key", "meet"]).where("fp > low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     return found.unionByName(star)
 
 
@@ -263,31 +264,41 @@ def _state(edges: DataFrame) -> tuple | None:
 
 def group(docs: DataFrame, keep: list[str], text: str = "text", id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``row`` (the kept columns), ``fp`` and ``component_id`` (the smallest id linked to the row, itself included)."""
+    return _rooted(docs, keep, text, id, radius, shingle, bucket).drop("root")
+
+
+def _rooted(docs: DataFrame, keep: list[str], text: str, id: str, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """``group`` with ``root``, which tells components apart where their smallest ids are equal or null."""
     marked = cut(fingerprints(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, id, text])]), list(dict.fromkeys([*keep, id])), text, shingle).select("row", F.col("out.fp").alias("fp")))
     classes = cut(marked.groupBy("fp").agg(F.min(F.col("row").getField(id)).alias("rep")))
     found = components(links(classes.select("fp"), radius, bucket))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = cut(rooted.join(lowest, "root").select("fp", "component_id"))
-    return marked.join(of, "fp").select("row", "fp", "component_id")
+    of = cut(rooted.join(lowest, "root").select("fp", "root", "component_id"))
+    return marked.join(of, "fp").select("row", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how) -> DataFrame:
-    """The documents' own columns, one document of each group: the one whose id is the group's smallest.
+    """The documents' own columns, exactly one row of each group: the one of the smallest id (none comes last),
+    then of the smallest fingerprint and hash of id and text.
 
-    Rows without an id stay. Rows that repeat a kept id give one row, chosen by
-    the smallest hash of the text; texts meet for that only where ids repeat.
+    Rows are told apart by that hash (128 bits), not by their id. Texts meet only where id and text of a kept row
+    repeat; of those rows the smallest hash of the whole row stays.
     """
-    grouped = group(docs, [], text, id, **how).select(F.col("row").getField(id).alias("_id"), "component_id")
-    dropped = cut(grouped.where("_id <> component_id").select("_id").distinct())
-    ids = docs.select(F.col(f"`{id}`").alias("_id"))
-    repeated = cut(ids.where("_id IS NOT NULL").groupBy("_id").count().where(F.col("count") > 1).select("_id").join(dropped, "_id", "left_anti"))
+    key = [F.xxhash64(F.lit(i), F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`")) for i in range(2)]
+    named = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), key[0].alias("h0"), key[1].alias("h1"))
+    rows = _rooted(named, ["h0", "h1"], "text", "id", **how).groupBy("root", "fp", "row").count()
+    rows = cut(rows.select("root", "fp", "row.id", "row.h0", "row.h1", "count"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "h0", "h1")).alias("x")).select("x.h0", "x.h1")
+    first = cut(first)
+    dropped = cut(rows.select("h0", "h1").join(first, ["h0", "h1"], "left_anti"))
+    repeated = cut(rows.where("count > 1").select("h0", "h1").join(first, ["h0", "h1"], "left_semi"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.select(row.alias("row"), F.col(f"`{id}`").alias("_id")).join(dropped, "_id", "left_anti")
+    kept = docs.select(row.alias("row"), key[0].alias("h0"), key[1].alias("h1")).join(dropped, ["h0", "h1"], "left_anti")
     if repeated.isEmpty():
         return kept.select("row.*")
-    again = kept.join(repeated, "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.xxhash64(F.col("row").getField(text))).alias("row"))
-    return kept.join(repeated, "_id", "left_anti").select("row").unionByName(again.select("row")).select("row.*")
+    again = kept.join(repeated, ["h0", "h1"], "left_semi").groupBy("h0", "h1").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.join(repeated, ["h0", "h1"], "left_anti").select("row").unionByName(again.select("row")).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,26 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.deduplicate(odd.where("false")).count() == 0
 
 
+def test_deduplicate_decides_by_row(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue black white")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, "kept too: another text of id seven"), (None, "no id but here twice"), (None, "no id but here twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.deduplicate(df).collect())
+    assert got == sorted({(str(i), t) for i, t in rows if (i, t) != (5, a)})
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2])
+@pytest.mark.parametrize("bucket", [1024, 2])
+def test_simhash_links_any_radius(spark, radius, bucket):
+    r = random.Random(5)
+    fps = {x ^ (1 << k) for x in [r.getrandbits(64) for _ in range(4)] for k in [*range(12), 40, 50]} | {r.getrandbits(64)}
+    fps |= {x ^ 3 << 20 for x in list(fps)[:9]} | {x ^ 1 << 63 for x in list(fps)[:9]}
+    ids = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    edges = simhash.links(spark.createDataFrame([(i,) for i in ids], "fp long"), radius=radius, bucket=bucket)
+    root = {x.node: x.root for x in simhash.components(edges).collect()}
+    assert [root.get(i, i) for i in ids] == smallest(ids, [i % (1 << 64) for i in ids], radius)
+
+
 def test_extract(spark):
     rows = [(1, None), (2, ""), (3, "plain &amp; simple"), (4, "<nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>T &lt;1&gt;</h1><p>Some  text\nhere.<p>More <b>bold<script>x</script> text.</article><footer>&copy; me</footer>"), (5, "<article><p>" + "long text. " * 20000 + "</p></article>")]
     got = {r.row.page_id: r.out for r in extract.extract(spark.createDataFrame(rows, "page_id long, html string"), ["page_id"]).collect()}
