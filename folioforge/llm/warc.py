@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioforge.llm.dom import hidden, without
 from folioforge.llm.store import documents
 
 VERSION = "WARC/1.1"
 #: Pages carry no capture time, so their responses get this one.
 CAPTURED = "1970-01-01T00:00:00Z"
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROPPED = hidden("script|style|iframe", "noscript|template|svg")
 _BREAK = re.compile(r"<(?:/?(?:address|article|aside|blockquote|body|br|button|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b)[^>]*>", re.I)
 _TAG = re.compile(r"<[!?/a-zA-Z][^>]*>")
 _SPACE = re.compile(r"[^\S\n]+")
@@ -34,7 +35,7 @@ _SPACE = re.compile(r"[^\S\n]+")
 
 def plain_text(source: str | None) -> str:
     """Visible text of a payload, one line per block."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("", source or "").replace("\n", " "))))
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", without(source or "", _DROPPED, "").replace("\n", " "))))
     return "\n".join(line for line in (x.strip() for x in _SPACE.sub(" ", text).split("\n")) if line)
 
 

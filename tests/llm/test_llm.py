@@ -229,6 +229,18 @@ def entropy(s, window=secret_scan.WINDOW):
     return max(int((secret_scan._GAIN[window] - sum(secret_scan._GAIN[c] for c in Counter(s[i : i + window]).values())) // window) for i in range(len(s) - window + 1))
 
 
+MAIN = "<article><p>The whole text</p></article>"
+
+
+@pytest.mark.parametrize("page", ["<html><head><title>t</title><body>%s", "<html><head><title>t</title><meta a=b>%s", "<head><title>t</title>%s", "<noscript>%s", "<svg>%s", "<template>%s", "<svg>%s<svg><text>no</text></svg>"])
+def test_unclosed_elements_hide_no_text(page):
+    source = page % MAIN
+    assert [t for _, t in extract.Page(source).runs] == ["The whole text"] and warc.plain_text(source) == "The whole text"
+    closed = "<head><script>'<body>'</script><noscript>no</noscript></head><svg><svg></svg>no</svg><template>no</template>" + MAIN
+    assert [t for _, t in extract.Page(closed).runs] == ["The whole text"] and warc.plain_text(closed) == "The whole text"
+    assert [t for _, t in extract.Page("<select>" + MAIN).runs] == ["The whole text"]
+
+
 def test_secrets(spark, odd):
     r = random.Random(3)
     texts = ['api_key = "abcd1234EFGH" x', "token: short token=secret=abcdefghij", "AKIA" + "A1" * 6 + " AKIAABC", "é 0123456789abcdef0123456789abcdef", "".join(r.choice(secret_scan._ALPHABET[:62]) for _ in range(40)), "550e8400-e29b-41d4-a716-446655440000"]
