@@ -4,7 +4,8 @@ A notice of which ``errors`` edits are allowed is split into ``errors + 1``
 pieces, one of which every match holds unchanged. Texts become lower-cased
 words parted by single spaces; the pieces are found there by exact search, and
 around each hit the ``regex`` library's bounded-error matching verifies the
-notice and gives its span. The base phrases are short notices as well: an
+notice and gives its span, with at most one edit inside the words that name
+the license, as other licenses' names are few edits away. The base phrases are short notices as well: an
 unchanged match of theirs on word bounds counts at every place it starts.
 
 Defined results: a null or empty text has no words and no labels; score 1 means
@@ -42,6 +43,17 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", 6),
 ]
 
+#: The words of a notice that name its license (fixed values): at most one edit may fall inside them.
+NAMES = {
+    "released under the mit license": "mit",
+    "licensed under the apache license version 2 0": "apache",
+    "licensed under the gnu general public license": "gnu general public",
+    "gnu lesser general public license": "gnu lesser general public",
+    "gnu affero general public license": "gnu affero general public",
+    "subject to the terms of the mozilla public license": "mozilla public",
+    "licensed under a creative commons attribution": "creative commons attribution",
+}
+
 
 def seeds(notice: str, errors: int) -> list[tuple[str, int]]:
     """``errors + 1`` pieces with their offsets; some piece of any match within the edits is unchanged."""
@@ -54,11 +66,16 @@ class Notices:
         self.base = [(label, f" {phrase} ".encode()) for phrase, label in base]
         self.notices = []
         for label, words, errors in notices:
-            pattern = regex.compile(b"(?b)(?:" + regex.escape(words.encode(), special_only=True) + b"){e<=%d}" % errors)
+            name = NAMES.get(words, "")
+            before, _, after = words.partition(name) if name else (words, "", "")
+            exact = [regex.escape(x.encode(), special_only=True) for x in (before, name, after)]
+            inside = b"(?:" + exact[1] + b"){e<=1}" if name else b""
+            pattern = regex.compile(b"(?b)(?:" + exact[0] + inside + exact[2] + b"){e<=%d}" % errors)
             self.notices.append((label, words.encode(), errors, [(s.encode(), at) for s, at in seeds(words, errors)], pattern))
 
-    def find(self, text: bytes) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) in the text of spaced words; of overlapping matches of a notice the first."""
+    def find(self, text: bytes) -> list[tuple[int, int, str, int, int]]:
+        """(start, end, label, edits, the notice's length) in the text of spaced words; of overlapping matches of a
+        notice the first."""
         out = []
         for label, words, errors, parts, pattern in self.notices:
             windows = set()
@@ -71,7 +88,7 @@ class Notices:
             for lo, hi in sorted(windows):
                 m = pattern.search(text, lo, hi) if hi > done else None
                 if m:
-                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(words)))
                     done = m.end() + errors
         return sorted(set(out))
 
@@ -123,16 +140,15 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: list[tup
                     word = int(np.searchsorted(starts, at + 1))
                     places.setdefault(int(w.row[word]), []).append((word - int(w.first[w.row[word]]), label))
                     at = spaced.find(phrase, at + 1)
-            spans: dict[int, list[tuple[int, int, str, int]]] = {}
-            for s, e, label, edits in _by_row(known, spaced):
+            spans: dict[int, list[tuple[int, int, str, int, int]]] = {}
+            for s, e, label, edits, length in _by_row(known, spaced):
                 first = max(0, int(np.searchsorted(starts, s, side="right")) - 1)
                 if first + 1 < len(starts) and s >= starts[first] + (w.end[first] - w.start[first]):
                     first += 1
                 last = int(np.searchsorted(starts, e)) - 1
                 row = int(w.row[last])
                 first = max(first, int(w.first[row]))
-                spans.setdefault(row, []).append((first - int(w.first[row]), last - int(w.first[row]), label, edits))
-            lengths = {(n[0]): len(n[1]) for n in known.notices}
+                spans.setdefault(row, []).append((first - int(w.first[row]), last - int(w.first[row]), label, edits, length))
             rows = range(chunk.rows)
             found = [sorted(places.get(r, ())) for r in rows]
             fuzzy = [spans.get(r, ()) for r in rows]
@@ -143,8 +159,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: list[tup
                 [x[-1][0] if x else None for x in found],
                 [sorted({y[1] for y in x}) for x in found],
                 [sorted({y[1] for y in x} | {y[2] for y in f}) for x, f in zip(found, fuzzy, strict=True)],
-                [1.0 if x else max((1 - y[3] / lengths[y[2]] for y in f), default=0.0) for x, f in zip(found, fuzzy, strict=True)],
-                [[{"first_word": a, "last_word": b, "label": l, "edits": e} for a, b, l, e in f] for f in fuzzy],
+                [1.0 if x else max((1 - y[3] / y[4] for y in f), default=0.0) for x, f in zip(found, fuzzy, strict=True)],
+                [[{"first_word": a, "last_word": b, "label": l, "edits": e} for a, b, l, e, _ in f] for f in fuzzy],
             ]
 
         def _by_row(known, spaced):
@@ -154,8 +170,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", notices: list[tup
             while lo < len(spaced):
                 hi = spaced.find(b"\n", lo + 1)
                 hi = len(spaced) if hi < 0 else hi
-                for s, e, label, edits in known.find(spaced[lo:hi]):
-                    yield lo + s, lo + e, label, edits
+                for s, e, label, edits, length in known.find(spaced[lo:hi]):
+                    yield lo + s, lo + e, label, edits, length
                 lo = hi
 
         return work

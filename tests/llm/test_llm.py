@@ -321,6 +321,13 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(odd, ["doc_id"]).where("out.score > 0").count() == 0
 
 
+def test_license_names_are_kept_apart(spark):
+    texts = [f"Released under the {x} license." for x in ("MPL", "BSD", "GPL", "ISC", "MITT", "MIT")] + ["Subject to the terms of the mozzilla public license"]
+    got = [r.out for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1), ["i"]).orderBy("row.i").collect()]
+    assert [x.labels for x in got] == [[], [], [], [], ["mit"], ["mit"], ["mpl"]]
+    assert got[4].score == 1 - 1 / 30 and got[5].score == 1.0 and all(set(licenses.NAMES) <= {n[1] for n in licenses.NOTICES} and v in k for k, v in licenses.NAMES.items())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
