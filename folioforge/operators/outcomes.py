@@ -92,12 +92,30 @@ def accepted(outcomes: DataFrame, **how) -> DataFrame:
     return outcomes.crossJoin(F.broadcast(last)).where("last_seq IS NULL OR seq <= last_seq").drop("last_seq")
 
 
-def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0) -> DataFrame:
+def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0, chunk_rows: int = 100_000) -> DataFrame:
     """Per worker (``worker`` column) the delay after its last outcome: refusals double it within bounds, others
-    let it fall by a tenth to the base. An ordered fold over one worker's log."""
-    log = outcomes.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct("seq", "reason"))).alias("log"))
-    step = lambda d, x: F.when(x["reason"].isin(*REFUSED), F.least(F.lit(most), F.greatest(F.lit(0.25), d * 2))).otherwise(F.when(d > base, F.greatest(F.lit(base), d * 0.9)).otherwise(d))
-    return log.select("worker", F.aggregate("log", F.lit(base), step).alias("delay"))
+    let it fall by a tenth to the base.
+
+    An ordered fold without a worker's whole log in one place: each outcome clamps a multiple of the delay,
+    d -> min(hi, max(lo, m d)), and so does any run of them. Chunks of ``chunk_rows`` sequence numbers are folded
+    to one such (m, lo, hi) each, and only these are put in order per worker.
+    """
+    if base > most:  # the first refusal sets the delay for good
+        return outcomes.groupBy("worker").agg(F.when(F.max(F.coalesce(F.col("reason").isin(*REFUSED), F.lit(False))), F.lit(float(most))).otherwise(F.lit(float(base))).alias("delay"))
+    number = lambda x: F.lit(float(x))
+    triple = lambda m, lo, hi: F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"))
+    bound = lambda x, lo, hi: F.least(hi, F.greatest(lo, x))
+
+    def step(d: Column, x: Column) -> Column:
+        refused = x["reason"].isin(*REFUSED)
+        m, lo, hi = (F.when(refused, number(a)).otherwise(number(b)) for a, b in ((2, 0.9), (min(0.25, most), base), (most, "inf")))
+        # beyond 1e100 either way the bounds decide
+        return triple(bound(d["m"] * m, number(1e-100), number(1e100)), bound(d["lo"] * m, lo, hi), bound(d["hi"] * m, lo, hi))
+
+    chunks = outcomes.groupBy("worker", F.expr(f"seq div {chunk_rows}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("seq", "reason"))).alias("log"))
+    folded = chunks.select("worker", "chunk", F.aggregate("log", triple(number(1), number(0), number("inf")), step).alias("f"))
+    order = folded.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("log"))
+    return order.select("worker", F.aggregate("log", number(base), lambda d, x: bound(d * x["f"]["m"], x["f"]["lo"], x["f"]["hi"])).alias("delay"))
 
 
 def progress(outcomes: DataFrame, ts: str = "ts", every: str = "10 seconds") -> DataFrame:

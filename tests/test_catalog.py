@@ -169,6 +169,21 @@ def test_breaker_batch_equals_loop(spark):
             assert (got[0].seq if got else None) == _loop(reasons, t, 60)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 100_000])
+def test_throttle_equals_loop(spark, chunk):
+    import random
+
+    r = random.Random(3)
+    log = [(i, r.choice("abc"), r.choice(["ok", "http-403", "http-404"] if i // 150 % 2 else ["ok", "ok", "http-403"])) for i in range(900)] + [(i, "d", "http-403") for i in range(2000)] + [(2000 + i, "d", "ok") for i in range(9)]
+    wanted = {}
+    for _, worker, reason in log:
+        d = wanted.get(worker, 0.15)
+        wanted[worker] = min(8.0, max(0.25, 2 * d)) if reason == "http-403" else max(0.15, d * 0.9)
+    r.shuffle(log)
+    df = spark.createDataFrame(log, "seq long, worker string, reason string")
+    assert {x.worker: x.delay for x in oc.throttle(df, chunk_rows=chunk).collect()} == pytest.approx(wanted)
+
+
 def test_stream_breaker_and_progress(spark, tmp_path):
     rows = [("r", i, "http-403" if i % 10 else "ok", f"2024-01-01 00:00:{i:02d}") for i in range(50)]
     df = spark.createDataFrame(rows, "run string, seq long, reason string, ts string").withColumn("ts", F.to_timestamp("ts"))
