@@ -8,7 +8,7 @@ more (each read by one more pass over the documents, cut by a written table)
 for a benchmark beyond that bound, so nothing unbounded reaches the driver.
 
 Defined results: a null or empty text has no words, so no hits; a null item has
-no window; an item of fewer than ``n`` words is one window; equal items all
+no window; an item without an id hits, but adds no id; an item of fewer than ``n`` words is one window; equal items all
 count; equal document rows each give a row; an empty benchmark hits nothing.
 """
 
@@ -37,13 +37,13 @@ HIT = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last
 class GramSet:
     """Windows by length: a slot table for the quick no, and the words for the sure yes."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         grams: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             words = words_of(text)
             k = min(n, len(words))
             for i in range(len(words) - k + 1 if k else 0):
-                grams[k][b" ".join(words[i : i + k])].append(item)
+                grams[k][b" ".join(words[i : i + k])].append(item)  # None: hits without an id
         self.by_length = {}
         for k, found in grams.items():
             data = b"\n".join(found)
@@ -52,7 +52,7 @@ class GramSet:
             hashes = gram_hashes(w.hashes(), k)[w.first[:-1]]
             slots = np.zeros(1 << _SLOTS_LOG, dtype=bool)
             slots[hashes >> np.uint64(64 - _SLOTS_LOG)] = True
-            self.by_length[k] = (slots, np.sort(hashes), {g: sorted(set(ids)) for g, ids in found.items()})
+            self.by_length[k] = (slots, np.sort(hashes), {g: sorted(set(ids), key=lambda x: x or "") for g, ids in found.items()})
 
     def hits(self, w: Words) -> dict[int, list[tuple[int, int, str]]]:
         """By row: (first word, last word, item) of each window that occurs."""
@@ -76,7 +76,7 @@ _sets: dict[str, GramSet] = {}
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // block_bytes + 1
     for b in range(n):
@@ -142,7 +142,7 @@ def _summary(w: Words, found: dict, rows: int) -> list:
             mark[a : b + 1] = 1
         edge = np.diff(mark, prepend=np.int8(0))
         first, last = np.flatnonzero(edge == 1) + w.first[r], np.flatnonzero(edge == -1) - 1 + w.first[r]
-        n_hit[r], items[r], counts[r] = mark.sum(), sorted({i for *_, i in found[r]}), len(first)
+        n_hit[r], items[r], counts[r] = mark.sum(), sorted({i for *_, i in found[r] if i is not None}), len(first)
         zero = points[w.offsets[r]]
         starts.extend((points[w.start[first]] - zero).tolist())
         ends.extend((points[w.end[last]] - zero).tolist())

@@ -64,6 +64,16 @@ def test_decontaminate(spark, odd, bench):
     assert decontaminate.decontaminate(odd, none).count() == len(ODD) and decontaminate.scan(odd.where("false"), bench, keep=["doc_id"]).count() == 0
 
 
+def test_decontaminate_uses_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c"), (7, "d e f"), (None, "d e f"), (None, None)], "item_id long, text string")
+    for size in (1 << 20, 4):
+        got = {r.row.doc_id: (r.out.n_hit, r.out["items"]) for r in decontaminate.scan(docs, items, keep=["doc_id"], block_bytes=size).collect()}
+        assert got == {1: (3, []), 2: (3, ["7"]), 3: (0, [])}
+    many = spark.createDataFrame([(1, "a b c")] * 500 + [(2, "d e f")], "item_id long, text string")
+    assert sum(len(b) for b in decontaminate._blocks(many, "item_id", "text", 1 << 20)) == 2
+
+
 def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
