@@ -61,7 +61,7 @@ def strip_prefix(w: Column) -> Column:
 
 def expand_tokens(tokens: Column) -> Column:
     """The tokens, then each stripped form that is not among them yet."""
-    return F.aggregate(F.transform(tokens, strip_prefix), tokens, lambda acc, w: F.when(F.array_contains(acc, w), acc).otherwise(F.concat(acc, F.array(w))))
+    return F.concat(tokens, F.array_except(F.transform(tokens, strip_prefix), tokens))
 
 
 def expand(c: Column) -> Column:

@@ -52,6 +52,12 @@ def books_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), first.alias("title"), F.col("source").alias("author"), F.lit("").alias("year"), F.lit("").alias("city"), F.col("lang").alias("category"), F.lit("documents").alias("source"))
 
 
+def books_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``books_doc``, with the whole text for a title."""
+    whole = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("title"), F.col("source").alias("author"), F.col("lang").alias("category"))
+    return whole.select("id", "title", "author", F.lit("").alias("year"), F.lit("").alias("city"), "category", F.lit("documents").alias("source"))
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq is the event id: events are numbered as they arrive."""
     e = table(spark, sf_dir, "events")
@@ -61,6 +67,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BOOKS = "books AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, CAST(p_size AS VARCHAR) AS year, '' AS city, p_type AS category, 'part' AS source FROM part)"
 _DOCS = "books AS (SELECT doc_id AS id, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 200) AS title, source AS author, '' AS year, '' AS city, lang AS category FROM documents)"
+_TEXTS = "books AS (SELECT doc_id AS id, coalesce(text, '') AS title, source AS author, '' AS year, '' AS city, lang AS category FROM documents)"
 _LOG = "log AS (SELECT event_id AS seq, event_id AS id, ts, event_type AS detail, CASE event_type WHEN 'error' THEN 'http-403' WHEN 'view' THEN 'http-404' ELSE 'ok' END AS reason FROM events)"
 _QUOTED = "''".join("׳״'\"‘’“”`´".split("'"))
 _FOLD = f"trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(%s), '[\\x{{0591}}-\\x{{05c7}}]', '', 'g'), '{_QUOTED}', ''), '[\\x{{05be}}\\-\\x{{2010}}-\\x{{2015}}_/\\\\|,.;:()\\[\\]{{}}<>]+', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
@@ -127,6 +134,11 @@ def search_accented(spark, sf_dir):
     return _page(books_doc(spark, sf_dir), "de é")
 
 
+@query(_ranked(_TEXTS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
+def search_accented_texts(spark, sf_dir):
+    return _page(books_text(spark, sf_dir), "de é")
+
+
 @query(_ranked(_BOOKS, [("re", True)], "id, title, author, category", "", _ORDER + " 8"))
 def suggest(spark, sf_dir):
     books = books_part(spark, sf_dir)
@@ -200,6 +212,17 @@ def expand_tokens(spark, sf_dir):
     return d.select("id", "expanded", F.array_join(tx.index_tokens(F.col("expanded")), " ").alias("tokens"))
 
 
+@query(f"WITH {_TEXTS} SELECT id, {_FOLD % 'title'} AS normalized FROM books")
+def normalize_texts(spark, sf_dir):
+    return books_text(spark, sf_dir).select("id", tx.normalize(F.col("title")).alias("normalized"))
+
+
+@query(f"WITH {_TEXTS} SELECT id, {_FOLD % 'title'} AS expanded, array_to_string({_TOKENS % 'title'}, ' ') AS tokens FROM books")
+def expand_texts(spark, sf_dir):
+    d = books_text(spark, sf_dir).select("id", tx.expand(F.col("title")).alias("expanded"))
+    return d.select("id", "expanded", F.array_join(tx.index_tokens(F.col("expanded")), " ").alias("tokens"))
+
+
 _COLS = " UNION ALL ".join(f"SELECT id, '{c}' AS col, {_TOKENS % c} AS t FROM books" for c in ("title", "author", "category"))
 
 
@@ -224,6 +247,12 @@ def pending_ids(spark, sf_dir):
     return oc.pending_ids(spark, 1, 2000, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
+@query("SELECT i AS id FROM (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents) AS d, generate_series(d.low, d.high) AS t(i) WHERE i NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def pending_all_ids(spark, sf_dir):
+    low, high = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    return oc.pending_ids(spark, *((1, 0) if low is None else (low, high)), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
 @query(f"WITH {_LOG} SELECT reason, count(*) AS n, 100.0e0 * count(*) / sum(count(*)) OVER () AS share, min(seq) AS first_seq FROM log GROUP BY reason")
 def outcome_summary(spark, sf_dir):
     return oc.summary(outcomes(spark, sf_dir))
