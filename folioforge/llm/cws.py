@@ -8,13 +8,14 @@ Two texts draw the same (term, t) with a probability equal to their
 generalised Jaccard similarity, so the share of equal samples estimates it.
 
 ``with_next`` finds each row's successor in descending id order with one
-shuffle of the texts: rows go to blocks of consecutive ids, and each block's
+shuffle of the texts: rows go to blocks of consecutive (id, text hash), cut at
+sampled rows so that each holds about as many, and each block's
 first row goes to the block before it as well. Sampling then works where the
 block is, without another shuffle.
 
 Defined results: a null or empty text has no terms and a fingerprint of zeros
 (equal to that of any other text without words); rows that share an id are
-ordered by text; a single row follows itself; an empty table gives no rows.
+ordered by the hash of their text; a single row follows itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from folioforge.llm.store import cut, documents
 
 SAMPLES = 16
-#: Rows aimed at per block of ids, and the most blocks, which bounds the table of their first rows.
-BLOCK_ROWS, MOST_BLOCKS = 1000, 65_536
+#: Rows aimed at per block, rows sampled for each, and the most blocks, which bounds the table of their first rows.
+BLOCK_ROWS, BLOCK_SAMPLE, MOST_BLOCKS = 1000, 4, 65_536
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words (fixed pattern).
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,27 +36,47 @@ PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, text (null: empty), ``block``, ``place`` in it, and the successor's text, block and place."""
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    blocks = max(1, min(MOST_BLOCKS, (n or 0) // BLOCK_ROWS))
-    width = max(1, ((high or 0) - (low or 0)) // blocks + 1)
-    block = lambda c="id": F.coalesce(F.expr(f"({c} - {low or 0}L) div {width}L"), F.lit(-1).cast("long"))  # noqa: E731  null ids come last
-    firsts = sorted(((r.block, r.id) for r in rows.groupBy(block().alias("block")).agg(F.max("id").alias("id")).collect()), reverse=True)
-    sent = [(own, key, firsts[i - 1][0]) for i, (own, key) in enumerate(firsts)]
-    spark = docs.sparkSession
-    heads = spark.createDataFrame(sent, "own long, key long, target long")
-    placed = rows.withColumn("block", block())
-    joined = placed.join(F.broadcast(heads), (F.col("block") == F.col("own")) & F.col("id").eqNullSafe(F.col("key")), "left")
+    rows = rows.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).cast("long").alias("key"), F.xxhash64("text").alias("hash"))  # null ids come last
+    n = rows.count()
+    placed = rows.withColumn("block", _block(_cuts(rows, n)))
+    firsts = sorted(((r.block, r.x.key, r.x.hash) for r in placed.groupBy("block").agg(F.max(F.struct("key", "hash")).alias("x")).collect()), reverse=True)
+    sent = [(*first, firsts[i - 1][0]) for i, first in enumerate(firsts)]
+    heads = docs.sparkSession.createDataFrame(sent, "block int, key long, hash long, target int")
+    joined = placed.join(F.broadcast(heads), ["block", "key", "hash"], "left")
     here = F.struct(F.col("block").alias("at"), F.lit(False).alias("guest"))
     there = F.struct(F.col("target").alias("at"), F.lit(True).alias("guest"))
-    dealt = joined.select("id", "text", F.explode(F.when(F.col("own").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("id", "text", "to.at", "to.guest")
-    order = Window.partitionBy("at").orderBy("guest", F.desc_nulls_last("id"), "text")
+    dealt = joined.select("id", "text", "key", "hash", "block", F.explode(F.when(F.col("target").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("id", "text", "key", "hash", "block", "to.at", "to.guest")
+    order = Window.partitionBy("at").orderBy("guest", F.desc("key"), F.desc("hash"), "text")
     return (
-        dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest"), F.lead("id").over(order).alias("next_id"))
+        dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest"), F.lead("block").over(order).alias("next_block"))
         .where("NOT guest")
-        .select("id", "text", F.col("at").alias("block"), "place", "next_text", block("next_id").alias("next_block"), F.when(F.col("next_guest"), 1).otherwise(F.col("place") + 1).alias("next_place"))
+        .select("id", "text", F.col("at").alias("block"), "place", "next_text", "next_block", F.when(F.col("next_guest"), 1).otherwise(F.col("place") + 1).alias("next_place"))
     )
 
 
+def _cuts(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Sorted (key, hash) at which blocks of about equal row counts begin."""
+    blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
+    if blocks == 1:
+        return []
+    seen = sorted(map(tuple, rows.select("key", "hash").sample(min(1.0, BLOCK_SAMPLE * blocks / n), seed=1).collect()))
+    return sorted({seen[i * len(seen) // blocks] for i in range(1, blocks)}) if seen else []
+
+
+def _block(cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts are not beyond (key, hash), by bisection."""
+    if not cuts:
+        return F.lit(0)
+    keys, hashes = (F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<long>") for i in range(2))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+
+    def step(at: Column, p: Column) -> Column:
+        key, hash = F.get(keys, at + p - 1), F.get(hashes, at + p - 1)  # null beyond the end
+        return F.when((key < F.col("key")) | ((key == F.col("key")) & (hash <= F.col("hash"))), at + p).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _unit(bits: Column) -> Column:
     """A uniform in (0, 1) from 32 bits."""
     return (bits + 0.5) / float(1 << 32)

@@ -280,6 +280,21 @@ def test_weighted_sampling(spark, odd):
     assert cws.fingerprints(odd.where("doc_id = 7")).first().near_next == 1.0
 
 
+def test_blocks_hold_like_numbers_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(cws, "BLOCK_ROWS", 50)
+    rows = [(7, f"t{i}") for i in range(600)] + [(i, f"u{i}") for i in range(100, 690)] + [(1 << 60, "far"), (-(1 << 60), "low")] + [(None, f"n{i}") for i in range(8)]
+    got = cws.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1200 and max(Counter(r.block for r in got).values()) < 300
+    at = {(r.block, r.place): r for r in got}
+    assert len(at) == 1200 and all(at[r.next_block, r.next_place].text == r.next_text for r in got)
+    ids, r = [], got[0]
+    for _ in got:
+        ids.append(r.id)
+        r = at[r.next_block, r.next_place]
+    start = ids.index(1 << 60)
+    assert ids[start:] + ids[:start] == sorted((i for i, _ in rows), key=lambda i: (i is None, -(i or 0)))
+
+
 def test_weighted_sampling_estimates_jaccard(spark, sf, docs):
     text = {r.doc_id: r.text for r in docs.collect()}
     order = sorted(text, reverse=True)
