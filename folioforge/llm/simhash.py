@@ -11,15 +11,24 @@ of which none has more than 33 in a bucket. Both ways emit one link per
 fingerprint to a smaller one, never all pairs, and connected components come
 from alternating star contractions over those links.
 
+Two bits find copies with hardly an edit. ``Wide`` compares in the same way at
+a similarity of about 0.8 over five-word shingles: fingerprints of 256 bits,
+44 of which may differ, in buckets by bands of each text's smallest shingle
+hashes. A bucket of more rows than ``bucket`` is dealt into chunks that each
+hold the bucket's leaders too, so that a large group meets at these.
+
 Defined results: a null, empty or blank text has fingerprint zero, which is
 linked like any other; equal rows share a fingerprint and group; a row without
 a doc_id keeps its fingerprint and gets the group's smallest id, or null where
-no member has one; an empty table gives no rows.
+no member has one; an empty table gives no rows; kept columns stay inside a
+struct, so their names cannot clash. A text takes memory of about fifty times
+its length in one task, whatever the table's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.llm.arrowtext import annotate
-from folioforge.llm.bytewords import IS_TEXT, Words
+from folioforge.llm.bytewords import IS_TEXT, Words, gram_hashes, mix
 from folioforge.llm.store import cut, documents
 
 SHINGLE = 3
@@ -37,6 +46,8 @@ RADIUS = 2
 BUCKET = 1024
 SEED = 42
 _BLOCK = 8192
+_STEP = 16
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Pairs of the four 16-bit quarters; two differing bits leave one pair equal.
 _PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
@@ -59,10 +70,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle:
                 counts[r] = len(hashes[-1])
             rows = np.flatnonzero(counts)
             for part, own in _pieces(rows, hashes, counts):
-                bits = np.unpackbits(np.concatenate(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ends = np.cumsum(counts[own])
-                sums = np.add.reduceat(bits, ends - counts[own], axis=0, dtype=np.int32)
-                fps[own] = np.packbits(2 * sums > counts[own, None], axis=1, bitorder="little").view(np.uint64).ravel()
+                fps[own] = _majority(np.concatenate(part), counts[own])
             return [fps.view(np.int64)]
 
         return work
@@ -83,47 +91,85 @@ def _pieces(rows: np.ndarray, hashes: list[np.ndarray], counts: np.ndarray) -> I
         yield part, np.array(own)
 
 
+def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each run of ``counts[i]`` hashes (one at least): the bits set in over half of them.
+
+    Unpacked bits are bytes, so adding eight of them as one number is safe for up to 255 hashes; longer runs
+    are added up from such pieces.
+    """
+    starts = np.cumsum(counts) - counts
+    pieces = (counts + 254) // 255
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(starts, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.add.reduceat(bits.view(np.uint64), at, axis=0).view(np.uint8)
+    total = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * total > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of fingerprints of one group within ``radius`` bits; groups are contiguous."""
+    """Positions (i, j), i < j, of fingerprints of one group within ``radius`` bits; groups are contiguous.
+
+    ``fps`` has one 64-bit word per fingerprint, or rows of several. For each distance d between positions, the
+    planes move by d against themselves, ``_STEP`` planes at a time; a block (64 pairs) leaves as soon as all its
+    pairs are beyond the radius, and only blocks that stay are read on.
+    """
     n = len(fps)
-    words = (n + 63) // 64
-    planes = np.zeros((64, words), dtype=np.uint64)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    none = np.zeros(0, dtype=np.int64)
+    if not n:
+        return none, none
+    longest = int(np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))).max())
+    size, words = 64 * (fps.size // n), (n + 63) // 64
+    planes = np.zeros((size, words + longest // 64 + 2), dtype=np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     planes.view(np.uint8)[:, : packed.shape[1]] = packed
-    sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
     digits = max(1, int(radius + 1).bit_length())
-    lefts, rights = [], []
-    for d in range(1, int(sizes.max()) if n else 0):
+    lefts, rights = [none], [none]
+    for d in range(1, longest):
         same = np.zeros(words * 64, dtype=bool)
         same[: n - d] = group[:-d] == group[d:]
-        beyond = ~np.packbits(same, bitorder="little").view(np.uint64)
+        gone = ~np.packbits(same, bitorder="little").view(np.uint64)
+        live = np.flatnonzero(gone != _ALL)
+        gone, counters = gone[live], [np.zeros(len(live), dtype=np.uint64) for _ in range(digits)]
         q, r = divmod(d, 64)
-        moved = np.zeros_like(planes)
-        moved[:, : words - q] = planes[:, q:] >> np.uint64(r)
-        if r:
-            moved[:, : words - q - 1] |= planes[:, q + 1 :] << np.uint64(64 - r)
-        moved ^= planes
-        live = np.flatnonzero(~beyond)
-        counters = [np.zeros(len(live), dtype=np.uint64) for _ in range(digits)]
-        gone = beyond[live]
-        for at in range(0, 64, 8):
-            for plane in moved[at : at + 8, live]:
-                carry = plane
-                for k in range(digits):
-                    counters[k], carry = counters[k] ^ carry, counters[k] & carry
-                gone |= carry
-            over = _above(counters, radius) | gone
-            if not (~over).any():
-                break
-        else:
+        for at in range(0, size, _STEP):
+            part = planes[at : at + _STEP]
+            moved = part[:, live + q]
+            if r:
+                moved = moved >> np.uint64(r) | part[:, live + q + 1] << np.uint64(64 - r)
+            gone = _count(counters, list(moved ^ part[:, live]), gone) | _above(counters, radius)
+            stay = gone != _ALL
+            if not stay.all():
+                live, gone, counters = live[stay], gone[stay], [c[stay] for c in counters]
+                if not len(live):
+                    break
+        if len(live):
             near = np.zeros(words, dtype=np.uint64)
-            near[live] = ~over
+            near[live] = ~gone
             found = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
             lefts.append(found)
             rights.append(found + d)
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (none, none)
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def _count(counters: list[np.ndarray], planes: list[np.ndarray], gone: np.ndarray) -> np.ndarray:
+    """Adds planes to the bit-sliced counters by carry-save adders, three bits of one weight to a sum and a
+    carry; returns ``gone`` with those added whose count left the counters."""
+    for k in range(len(counters)):
+        total, carries = counters[k], []
+        for i in range(0, len(planes) - 1, 2):
+            x, y = planes[i], planes[i + 1]
+            half = total ^ x
+            carries.append(total & x | y & half)
+            total = half ^ y
+        if len(planes) % 2:
+            carries.append(total & planes[-1])
+            total = total ^ planes[-1]
+        counters[k], planes = total, carries
+    for carry in planes:
+        gone = gone | carry
+    return gone
 
 
 def _above(counters: list[np.ndarray], limit: int) -> np.ndarray:
@@ -152,29 +198,33 @@ def _smallest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(radius: int):
+def _compare(radius: int, keys: int, words: int = 1):
+    """For rows sorted by ``keys`` columns, then node and fingerprint words (one word: it is the node itself):
+    links (a, b) that connect what is within the radius in a bucket, one per node to a smaller position's."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(pair: np.ndarray, key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        fresh = np.concatenate([[True], (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])])
+    def links(rows: np.ndarray) -> pa.RecordBatch:
+        fresh = np.concatenate([[True], (rows[:keys, 1:] != rows[:keys, :-1]).any(axis=0)])
         group = np.cumsum(fresh) - 1
         many = np.bincount(group)[group] > 1
-        fps, group = fps[many], group[many]
+        rows, group = rows[:, many], group[many]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
-        order = starts[np.argsort(np.diff(np.append(starts, len(group))), kind="stable")]  # blocks of like group sizes
-        rows = np.concatenate([np.arange(s, e) for s, e in zip(order, np.append(starts, len(group))[np.searchsorted(starts, order) + 1], strict=True)]) if len(order) else order
-        fps, group = fps[rows], group[rows]
+        ends = np.append(starts[1:], len(group)) if len(group) else starts
+        order = np.argsort(ends - starts, kind="stable")  # blocks of like group sizes
+        at = np.concatenate([np.arange(starts[k], ends[k]) for k in order]) if len(order) else order
+        rows, group = rows[:, at], group[at]
+        node, fps = rows[keys], np.ascontiguousarray(rows[-words:].T).view(np.uint64)
         lo = 0
-        while lo < len(fps):
-            hi = min(lo + _BLOCK, len(fps))
-            while hi < len(fps) and group[hi] == group[hi - 1]:
+        while lo < len(group):
+            hi = min(lo + _BLOCK, len(group))
+            while hi < len(group) and group[hi] == group[hi - 1]:
                 hi += 1
             left, right = close_pairs(fps[lo:hi], group[lo:hi], radius)
             low = _smallest(hi - lo, left, right)
             moved = np.flatnonzero(low != np.arange(hi - lo))
-            a.append(fps[lo:hi][moved].view(np.int64))
-            b.append(fps[lo:hi][low[moved]].view(np.int64))
+            a.append(node[lo:hi][moved])
+            b.append(node[lo:hi][low[moved]])
             lo = hi
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=kind)
 
@@ -182,18 +232,17 @@ def _compare(radius: int):
         held: list[np.ndarray] = []
         rows = 0
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
             rows += batch.num_rows
             if rows >= 8 * _BLOCK:
                 all_ = np.concatenate(held, axis=1)
-                last = np.flatnonzero((all_[0] != all_[0, -1]) | (all_[1] != all_[1, -1]))
+                last = np.flatnonzero((all_[:keys] != all_[:keys, -1:]).any(axis=0))
                 cut_at = int(last[-1]) + 1 if len(last) else 0
                 if cut_at:
-                    yield links(all_[0, :cut_at], all_[1, :cut_at], all_[2, :cut_at].view(np.uint64))
+                    yield links(all_[:, :cut_at])
                 held, rows = [all_[:, cut_at:]], all_.shape[1] - cut_at
         if rows:
-            all_ = np.concatenate(held, axis=1)
-            yield links(all_[0], all_[1], np.ascontiguousarray(all_[2]).view(np.uint64))
+            yield links(np.concatenate(held, axis=1))
 
     return run
 
@@ -215,7 +264,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     else:
         marked = keyed.join(large.withColumn("large", F.lit(True)), ["pair", "key"], "left")
         small, wide = marked.where("large IS NULL").select("pair", "key", "fp"), marked.where("large")
-    found = small.repartition("pair", "key").sortWithinPartitions("pair", "key", "fp").mapInArrow(_compare(radius), "a long, b long")
+    found = small.repartition("pair", "key").sortWithinPartitions("pair", "key", "fp").mapInArrow(_compare(radius, 2), "a long, b long")
     if wide is None:
         return found
     free = [[q for q in range(4) if q not in p] for p in _PAIRS]
@@ -230,6 +279,127 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return found.unionByName(star)
 
 
+@dataclass(frozen=True)
+class Wide:
+    """Near copies by wide fingerprints.
+
+    Fingerprints have ``words`` times 64 bits over shingles of ``shingle`` words. At a similarity of 0.8 texts
+    differ in 39 of 256 bits on average (0.7: 49, 0.5: 69), with a deviation of 6, so ``radius`` 44 keeps most of
+    what is above 0.8 and little of what is below 0.65. A text's bins hold the smallest shingle hash of each of
+    ``bands`` x ``rows`` classes; two texts share a bucket where the bins of one band are equal, which at 0.8
+    happens in at least one band in 99.9 % of cases.
+    """
+
+    shingle: int = 5
+    words: int = 4
+    radius: int = 44
+    bands: int = 16
+    rows: int = 4
+    bucket: int = 1024
+    leaders: int = 32
+
+    @property
+    def columns(self) -> list[str]:
+        return [*[f"f{k}" for k in range(self.words)], *[f"k{k}" for k in range(self.bands)]]
+
+
+def _bins(hashes: np.ndarray, row: np.ndarray, rows: int, bins: int) -> np.ndarray:
+    """Smallest hash of each class of each row; a class without any takes the next one's (changed by the distance)."""
+    least = np.full(rows * bins, _ALL)
+    h = mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+    np.minimum.at(least, row * bins + (h % np.uint64(bins)).astype(np.int64), h)
+    least = least.reshape(rows, bins)
+    out, empty = least.copy(), least == _ALL
+    for step in range(1, bins):
+        if not empty.any():
+            break
+        other = np.roll(least, -step, axis=1)
+        fill = empty & (other != _ALL)
+        out[fill] = other[fill] + np.uint64(step)
+        empty &= ~fill
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", how: Wide = Wide()) -> DataFrame:  # noqa: B008
+    """``row`` (the kept columns) beside ``out``: fp (a hash of the whole fingerprint), its words and the bands' keys."""
+
+    def make():
+        def work(chunk):
+            w = Words(chunk.data, chunk.offsets, IS_TEXT)
+            n = how.shingle
+            grams = gram_hashes(w.hashes(), n)
+            row = w.row[: len(grams)]
+            inside = row == w.row[n - 1 :][: len(grams)]
+            grams, row = grams[inside], row[inside]
+            short = np.flatnonzero((w.counts > 0) & (w.counts < n))
+            if len(short):
+                own = [xxhash.xxh64_intdigest(w.gram(int(w.first[r]), int(w.counts[r])), SEED) for r in short.tolist()]
+                grams, row = np.concatenate([grams, np.array(own, dtype=np.uint64)]), np.concatenate([row, short])
+                order = np.argsort(row, kind="stable")
+                grams, row = grams[order], row[order]
+            counts = np.bincount(row, minlength=chunk.rows)
+            some = np.flatnonzero(counts)
+            fps = np.zeros((how.words, chunk.rows), dtype=np.uint64)
+            keys = np.zeros((how.bands, chunk.rows), dtype=np.uint64)
+            for lo, hi, own in _runs(counts, some):
+                for k in range(how.words):
+                    fps[k, own] = _majority(mix(grams[lo:hi] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), counts[own])
+            if len(some):
+                place = np.zeros(chunk.rows, dtype=np.int64)
+                place[some] = np.arange(len(some))
+                bins = _bins(grams, place[row], len(some), how.bands * how.rows).reshape(len(some), how.bands, how.rows)
+                for b in range(how.bands):
+                    key = np.zeros(len(some), dtype=np.uint64)
+                    for r in range(how.rows):
+                        key = mix(key + bins[:, b, r])
+                    keys[b, some] = key
+            fp = np.zeros(chunk.rows, dtype=np.uint64)
+            for word in fps:
+                fp = mix(fp + word)
+            return [x.view(np.int64) for x in (fp, *fps, *keys)]
+
+        return work
+
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("fp", *how.columns)])
+    return annotate(docs, text, out, make, keep)
+
+
+def _runs(counts: np.ndarray, some: np.ndarray, most: int = 50_000) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Slices of the shingles of consecutive rows, of about ``most`` shingles, with these rows."""
+    ends = np.cumsum(counts[some])
+    lo = 0
+    while lo < len(some):
+        start = int(ends[lo] - counts[some[lo]])
+        hi = max(lo + 1, int(np.searchsorted(ends, start + most, side="right")))
+        yield start, int(ends[hi - 1]), some[lo:hi]
+        lo = hi
+
+
+def wide_links(classes: DataFrame, how: Wide = Wide()) -> DataFrame:  # noqa: B008
+    """Of distinct fingerprints (``fp`` and ``how.columns``): links (a, b) of those within the radius that meet.
+
+    A bucket of over ``bucket`` rows is dealt into chunks by hash, and its leaders, one of each of ``leaders``
+    hash classes, are in all its chunks: rows near a leader, or near each other in one chunk of any band, are
+    linked. So a group that fills a bucket is one component, without all its rows in one task.
+    """
+    own = ["fp", *[f"f{k}" for k in range(how.words)]]
+    bands = F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.col(f"k{b}").alias("key")) for b in range(how.bands)])
+    keyed = classes.where("fp <> 0").select(*own, F.explode(bands).alias("x")).select("x.band", "x.key", *own)
+    large = cut(keyed.groupBy("band", "key").count().where(F.col("count") > how.bucket).select("band", "key", F.ceil(F.col("count") / how.bucket).alias("chunks")))
+    zero = F.lit(0).cast("long").alias("chunk")
+    if large.isEmpty():
+        dealt = keyed.select("band", "key", zero, *own)
+    else:
+        marked = keyed.join(large, ["band", "key"], "left")
+        wide = marked.where("chunks IS NOT NULL")
+        chunk = F.pmod(F.xxhash64("fp", "band"), F.col("chunks"))
+        leaders = wide.groupBy("band", "key", "chunks", F.pmod(F.xxhash64("band", "fp"), F.lit(how.leaders)).alias("class")).agg(F.min(F.struct(*own)).alias("x"))
+        spread = leaders.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "x.*")
+        dealt = marked.where("chunks IS NULL").select("band", "key", zero, *own).unionByName(wide.select("band", "key", chunk.cast("long").alias("chunk"), *own)).unionByName(spread)
+    sorted_ = dealt.repartition("band", "key", "chunk").sortWithinPartitions("band", "key", "chunk", "fp")
+    return sorted_.mapInArrow(_compare(how.radius, 3, how.words), "a long, b long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node with a link.
 
@@ -264,23 +434,26 @@ def _state(edges: DataFrame) -> tuple | None:
 
 def group(docs: DataFrame, keep: list[str], text: str = "text", id: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``row`` (the kept columns), ``fp`` and ``component_id`` (the smallest id linked to the row, itself included)."""
-    return _rooted(docs, keep, text, id, radius, shingle, bucket).drop("root")
+    return _rooted(docs, keep, text, id, radius=radius, shingle=shingle, bucket=bucket).drop("root")
 
 
-def _rooted(docs: DataFrame, keep: list[str], text: str, id: str, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def _rooted(docs: DataFrame, keep: list[str], text: str, id: str, wide: Wide | None = None, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``group`` with ``root``, which tells components apart where their smallest ids are equal or null."""
-    marked = cut(fingerprints(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, id, text])]), list(dict.fromkeys([*keep, id])), text, shingle).select("row", F.col("out.fp").alias("fp")))
-    classes = cut(marked.groupBy("fp").agg(F.min(F.col("row").getField(id)).alias("rep")))
-    found = components(links(classes.select("fp"), radius, bucket))
+    held, kept = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, id, text])]), list(dict.fromkeys([*keep, id]))
+    also = wide.columns if wide else []
+    marked = wide_fingerprints(held, kept, text, wide) if wide else fingerprints(held, kept, text, shingle)
+    marked = cut(marked.select("row", "out.fp", *[f"out.{c}" for c in also]))
+    classes = cut(marked.groupBy("fp").agg(F.min(F.col("row").getField(id)).alias("rep"), *[F.min(c).alias(c) for c in also]))
+    found = components(wide_links(classes, wide) if wide else links(classes.select("fp"), radius, bucket))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = cut(rooted.join(lowest, "root").select("fp", "root", "component_id"))
-    return marked.join(of, "fp").select("row", "fp", "root", "component_id")
+    return marked.select("row", "fp").join(of, "fp").select("row", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how) -> DataFrame:
     """The documents' own columns, exactly one row of each group: the one of the smallest id (none comes last),
-    then of the smallest fingerprint and hash of id and text.
+    then of the smallest fingerprint and hash of id and text. ``how`` is that of ``group``, or ``wide``.
 
     Rows are told apart by that hash (128 bits), not by their id. Texts meet only where id and text of a kept row
     repeat; of those rows the smallest hash of the whole row stays.
