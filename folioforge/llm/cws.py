@@ -5,7 +5,8 @@ letter, digit nor beyond ASCII) with their counts. For sample k a term's hash
 yields two Gamma(2, 1) variates r and c and a uniform b; with weight w,
 t = floor(ln w / r + b) and the term of smallest ln c - r (t - b + 1) is drawn.
 Two texts draw the same (term, t) with a probability equal to their
-generalised Jaccard similarity, so the share of equal samples estimates it.
+generalised Jaccard similarity, so the share of equal samples estimates it. The
+smallest value itself stands for (term, t), so each sample is one minimum.
 
 ``with_next`` finds each row's successor in descending id order with one
 shuffle of the texts: rows go to blocks of consecutive (id, text hash), cut at
@@ -15,17 +16,23 @@ block is, without another shuffle.
 
 Defined results: a null or empty text has no terms and a fingerprint of zeros
 (equal to that of any other text without words); rows that share an id are
-ordered by the hash of their text; a single row follows itself; an empty table gives no rows.
+ordered by the hash of their text; a single row follows itself; an empty table gives no rows;
+only id and text are read, so further columns cannot clash; a text's terms meet in one task,
+which takes memory in proportion to the text.
 """
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.store import cut, documents
 
-SAMPLES = 16
+SAMPLES = 64
 #: Rows aimed at per block, rows sampled for each, and the most blocks, which bounds the table of their first rows.
 BLOCK_ROWS, BLOCK_SAMPLE, MOST_BLOCKS = 1000, 4, 65_536
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,53 +89,42 @@ def _unit(bits: Column) -> Column:
     return (bits + 0.5) / float(1 << 32)
 
 
-def draw(term: Column, logs: dict[str, Column], sample: int) -> dict[str, tuple[Column, Column]]:
-    """For each named logarithm of a weight (null for 0): the value to minimise and the sample's code."""
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
-    high = lambda h: F.shiftrightunsigned(h, 32)
-    h1, h2, h3 = (F.xxhash64(term, F.lit(3 * sample + i)) for i in range(3))
-    r = -F.log(_unit(low(h1)) * _unit(high(h1)))
-    log_c = F.log(-F.log(_unit(low(h2)) * _unit(high(h2))))
-    b = _unit(low(h3))
-    out = {}
-    for name, log_w in logs.items():
-        t = F.floor(log_w / r + b)
-        out[name] = (log_c - r * (t - b + 1), term.bitwiseXOR(t))
-    return out
+def _gamma(h: Column) -> Column:
+    """A Gamma(2, 1) variate from the two halves of a 64-bit hash."""
+    return -F.log(_unit(h.bitwiseAND(F.lit(0xFFFFFFFF))) * _unit(F.shiftrightunsigned(h, 32)))
 
 
-def fingerprint_terms(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
-    """From rows (keys, ``term`` as a long, weights): per key and weight the samples' codes, as ``<weight>_<k>``."""
-    columns = []
-    terms = terms.select(*keys, "term", *[F.log(F.col(w)).alias(w) for w in weights])
-    for k in range(samples):
-        for name, (value, code) in draw(F.col("term"), {w: F.col(w) for w in weights}, k).items():
-            columns.append(F.min_by(code, value).alias(f"{name}_{k}"))
-    return terms.groupBy(*keys).agg(*columns)
+def draw(term: Column, log_w: Column, sample: int) -> Column:
+    """What the sample minimises over a text's terms; equal values mean the same term and t, as c is a hash of the
+    term and t moves the value by whole steps of r."""
+    h1, h2 = (F.xxhash64(term, F.lit(2 * sample + i)) for i in range(2))
+    r, b = _gamma(h2), _unit(h1.bitwiseXOR(h2).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.log(_gamma(h1)) - r * (F.floor(log_w / r + b) - b + 1)
 
 
-def terms_of(rows: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
-    """Words of several text columns, one row for each key and word, with a count for each text; a split's
-    empty parts count as no word, but keep the key of a text that has none."""
-    lower = lambda c: F.translate(c, _UPPER, _LOWER)
-    each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("body")) for i, c in enumerate(texts.values())])).alias("x"))
-    words = each.select(*keys, "x.which", F.explode(F.split(lower(F.col("x.body")), PARTS)).alias("word"))
-    counted = words.select(*keys, F.xxhash64("word").alias("term"), F.when(F.col("word") == "", -1).otherwise(F.col("which")).alias("which"))
-    return counted.groupBy(*keys, "term").agg(*[F.sum(F.when(F.col("which") == i, 1.0).otherwise(0.0)).alias(n) for i, n in enumerate(texts)])
+def fingerprint_terms(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """From rows (keys, ``term`` as a long, ``weight``; null for a text without terms): the keys and ``print``,
+    four hexadecimal digits for each sample."""
+    logs = terms.select(*keys, "term", F.log("weight").alias("log_w"))
+    drawn = logs.groupBy(*keys).agg(*[F.min(draw(F.col("term"), F.col("log_w"), k)).alias(f"s{k}") for k in range(samples)])
+    part = lambda c: F.substring(F.hex(F.when(c.isNull(), 0).otherwise(F.xxhash64(F.floor(c * float(1 << 30)))).bitwiseAND(F.lit(0xFFFF)) + 0x10000), 2, 4)
+    return drawn.select(*keys, F.lower(F.concat(*[part(F.col(f"s{k}")) for k in range(samples)])).alias("print"))
 
 
-def _joined(prefix: str, samples: int) -> Column:
-    part = lambda c: F.lower(F.lpad(F.hex(F.coalesce(c, F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.concat(*[part(F.col(f"{prefix}_{k}")) for k in range(samples)])
+def terms_of(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """Words of several text columns: keys, ``which`` (the column's place), term and weight (its count); a split's
+    empty parts have no weight, but keep the key of a text without words."""
+    each = rows.select(*keys, F.posexplode(F.array(*texts)).alias("which", "body"))
+    words = each.select(*keys, "which", F.explode(F.split("body", PARTS)).alias("word"))
+    lower = F.when(F.lower("word") == F.col("word"), F.col("word")).otherwise(F.translate("word", _UPPER, _LOWER))
+    counted = words.select(*keys, "which", F.when(F.col("word") != "", F.xxhash64(lower)).alias("term"))
+    return counted.groupBy(*keys, "which", "term").agg(F.count("term").alias("n")).select(*keys, "which", "term", F.when(F.col("n") > 0, F.col("n")).alias("weight"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """Share of equal samples of two fingerprints."""
-    same = [(F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8)).cast("double") for k in range(samples)]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return total / samples
+    same = [(F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4)).cast("int") for k in range(samples)]
+    return reduce(operator.add, same).cast("double") / samples
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -137,8 +133,9 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", sample
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs, id, text).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     info = rows.select("block", "place", "id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_block", "next_place")
-    drawn = fingerprint_terms(terms_of(rows, ["block", "place"], {"own": "text", "edit": "edited"}), ["block", "place"], ["own", "edit"], samples)
-    prints = drawn.select("block", "place", _joined("own", samples).alias("fingerprint"), _joined("edit", samples).alias("edited_fingerprint"))
+    drawn = fingerprint_terms(terms_of(rows, ["block", "place"], ["text", "edited"]), ["block", "place", "which"], samples)
+    of = lambda i: F.max(F.when(F.col("which") == i, F.col("print")))
+    prints = drawn.groupBy("block", "place").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
     known = cut(info.join(prints, ["block", "place"]))
     following = known.select(F.col("block").alias("next_block"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
     return known.join(following, ["next_block", "next_place"]).select(
