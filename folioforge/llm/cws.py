@@ -36,8 +36,8 @@ SAMPLES = 64
 #: Rows aimed at per block, rows sampled for each, and the most blocks, which bounds the table of their first rows.
 BLOCK_ROWS, BLOCK_SAMPLE, MOST_BLOCKS = 1000, 4, 65_536
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What parts words (fixed pattern).
-PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, before they are lower-cased (fixed pattern).
+PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
