@@ -10,12 +10,14 @@ allow-list pattern matches it. Spark's ``split`` on a pattern gives the text
 between matches, so match offsets are running sums of lengths.
 
 Defined results: a null or empty text has no spans; kinds may overlap; equal
-rows give equal results; offsets are code points, end exclusive.
+rows give equal results; offsets are code points, end exclusive; an empty table gives no rows; kept
+columns stay inside a struct, so their names cannot clash; time is linear in a text's length.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,30 +44,44 @@ ALLOW = [
 ]
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 _MICRO = 1_000_000
+#: Counts in one long; elements added up at a time.
+_PACKED, _BLOCK = 12, 256
 _GAIN = [0, *(round(c * math.log2(c) * _MICRO) for c in range(1, WINDOW + 1))]
 KINDS = ["assign", "access", "hex", "entropy"]
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def codes(candidate: Column) -> Column:
+    """Places in the alphabet, from 0, of a candidate's characters."""
+    return F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(_ALPHABET)) - 1)
+
+
 def entropy(codes: Column) -> Column:
-    """Largest Shannon entropy, in micro-bits, of the windows over ``codes`` (1-based alphabet places).
+    """Largest Shannon entropy, in micro-bits, of the windows over ``codes``.
 
-    The state holds the window's counts and their sum of c*log2(c); each step
-    changes one count up and, once the window is full, one down.
+    The state holds the window's counts, ``_PACKED`` of five bits in each long, and their sum of c*log2(c); each
+    step changes one count up and, once the window is full, one down.
     """
-    gain = F.array(*[F.lit(g).cast("long") for g in _GAIN])
-    start = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 40).cast("long").alias("least"))
+    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    gain, units, shifts = table(_GAIN), table([1 << 5 * (p % _PACKED) for p in range(len(_ALPHABET))]), table([5 * (p % _PACKED) for p in range(len(_ALPHABET))]).cast("array<int>")
+    longs = -(-len(_ALPHABET) // _PACKED)
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 40).cast("long").alias("least"))
 
-    def change(counts: Column, total: Column, place: Column, by: int) -> tuple[Column, Column]:
-        now = F.get(counts, place - 1)
-        return F.transform(counts, lambda c, k: F.when(k == place - 1, c + by).otherwise(c)), total + F.get(gain, now + by) - F.get(gain, now)
+    def change(s: Column, place: Column, by: int) -> Column:
+        at = F.floor(place / _PACKED).cast("int")
+        now = F.call_function("shiftrightunsigned", F.get(s["counts"], at), F.get(shifts, place)).bitwiseAND(31).cast("int")
+        counts = F.transform(s["counts"], lambda c, k: F.when(k == at, c + by * F.get(units, place)).otherwise(c))
+        return F.struct(counts.alias("counts"), (s["sum"] + F.get(gain, now + by) - F.get(gain, now)).alias("sum"), s["least"].alias("least"))
 
     def step(s: Column, i: Column) -> Column:
-        counts, total = change(s["counts"], s["sum"], F.get(codes, i), 1)
-        grown = F.struct(counts.alias("counts"), total.alias("sum"))
-        full = F.transform(F.array(grown), lambda g: F.struct(*[x.alias(n) for x, n in zip(change(g["counts"], g["sum"], F.get(codes, i - WINDOW), -1), ("counts", "sum"), strict=True)]))
-        after = F.when(i >= WINDOW, F.get(full, F.lit(0))).otherwise(grown)
-        return F.get(F.transform(F.array(after), lambda a: F.struct(a["counts"].alias("counts"), a["sum"].alias("sum"), F.when(i >= WINDOW - 1, F.least(s["least"], a["sum"])).otherwise(s["least"]).alias("least"))), F.lit(0))
+        grown = change(s, F.get(codes, i), 1)
+        after = F.when(i >= WINDOW, _let(grown, lambda g: change(g, F.get(codes, i - WINDOW), -1))).otherwise(grown)
+        return _let(after, lambda a: F.struct(a["counts"].alias("counts"), a["sum"].alias("sum"), F.when(i >= WINDOW - 1, F.least(a["least"], a["sum"])).otherwise(a["least"]).alias("least")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.floor((F.lit(_GAIN[WINDOW]).cast("long") - s["least"]) / WINDOW))
 
@@ -77,33 +93,45 @@ def _is_secret(candidate: Column) -> Column:
     least = F.lit(None).cast("long")
     for _, pattern, bits in reversed(CLASSES):
         least = F.when(candidate.rlike(pattern), F.lit(round(bits * _MICRO)).cast("long")).otherwise(least)
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(candidate)), lambda i: F.position(F.substring(candidate, i, F.lit(1)), F.lit(_ALPHABET)))
     mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
-    return F.coalesce(F.when(mixed & ~allowed, F.get(F.transform(F.array(codes), entropy), F.lit(0)) >= least), F.lit(False))
+    return F.coalesce(F.when(mixed & ~allowed, _let(codes(candidate), entropy) >= least), F.lit(False))
+
+
+def _before(steps: Column) -> Column:
+    """The sum of the elements before each, added up in blocks: what grows by one element is at most a block long."""
+    none = F.array().cast("array<int>")
+    blank = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    grow = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(steps, b * _BLOCK + 1, _BLOCK), blank, grow))
+
+    def joined(own: Column) -> Column:
+        bases = F.aggregate(own, blank, lambda s, b: grow(s, b["at"]), lambda s: s["out"])
+        return F.flatten(F.zip_with(own, bases, lambda b, base: F.transform(b["out"], lambda x: x + base)))
+
+    return F.when(F.size(steps) > 0, _let(blocks, joined)).otherwise(none)
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``row`` (the kept columns) and ``spans``: start, end and kind (place in KINDS), sorted."""
     patterns = [ASSIGN, ACCESS, HEX, CANDIDATE]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    each = range(len(patterns))
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), body.alias("body")).select("row", "body", *[F.regexp_extract_all("body", F.lit(p), F.lit(0)).alias(f"f{k}") for k, p in enumerate(patterns)])
-    between = found.select("row", *[f"f{k}" for k in range(4)], *[F.when(F.size(f"f{k}") > 0, F.transform(F.split("body", p, -1), F.char_length)).alias(f"b{k}") for k, p in enumerate(patterns)])
+    gaps = found.select("row", *[f"f{k}" for k in each], *[F.when(F.size(f"f{k}") > 0, F.transform(F.split("body", p, -1), F.char_length)).alias(f"b{k}") for k, p in enumerate(patterns)], *[F.transform(f"f{k}", F.char_length).alias(f"l{k}") for k in each])
+    placed = gaps.select("*", *[F.when(F.size(f"f{k}") > 0, _before(F.zip_with(F.col(f"l{k}"), F.slice(f"b{k}", F.lit(1), F.size(f"f{k}")), lambda x, y: x + y))).alias(f"s{k}") for k in each])
     value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
     good = [value, None, None, _is_secret]
 
     def spans(k: int) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            match = F.get(F.col(f"f{k}"), i)
-            start = s["at"] + F.get(F.col(f"b{k}"), i)
-            end = start + F.char_length(match)
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(k).alias("kind")))
-            return F.struct(end.alias("at"), (F.concat(s["out"], one) if good[k] is None else F.when(good[k](match), F.concat(s["out"], one)).otherwise(s["out"])).alias("out"))
+        def one(before: Column, i: Column) -> Column:
+            start = before + F.get(F.col(f"b{k}"), i)
+            return F.struct(start.alias("start"), (start + F.get(F.col(f"l{k}"), i)).alias("end"), (F.lit(True) if good[k] is None else good[k](F.get(F.col(f"f{k}"), i))).alias("good"))
 
-        none = F.array().cast(_SPANS)
-        some = F.aggregate(F.sequence(F.lit(0), F.size(f"f{k}") - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-        return F.when(F.size(f"f{k}") > 0, some).otherwise(none)
+        kept = F.filter(F.transform(f"s{k}", one), lambda s: s["good"])
+        some = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
+        return F.when(F.size(f"f{k}") > 0, some).otherwise(F.array().cast(_SPANS))
 
-    return between.select("row", _by_start(F.concat(*[spans(k) for k in range(4)])).alias("spans"))
+    return placed.select("row", _by_start(F.concat(*[spans(k) for k in each])).alias("spans"))
 
 
 def _by_start(spans: Column) -> Column:
@@ -122,16 +150,30 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     such a column, follows the new text."""
     found = scan(docs, docs.columns, text)
     old = F.col("row").getField(text)
+    piece = "array<struct<start:int,end:int>>"
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s["at"]
         return F.struct(
-            F.when(fresh, F.concat(s["kept"], F.substring(old, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["kept"]).alias("kept"),
             F.greatest(s["at"], x["end"]).alias("at"),
+            F.when(fresh, F.concat(s["kept"], F.array(F.struct(s["at"].alias("start"), x["start"].alias("end"))))).otherwise(s["kept"]).alias("kept"),
         )
 
-    new = F.aggregate("spans", F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), step, lambda s: F.concat(s["kept"], F.substring(old, s["at"] + 1, F.char_length(old))))
-    changed = found.select("row", F.when(F.size("spans") > 0, new).otherwise(old).alias("new"), (F.size("spans") > 0).alias("changed"))
+    cuts = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast(piece).alias("kept")), step, lambda s: F.concat(s["kept"], F.array(F.struct(s["at"].alias("start"), F.char_length(old).alias("end")))))
+    changed = found.select("row", (F.size("spans") > 0).alias("changed"), F.when(F.size("spans") > 0, cuts).alias("cuts"))
+
+    def block(b: Column) -> Column:
+        """The kept pieces of one block, taken from the stretch of text that holds them."""
+
+        def pieces(own: Column) -> Column:
+            low = F.get(own, F.lit(0))["start"]
+            part = F.substring(old, low + 1, F.get(own, F.size(own) - 1)["end"] - low)
+            return _let(part, lambda t: F.transform(own, lambda x: F.substring(t, x["start"] - low + 1, x["end"] - x["start"])))
+
+        return _let(F.slice(F.col("cuts"), b * _BLOCK + 1, _BLOCK), pieces)
+
+    new = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size("cuts") - 1) / _BLOCK).cast("int")), block)), mark)
+    changed = changed.select("row", "changed", F.when(F.col("changed"), new).otherwise(old).alias("new"))
     own = lambda c: F.col("new") if c == text else F.when(F.col("changed"), F.char_length("new").cast(docs.schema[c].dataType)).otherwise(F.col("row").getField(c)) if c == "n_chars" else F.col("row").getField(c)
     return changed.select(*[own(c).alias(c) for c in docs.columns])
 
