@@ -4,12 +4,15 @@
 still change it; ``Encoder.push`` reads symbols in any pieces, keeps at most a
 few times that many, and emits a token as soon as it is stable. ``Decoder``
 turns ids back into bytes and emits text whenever a UTF-8 character is
-complete. A task remembers the output of the white-space separated pieces it
-has met, up to ``MEMO`` of them.
+complete. A text is read a slice of ``SLICE`` characters at a time, and what
+each slice gives goes to the digests at once, so beside the text itself and
+the ids that are asked for, a task holds a slice, a window, and the output of
+the words it has met (at most ``MEMO`` of them, of at most ``SHORT`` characters).
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 text; special tokens' strings in a text become their ids; very long words are
-held a window at a time; equal rows give equal results.
+held a window at a time; equal rows give equal results; an empty table gives no
+rows; kept columns stay inside a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ from pyspark.sql import types as T
 from folioforge.llm.arrowtext import annotate, list_array
 from folioforge.llm.store import documents
 
-#: Pieces whose output a task remembers.
-MEMO = 500_000
-#: Tokens decoded at a time.
-STEP = 1 << 16
+#: Words whose output a task remembers, and their length at most.
+MEMO, SHORT = 250_000, 32
+#: Characters read at a time.
+SLICE = 1 << 16
 #: The characters of the Unicode property White_Space.
 _SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACES = regex.compile(f"[{''.join(map(chr, _SPACE))}]+")
@@ -125,13 +128,13 @@ class Encoder:
         self.held: list[int] = []
 
     def push(self, data: bytes) -> Iterator[int]:
-        inner, room = self.v.inner, self.window
-        while len(self.held) + len(data) >= room:
-            take = room - len(self.held)
-            self.held += [inner[b] for b in data[:take]]
-            data = data[take:]
+        inner, at = self.v.inner, 0
+        while len(self.held) + len(data) - at >= self.window:
+            take = self.window - len(self.held)
+            self.held += [inner[b] for b in data[at : at + take]]
+            at += take
             yield from self._stable()
-        self.held += [inner[b] for b in data]
+        self.held += [inner[b] for b in data[at:]]
 
     def _stable(self) -> Iterator[int]:
         read, last = 0, len(self.held) - self.v.lookahead
@@ -142,13 +145,6 @@ class Encoder:
             yield token
         del self.held[:read]
 
-    def whole(self, data: bytes) -> list[int]:
-        """A word that is all there: pushed, then finished."""
-        if len(data) < self.window:
-            self.held = [*map(self.v.inner.__getitem__, data)]
-            return self.finish()
-        return [*self.push(data), *self.finish()]
-
     def finish(self) -> list[int]:
         """The end of a word: all that is held becomes stable."""
         done, self.held = self.held, []
@@ -189,28 +185,34 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
+Piece = tuple[str, bytes]
+
+
+def _packed(ids: list[int]) -> Piece:
+    """The ids in decimal, joined by spaces, and as int32 bytes."""
+    return " ".join(map(str, ids)), array("i", ids).tobytes()
+
+
 class Codec:
-    """Whole texts to ids and back, with a bounded memo of pieces."""
+    """Texts to ids and back: every word goes through the transducer once, and a bounded memo keeps what came out."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.encoder = Encoder(self.v)
-        self.memo: dict[str, tuple[str, bytes]] = {}
-        self.pieces: dict[str, tuple[str, bytes]] = {}
-
-    def word(self, word: str) -> tuple[str, bytes]:
-        """The ids in decimal, joined by spaces, and as int32 bytes."""
-        ids = self.encoder.whole(word.encode())
-        out = (" ".join(map(str, ids)), array("i", ids).tobytes())
-        if len(word) <= 100:
+        self.memo: dict[str, Piece] = {}
+        self.pieces: dict[str, Piece] = {}
+
+    def word(self, word: str) -> Piece:
+        out = _packed([*self.encoder.push(word.encode()), *self.encoder.finish()])
+        if len(word) <= SHORT:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = out
         return out
 
-    def piece(self, piece: str) -> tuple[str, bytes]:
-        """The same of a run without white space, which may hold several words."""
-        lower = "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
+    def piece(self, piece: str) -> Piece:
+        """Of a run without white space, which may hold several words."""
+        lower = self._lower(piece)
         known, made = self.memo.get, self.word
         words = [known(w) or made(w) for w in ([lower] if _LETTERS(lower) else _WORDS.findall(lower))]
         out = words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), b"".join([w[1] for w in words]))
@@ -220,42 +222,99 @@ class Codec:
             self.pieces[piece] = out
         return out
 
-    def _span(self, text: str) -> list[tuple[str, bytes]]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+    @staticmethod
+    def _lower(piece: str) -> str:
+        return "".join(map(str.lower, piece)) if "Σ" in piece else piece.lower()
+
+    def _run(self, run: str) -> Iterator[list[Piece]]:
+        """Of a run without white space that is longer than a slice: its words, long ones as they become stable."""
+        held: list[Piece] = []
+        for m in _WORDS.finditer(self._lower(run)):
+            start, end = m.span()
+            if end - start <= SLICE:
+                held.append(self.memo.get(m[0]) or self.word(m[0]))
+                if len(held) >= SLICE:
+                    yield held
+                    held = []
+            else:
+                yield held
+                held = []
+                for at in range(start, end, SLICE):
+                    yield [_packed(list(self.encoder.push(m.string[at : min(end, at + SLICE)].encode())))]
+                yield [_packed(self.encoder.finish())]
+        yield held
+
+    def _span(self, text: str) -> Iterator[list[Piece]]:
+        """Of text without special tokens, slice by slice; slices end after a space or line feed, where there is one."""
         known, made = self.pieces.get, self.piece
-        return [known(p) or made(p) for p in (_SPACES.split(text) if _ODD_SPACE.search(text) else text.split())]
-
-    def encode(self, text: str) -> list[tuple[str, bytes]]:
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > SLICE:
+                end = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE)) + 1
+                if not end:
+                    after = [x for x in (text.find(" ", at + SLICE), text.find("\n", at + SLICE)) if x >= 0]
+                    end = min(after) + 1 if after else len(text)
+            part = text[at:end]
+            at = end
+            if not unicodedata.is_normalized("NFC", part):
+                part = unicodedata.normalize("NFC", part)
+            split = _SPACES.split(part) if _ODD_SPACE.search(part) else part.split()
+            if len(part) <= SLICE:
+                yield [known(p) or made(p) for p in split]
+            else:
+                for run in split:
+                    yield from self._run(run)
+
+    def stream(self, text: str) -> Iterator[list[Piece]]:
+        """The text's tokens as they become stable, in lists of (decimal ids, int32 bytes)."""
         special = self.v.special_at
         if special is None or not special.search(text):
-            return [x for x in self._span(text) if x[1]]
-        out, at = [], 0
+            yield from self._span(text)
+            return
+        at = 0
         for m in special.finditer(text):
-            i = self.v.special[m[0]]
-            out += [*self._span(text[at : m.start()]), (str(i), np.int32(i).tobytes())]
+            yield from self._span(text[at : m.start()])
+            yield [_packed([self.v.special[m[0]]])]
             at = m.end()
-        return [x for x in out + self._span(text[at:]) if x[1]]
+        yield from self._span(text[at:])
+
+    def encode(self, text: str) -> list[int]:
+        return [i for pieces in self.stream(text) for p in pieces for i in array("i", p[1])]
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = Decoder(self.v)
         return machine.push_all(list(ids)) + machine.finish()
 
-    def decoded_digest(self, ids: np.ndarray) -> str:
-        """SHA-256 of the decoded text as the library gives it, fed to the digest ``STEP`` tokens at a time."""
-        digest, machine = hashlib.sha256(), Decoder(self.v, symbols=True)
-        for lo in range(0, len(ids), STEP):
-            digest.update(machine.push_all(ids[lo : lo + STEP].tolist()).encode())
-        digest.update(machine.finish().encode())
-        return digest.hexdigest()
 
+class Digests:
+    """Takes tokens as they come: their number, and the SHA-256 of the decimal ids, joined by one space, and of
+    what the incremental decoder makes of them."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.n, self.ids, self.text, self.machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(vocabulary, symbols=True)
+
+    def add(self, pieces: list[Piece]) -> bytes:
+        """The pieces' ids as int32 bytes."""
+        raw = b"".join([p[1] for p in pieces])
+        if raw:
+            self.ids.update((" " * (self.n > 0) + " ".join([p[0] for p in pieces if p[0]])).encode())
+            self.text.update(self.machine.push_all(np.frombuffer(raw, dtype=np.int32).tolist()).encode())
+            self.n += len(raw) // 4
+        return raw
+
+    def finish(self) -> tuple[int, str, str]:
+        self.text.update(self.machine.finish().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
-_codecs: dict[str, Codec] = {}
 
+_codecs: dict[str | None, Codec] = {}
 
-def codec(path: str) -> Codec:
+
+def codec(path: str | None) -> Codec:
+    """One per Python worker; without a path, of the default vocabulary, which the worker looks up itself."""
     if path not in _codecs:
-        _codecs[path] = Codec(path)
+        _codecs[path] = Codec(path or default_vocabulary())
     return _codecs[path]
 
 
@@ -275,23 +334,26 @@ OUT = T.StructType(
 )
 
 
-def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None, keep: list[str], text: str = "text", with_ids: bool = True) -> DataFrame:
     """``row`` (the kept columns) beside ``out``: token ids (null unless ``with_ids``), their number, and the
-    SHA-256 of the decimal ids, joined by one space, and of what those ids decode to in the library."""
+    SHA-256 of the decimal ids, joined by one space, and of what those ids decode to in the library.
+
+    ``vocabulary`` is a file that the executors can open, or None for the default one of their own installation.
+    """
 
     def make():
         tool = codec(vocabulary)
 
         def work(chunk):
-            counts, ids, decoded, raw = [], [], [], []
+            done, raw = [], []
             for t in chunk.texts():
-                pieces = tool.encode(t)
-                whole = b"".join([x[1] for x in pieces])
-                ids.append(hashlib.sha256(" ".join([x[0] for x in pieces]).encode()).hexdigest())
-                decoded.append(tool.decoded_digest(np.frombuffer(whole, dtype=np.int32)))
-                counts.append(len(whole) // 4)
-                if with_ids:
-                    raw.append(whole)
+                sink = Digests(tool.v)
+                for pieces in tool.stream(t):
+                    ids = sink.add(pieces)
+                    if with_ids:
+                        raw.append(ids)
+                done.append(sink.finish())
+            counts, ids, decoded = zip(*done, strict=True)
             lists = list_array(np.frombuffer(b"".join(raw), dtype=np.int32), np.array(counts), pa.int32()) if with_ids else pa.nulls(chunk.rows, pa.list_(pa.int32()))
             return [counts, ids, decoded, lists]
 
@@ -300,7 +362,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text"
     return annotate(docs, text, OUT, make, keep)
 
 
-def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", to: str = "text") -> DataFrame:
+def decode(tokens: DataFrame, vocabulary: str | None, ids: str = "ids", to: str = "text") -> DataFrame:
     """Adds the plain text of each row's ids: words lower-cased as encoded, a space after each (null ids: null)."""
     @F.pandas_udf(T.StringType())
     def text_of(column: pd.Series) -> pd.Series:
@@ -311,5 +373,5 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", to: str = "text
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = encode(documents(spark, sf_dir), default_vocabulary(), ["doc_id"], with_ids=False)
+    done = encode(documents(spark, sf_dir), None, ["doc_id"], with_ids=False)
     return done.select("row.doc_id", "out.n_tokens", "out.ids_sha256", "out.decoded_sha256")

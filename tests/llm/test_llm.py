@@ -88,9 +88,12 @@ def test_bpe_equals_the_library(spark, odd):
     for t in texts:
         wanted = library.encode(t, add_special_tokens=False)
         got = own.encode(t)
-        assert [i for x in got for i in np.frombuffer(x[1], np.int32)] == wanted.ids
+        assert got == wanted.ids
         decoded = library.decode(wanted.ids, skip_special_tokens=False)
-        assert own.decoded_digest(np.array(wanted.ids, np.int32)) == hashlib.sha256(decoded.encode()).hexdigest()
+        sink = bpe.Digests(own.v)
+        for pieces in own.stream(t):
+            sink.add(pieces)
+        assert sink.finish() == (len(wanted.ids), hashlib.sha256(" ".join(map(str, wanted.ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
         machine = bpe.Decoder(own.v, symbols=True)
         assert "".join(machine.push_all(wanted.ids[i : i + 3]) for i in range(0, len(wanted.ids), 3)) == decoded
     rows = bpe.encode(odd, path, ["doc_id"]).select("row.doc_id", "out.*")
@@ -99,6 +102,33 @@ def test_bpe_equals_the_library(spark, odd):
     assert got[5].text.replace(" ", "") == "été" * 3000 and got[6].text == "x" * 5000 + " " and got[5].n_tokens == len(got[5].ids)
 
 
+def test_bpe_query_equals_the_library(spark, sf, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = QUERIES["op2_bpe"](spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        ids = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_bpe_slices_give_what_whole_texts_give(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own, r = Tokenizer.from_file(bpe.default_vocabulary()), bpe.Codec(bpe.default_vocabulary()), random.Random(9)
+    monkeypatch.setattr(bpe, "SLICE", 40)
+    parts = ["the ", "é", "e\u0301", " \u0301", "日本語", "<|endoftext|>", "!?", "'s ", "\n", "\x1c", "ab" * 45, "word", "12 ", "\u3000", "x" * 90 + "-"]
+    for _ in range(200):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert not own.encoder.held
+    long = "abc" * 60_000
+    assert own.encode(long) == library.encode(long, add_special_tokens=False).ids
+
+
 def test_bpe_window_is_bounded():
     v = bpe.Vocabulary(bpe.default_vocabulary())
     e = bpe.Encoder(v)
