@@ -1,54 +1,72 @@
-"""Marks query tokens in displayed text, exactly aligned with the folded form."""
+"""Marks query tokens in displayed text, in Column functions.
+
+A token becomes a pattern that allows the marks and quotes which folding removes
+between its letters. Its matches and the text between them give spans by running
+sums; the spans of all tokens are merged where they touch, and the text is put
+together from escaped stretches.
+"""
 
 from __future__ import annotations
 
-import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from folioforge.functions.text import MARKS, QUOTES
-
-
-def _fold(text: str) -> str:
-    return re.sub(MARKS, "", text).translate({ord(q): None for q in QUOTES[:-1]}).lower()
-
-
-def highlight_text(text: str | None, tokens: list[str]) -> str:
-    """Escaped text with every occurrence of a token in ``mark``; touching marks merge."""
-    source = text or ""
-    flat, origin = [], []
-    for i, char in enumerate(source):
-        for folded in _fold(char):
-            flat.append(folded)
-            origin.append(i)
-    joined, spans = "".join(flat), []
-    for token in tokens:
-        at = joined.find(token)
-        while at >= 0:
-            spans.append((origin[at], origin[at + len(token) - 1] + 1))
-            at = joined.find(token, at + len(token))
-    out, done = [], 0
-    merged: list[list[int]] = []
-    for start, end in sorted(spans):
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    escape = lambda s: html.escape(s).replace("&#x27;", "&#39;")
-    for start, end in merged:
-        out += [escape(source[done:start]), "<mark>", escape(source[start:end]), "</mark>"]
-        done = end
-    return "".join(out) + escape(source[done:])
+
+from folioforge.functions.text import MARKS, QUOTES, escape_html
+
+_SPAN = "array<struct<start:int,end:int>>"
+_SKIPPED = f"(?:{MARKS}|[{re.escape(QUOTES[:-1])}])*"
+
+
+def query_tokens(query: str) -> list[str]:
+    """The folded words of a query: no marks, no quotes, lower case."""
+    return re.sub(f"{MARKS}|[{re.escape(QUOTES[:-1])}]", "", query).lower().split()
+
+
+def token_pattern(token: str) -> str:
+    letters = [re.sub(r"([^\w\s])", r"\\\1", c) for c in token]
+    return "(?iu)" + _SKIPPED.join(letters)
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """Where the pattern matches, leftmost first, without overlaps."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+
+    def grow(s: Column, i: Column) -> Column:
+        start = s["at"] + F.char_length(F.get(between, i))
+        end = start + F.char_length(F.get(found, i))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+    none = F.array().cast(_SPAN)
+    all_ = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), grow, lambda s: s["out"])
+    return F.when(F.size(found) > 0, all_).otherwise(none)
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that overlap or touch as one."""
+
+    def join(s: Column, x: Column) -> Column:
+        last = F.get(s, F.size(s) - 1)
+        longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(s) > 0) & (x["start"] <= last["end"]), longer).otherwise(F.concat(s, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPAN), join)
 
 
 def highlight(c: Column, query: str) -> Column:
-    tokens = [t for t in re.split(r"\s+", _fold(query)) if t]
+    """Escaped text with every stretch that a token matches in ``mark``; a null text counts as empty."""
+    text = F.coalesce(c, F.lit(""))
+    tokens = query_tokens(query)
+    if not tokens:
+        return escape_html(text)
+    spans = _merged(F.concat(*[_spans(text, token_pattern(t)) for t in tokens]))
 
-    def marked(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: highlight_text(x, tokens))
+    def stitched(s: Column) -> Column:
+        piece = lambda a, b: escape_html(F.substring(text, a + 1, b - a))
+        before = lambda i: F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0)
+        marked = F.transform(s, lambda x, i: F.concat(piece(before(i), x["start"]), F.lit("<mark>"), piece(x["start"], x["end"]), F.lit("</mark>")))
+        return F.concat(F.array_join(marked, ""), piece(before(F.size(s)), F.char_length(text)))
 
-    return F.pandas_udf(marked, T.StringType())(c)
+    return F.get(F.transform(F.array(spans), stitched), F.lit(0))

@@ -73,15 +73,20 @@ def index_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(unaccent(c)), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
-def has_hebrew(c: Column) -> Column:
-    return c.rlike(HEBREW)
+def has_script(c: Column, script: str = HEBREW) -> Column:
+    """Whether the text holds a character of the script, Hebrew letters by default."""
+    return c.rlike(script)
+
+
+def squeezed(c: Column) -> Column:
+    """White space collapsed to single spaces, null as empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")
 
 
 def clean(c: Column) -> Column:
     """White space collapsed, ends stripped of spaces, direction marks, colons, dots and bars, then leading dashes."""
     ends = "[" + re.escape(CLEANED) + "]+"
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")
-    c = F.regexp_replace(c, f"^{ends}|{ends}$", "")
+    c = F.regexp_replace(squeezed(c), f"^{ends}|{ends}$", "")
     return F.regexp_replace(c, f"^[{DASHES} ]+", "")
 
 

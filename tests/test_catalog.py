@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
-from folioforge.functions.highlight import highlight_text
+from folioforge.functions.highlight import highlight
 from folioforge.operators import catalog as ca
 from folioforge.operators import index as ix
 from folioforge.operators import outcomes as oc
@@ -16,6 +16,7 @@ from folioforge.plans.query import compile_query
 from folioforge.sources import responses as rs
 from folioforge.streaming import ingest
 
+# Catalog rows that results of the catalog's tests refer to.
 ROWS = [
     (14763, "משנה תורה", 'הרמב"ם', "ה'תק\"פ", "ורשה", "הלכה"),
     (9780, "שולחן ערוך אורח חיים", "ר' יוסף קארו", 'שכ"ה', "ויניציאה", "הלכה"),
@@ -107,10 +108,24 @@ def test_index_round_trip_and_replacement(spark, catalog, tmp_path):
     assert {(r.id, r.term, r.weight) for r in new.terms.collect()} == {(r.id, r.term, r.weight) for r in fresh.terms.collect()}
 
 
-def test_highlight():
-    assert highlight_text('הרמב"ם <b>', ["רמבם"]) == 'ה<mark>רמב&quot;ם</mark> &lt;b&gt;'
-    assert highlight_text("abab", ["ab"]) == "<mark>abab</mark>"
-    assert highlight_text(None, ["a"]) == "" and highlight_text("a'b", ["x"]) == "a&#39;b"
+@pytest.mark.parametrize(
+    ("text", "query", "wanted"),
+    [
+        ('הרמב"ם <b>', "רמבם", 'ה<mark>רמב&quot;ם</mark> &lt;b&gt;'),
+        ("abab", "ab", "<mark>abab</mark>"),
+        ("abcd", "bc AB", "<mark>abc</mark>d"),
+        ("x.y (z)", ". (", "x<mark>.</mark>y <mark>(</mark>z)"),
+        ("בְּרֵאשִׁית ברא", "ברא", "<mark>בְּרֵא</mark>שִׁית <mark>ברא</mark>"),
+        ("É é", "é", "<mark>É</mark> <mark>é</mark>"),
+        (None, "a", ""),
+        ("", "a", ""),
+        ("a'b", "x", "a&#39;b"),
+        ("a'b & c", "", "a&#39;b &amp; c"),
+        ("a'b", "ab", "<mark>a&#39;b</mark>"),
+    ],
+)
+def test_highlight(spark, text, query, wanted):
+    assert one(spark, lambda c: highlight(c, query), text) == wanted
 
 
 PAGES = {
@@ -128,12 +143,36 @@ PAGES = {
 
 def test_inspect(spark):
     df = spark.createDataFrame([(i, k, h) for i, (k, h) in enumerate(PAGES.items())], "id long, name string, html string")
-    got = {r.name: r for r in rs.inspect(df).collect()}
+    got = {r.row.name: r for r in rs.inspect(df).collect()}
     assert (got["detail"].book.title, got["detail"].book.author, got["detail"].book.city, got["detail"].book.category) == ("זהר", 'רשב"י', "ורשה", "קבלה")
     assert got["english"].book.title == "Some Book" and got["english"].book.author == ""
     assert got["legacy"].book.title == "העיטור - א" and got["legacy"].book.author == "רבי יצחק"
     assert {k: got[k].reason for k in ("home", "other", "blocked", "untitled", "short", "none")} == {"home": "dead-title", "other": "not-hebrew", "blocked": "blocked-page", "untitled": "no-title", "short": "empty-body", "none": "empty-body"}
     assert rs.describe(rs.inspect(df)).count() == len(PAGES)
+    clash = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["reason", "book", "detail", "trace", "marker", "_p", "cells", "source", "row"])])
+    assert {tuple(r.row)[3:] for r in rs.inspect(clash).collect()} == {tuple(range(9))}
+    assert rs.inspect(df.where("false")).count() == 0
+
+
+def test_page_cells_and_fields(spark):
+    deep = "<div>" * 3000 + "<h1>Deep</h1>" + "</div>" * 3000
+    page = (
+        "<title>T</title><table><tr><td>Author<td>A<td>x<tr><td>שם הספר:</td><td>The Book</td></tr><tr><th>year<th>1900<table><tr><td>inner<td>1</table></table>"
+        "<dl><dt>City<dt>Place<dd>Rome<dd>no</dl><b>Subject:</b> halakha<b>Topic:</b><i>not text</i><p><b>plain</b> no</p>" + deep
+    )
+    found = rs.page_cells(page)
+    assert ("cell", "Author", "A") in found and ("cell", "A", "x") in found and ("term", "City", "Rome") in found and ("term", "Place", "Rome") in found
+    assert ("bold", "Subject:", " halakha") in found and not any(k == "bold" and l == "Topic:" for k, l, _ in found) and ("h1", "", "Deep") in found
+    df = spark.createDataFrame([(1, page)], "id long, html string")
+    r = df.select(rs.candidates(rs.cells(F.col("html"))).alias("c"), rs.fields(rs.cells(F.col("html")), rs.FIELD_LABELS).alias("f")).first()
+    assert [(x.source, x.text) for x in r.c] == [("<title>", "T"), ("<h1>", "Deep"), ("table:title", "The Book")]
+    assert (r.f.author, r.f.city, r.f.category) == ("A", "Rome", "halakha") and r.f.year.startswith("1900")
+
+
+@pytest.mark.parametrize(("raw", "kind", "wanted"), [("שלום".encode("cp1255"), "text/html; charset=windows-1255", "שלום"), ("שלום".encode("cp1255"), None, "שלום"), ("שלום".encode(), "text/html", "שלום"), ("é".encode("latin1"), 'x; charset="ISO-8859-1"; y', "é"), ("é".encode(), "charset=nonsense", "é"), (b"", "", ""), (None, None, ""), (b"\xff\xd9\xfc", "charset=utf-8", None)])
+def test_decode_body(spark, raw, kind, wanted):
+    got = spark.createDataFrame([(raw and bytearray(raw), kind)], "b binary, k string").select(rs.decode_body(F.col("b"), F.col("k")).alias("t")).first().t
+    assert got == wanted if wanted is not None else "\ufffd" in got
 
 
 def test_classify(spark):
