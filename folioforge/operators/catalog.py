@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import store
 from folioforge.operators import index as ix
 from folioforge.operators import search as se
+from folioforge.operators import writes as wr
+from folioforge.schema import MISSES, STATE
 
 
 class CatalogMissing(Exception):
@@ -43,26 +48,63 @@ def chips(books: DataFrame, k: int = 8) -> DataFrame:
     return head.withColumn("prio", F.lit(0)).unionByName(histogram(books, k).withColumn("prio", F.lit(1)))
 
 
+def check_page(limit: int, offset: int = 0, most: int = 100) -> None:
+    """The public reads' bounds: a limit of 1 to ``most`` and no negative offset, else ValueError."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}: {limit}")
+    if offset < 0:
+        raise ValueError(f"offset must not be negative: {offset}")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """One JSON text per row, in the rows' order; null fields stay, as clients expect them."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 class Catalog:
-    """An open catalog: the table, its index, and the public reads."""
+    """An open catalog: the tables, the index, and the public reads.
 
-    def __init__(self, books: DataFrame, index: ix.Index | None = None):
-        self.books, self.index = books, index or ix.build(books)
+    On disk it is a folder of versions (``store.publish``), each with books, misses, state and the index, so
+    that what a reader opens fits together.
+    """
+
+    def __init__(self, books: DataFrame, index: ix.Index | None = None, misses: DataFrame | None = None, folder: str | None = None):
+        self.books, self.index, self.misses, self.folder = books, index or ix.build(books), misses, folder
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Catalog:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{path}/books")
-        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        folder = store.current(spark, path)
+        if folder is None:
             raise CatalogMissing(f"no catalog at {path}")
-        return Catalog(spark.read.parquet(f"{path}/books"), ix.Index.read(spark, f"{path}/index"))
+        return Catalog(spark.read.parquet(f"{folder}/books"), ix.Index.read(spark, f"{folder}/index"), spark.read.parquet(f"{folder}/misses"), folder)
+
+    def save(self, path: str, last_id: int = 0, files: int = 8) -> Catalog:
+        """Publishes the tables as the path's new version: books by category, then author, which keeps the row
+        groups of equality filters few; the index by term."""
+        spark = self.books.sparkSession
+        misses = self.misses if self.misses is not None else spark.createDataFrame([], MISSES)
+        state = spark.createDataFrame([("last_id", str(last_id))], STATE).coalesce(1)
+        books = self.books.repartitionByRange(files, "category", "author").sortWithinPartitions("category", "author", "id")
+        store.publish({"books": books, "misses": misses, "state": state}, path, prepare=lambda folder: self.index.write(f"{folder}/index", files))
+        return Catalog.open(spark, path)
+
+    def last_id(self) -> int:
+        return wr.get_checkpoint(self.books.sparkSession, f"{self.folder}/state") if self.folder else 0
 
     def search(self, query: str = "", category: str = "", limit: int = 30, offset: int = 0) -> dict:
         """The response envelope; the page is a DataFrame."""
+        check_page(limit, offset)
         count = se.total(self.index, self.books, query, category).first().total
-        return {"books": se.search(self.index, self.books, query, category, limit, offset), "total": count, "limit": se.clamp(limit), "offset": offset, "query": query, "category": category, "has_more": offset + se.clamp(limit) < count}
+        return {"books": se.search(self.index, self.books, query, category, limit, offset), "total": count, "limit": limit, "offset": offset, "query": query, "category": category, "has_more": offset + limit < count}
+
+    def search_json(self, query: str = "", category: str = "", limit: int = 30, offset: int = 0) -> str:
+        """The envelope as JSON text; a page has at most 100 rows."""
+        found = self.search(query, category, limit, offset)
+        rows = [json.loads(r.json) for r in as_json(found["books"]).collect()]
+        return json.dumps(found | {"books": rows}, ensure_ascii=False)
 
     def suggest(self, query: str, limit: int = 8) -> DataFrame:
+        check_page(limit, most=20)
         return se.suggest(self.index, self.books, query, limit)
 
     def book(self, id: int, **links) -> DataFrame:
@@ -75,7 +117,10 @@ class Catalog:
         return histogram(self.books)
 
     def stats(self) -> dict:
-        return {"total": self.books.count(), "categories": [(r.category, r.n) for r in self.categories().collect()]}
+        """Totals of books, misses and categories, and the size on disk in MB."""
+        spark = self.books.sparkSession
+        size = round(store.size_of(spark, self.folder) / 1e6, 1) if self.folder else None
+        return {"total": self.books.count(), "misses": self.misses.count() if self.misses is not None else 0, "categories": [(r.category, r.n) for r in self.categories().collect()], "size_mb": size, "last_id": self.last_id()}
 
     def health(self) -> dict:
         return {"ok": True, "total": self.books.count()}

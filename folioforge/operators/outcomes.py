@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import retry_after, retry_delay
 from folioforge.schema import GAPS, HARD, REFUSED
 
 
@@ -93,8 +94,9 @@ def accepted(outcomes: DataFrame, **how) -> DataFrame:
 
 
 def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0, chunk_rows: int = 100_000) -> DataFrame:
-    """Per worker (``worker`` column) the delay after its last outcome: refusals double it within bounds, others
-    let it fall by a tenth to the base.
+    """Per worker (``worker`` column) the delay after its last outcome: refusals double it within bounds, or raise
+    it to the seconds that the server asked for (``wait`` column, if there is one and it is not null); others let
+    it fall by a tenth to the base.
 
     An ordered fold without a worker's whole log in one place: each outcome clamps a multiple of the delay,
     d -> min(hi, max(lo, m d)), and so does any run of them. Chunks of ``chunk_rows`` sequence numbers are folded
@@ -102,22 +104,43 @@ def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0, chunk_r
     """
     if base > most:  # the first refusal sets the delay for good
         return outcomes.groupBy("worker").agg(F.when(F.max(F.coalesce(F.col("reason").isin(*REFUSED), F.lit(False))), F.lit(float(most))).otherwise(F.lit(float(base))).alias("delay"))
+    wait = F.col("wait").cast("double") if "wait" in outcomes.columns else F.lit(None).cast("double")
     number = lambda x: F.lit(float(x))
     triple = lambda m, lo, hi: F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"))
     bound = lambda x, lo, hi: F.least(hi, F.greatest(lo, x))
 
     def step(d: Column, x: Column) -> Column:
         refused = x["reason"].isin(*REFUSED)
-        m, lo, hi = (F.when(refused, number(a)).otherwise(number(b)) for a, b in ((2, 0.9), (min(0.25, most), base), (most, "inf")))
+        m = F.when(refused & x["wait"].isNotNull(), 1.0).when(refused, 2.0).otherwise(0.9)
+        lo = F.when(refused, F.least(number(most), F.coalesce(x["wait"], number(0.25)))).otherwise(number(base))
+        hi = F.when(refused, number(most)).otherwise(number("inf"))
         # beyond 1e100 either way the bounds decide
         return triple(bound(d["m"] * m, number(1e-100), number(1e100)), bound(d["lo"] * m, lo, hi), bound(d["hi"] * m, lo, hi))
 
-    chunks = outcomes.groupBy("worker", F.expr(f"seq div {chunk_rows}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("seq", "reason"))).alias("log"))
+    chunks = outcomes.groupBy("worker", F.expr(f"seq div {chunk_rows}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("seq", "reason", wait.alias("wait")))).alias("log"))
     folded = chunks.select("worker", "chunk", F.aggregate("log", triple(number(1), number(0), number("inf")), step).alias("f"))
     order = folded.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("log"))
     return order.select("worker", F.aggregate("log", number(base), lambda d, x: bound(d * x["f"]["m"], x["f"]["lo"], x["f"]["hi"])).alias("delay"))
 
 
+def retry_plan(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """id, attempt, status and ``wait``: seconds before the next attempt; null where none follows.
+
+    Refusals for pace (429) wait as the server says, refusals (403), server errors and failures without a status
+    by their own schedules; other statuses, and the last of ``most`` attempts, are final.
+    """
+    status, attempt = F.col("status"), F.col("attempt")
+    again = status.isNull() | status.isin(403, 429) | (status >= 500)
+    wait = F.when(status == 429, retry_after(F.element_at("headers", "retry-after"))).otherwise(retry_delay(F.coalesce(status, F.lit(500)), attempt))
+    return attempts.select("id", "attempt", "status", F.when(again & (attempt < most - 1), wait).alias("wait"))
+
+
+def report(outcomes: DataFrame) -> DataFrame:
+    """The summary as lines of text: place, line (reason, count with thousands marks, share)."""
+    s = summary(outcomes).select("*", F.row_number().over(Window.orderBy(F.desc("n"), "first_seq")).alias("place"))  # one row per reason
+    return s.select("place", F.format_string("%-14s %12s %6.1f%%", "reason", F.format_number("n", 0), "share").alias("line"))
+
+
 def progress(outcomes: DataFrame, ts: str = "ts", every: str = "10 seconds") -> DataFrame:
     """The conditional totals per tumbling window."""
     return outcomes.groupBy(F.window(ts, every).alias("w")).agg(*counters()).select(F.col("w.start").alias("window_start"), *["found", "missing", "failed", "blocked", "challenged", "processed"])

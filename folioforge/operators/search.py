@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.index import Index
 from folioforge.plans.query import Phrase, clamp, compile_query
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Phrase rows up to which a batch of queries is broadcast (at most eight per query).
+SMALL = 20_000
 SEARCH_COLUMNS = ["id", "title", "author", "year", "city", "category"]
 SUGGEST_COLUMNS = ["id", "title", "author", "category"]
 
@@ -74,21 +76,23 @@ def suggest(index: Index, books: DataFrame, query: str, limit: int = 8) -> DataF
 def search_many(index: Index, books: DataFrame, queries: dict[str, str], k: int = 10) -> DataFrame:
     """The best ``k`` rows of every query in one job: query_id, rank, id, title, score.
 
-    The phrases of all queries go to the terms as one table, whose equality
-    part joins on the term and whose prefixes join on the term's first letter.
+    The phrases of all queries go to the terms as one table. A prefix meets the terms cut to its length, so both
+    parts join by equality; the phrase table is broadcast while it has at most ``SMALL`` rows, and shuffled beyond.
     """
-    from pyspark.sql import Window
-
     spark = books.sparkSession
     rows = [(q, i, p.term, p.prefix, len(ps)) for q, raw in queries.items() if (ps := compile_query(raw)) for i, p in enumerate(ps) if p.term]
     wanted = spark.createDataFrame(rows, "query_id string, phrase int, word string, prefix boolean, needed int")
-    same = index.terms.join(wanted.where("NOT prefix"), F.col("term") == F.col("word"))
-    starts = index.terms.withColumn("head", F.substring("term", 1, 1)).join(wanted.where("prefix").withColumn("head", F.substring("word", 1, 1)), "head").where(F.expr("startswith(term, word)")).drop("head")
-    found = same.unionByName(starts).groupBy("query_id", "needed", "phrase", "id").agg(F.sum("weight").alias("f"))
+    wanted = F.broadcast(wanted) if len(rows) <= SMALL else wanted
+    lengths = sorted({len(r[2]) for r in rows if r[3]})
+    cut = F.array(*[F.struct(F.lit(True).alias("prefix"), F.substring("term", 1, n).alias("word")) for n in lengths], F.struct(F.lit(False).alias("prefix"), F.col("term").alias("word")))
+    each = index.terms.select("id", "term", "weight", F.explode(F.array_distinct(cut)).alias("x")).select("id", "weight", "x.prefix", "x.word")
+    found = each.join(wanted, ["word", "prefix"]).groupBy("query_id", "needed", "phrase", "id").agg(F.sum("weight").alias("f"))
     df = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     ratio = (F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     weighted = df.crossJoin(F.broadcast(index.totals)).select("query_id", "phrase", F.when(F.ln(ratio) > 0, F.ln(ratio)).otherwise(IDF_FLOOR).alias("idf"), (F.col("n_tokens") / F.col("n_rows")).alias("mean"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = found.join(weighted, ["query_id", "phrase"]).join(index.lengths, "id").groupBy("query_id", "needed", "id").agg((-F.sum(part)).alias("score"), F.count("*").alias("held")).where("held = needed")
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
+    near = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a query that most rows answer is cut down by parts first
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy("score", "id"))).where(F.col("rank") <= k)
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return best.join(books.select("id", "title"), "id").select("query_id", "rank", "id", "title", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,16 @@ def framing(responses: DataFrame) -> DataFrame:
 def viewer(iframe: Column, proxy: Column) -> Column:
     """How to show an item: framed, through the proxy, or as a link."""
     return F.when(iframe, "framed").when(proxy, "proxied").otherwise("link")
+
+
+class Capabilities:
+    """Framing verdicts, each asked for once per process: ``probe`` gives the responses of an id."""
+
+    def __init__(self, probe: Callable[[int], DataFrame]):
+        self.probe, self.known = probe, {}
+
+    def of(self, id: int) -> tuple[bool, str]:
+        if id not in self.known:
+            row = framing(self.probe(id)).first()
+            self.known[id] = (row.iframe, row.reason) if row else (False, "probe returned nothing")
+        return self.known[id]

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import store
+from folioforge.schema import GAPS
+
 
 def last_write_wins(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """Of each key the row of the highest ``order``; a partial aggregate, so no group has to meet in one task."""
@@ -22,27 +25,38 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "seq")
 
 def misses(outcomes: DataFrame) -> DataFrame:
     """Confirmed gaps of an outcome log as rows of the miss table; no reason means http-404."""
-    from folioforge.schema import GAPS
-
     reason = F.coalesce("reason", F.lit("http-404"))
     return outcomes.where(reason.isin(*GAPS)).select("id", "seq", reason.alias("reason"), F.current_timestamp().alias("seen_at"))
 
 
+def upsert_misses(old: DataFrame, outcomes: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The miss table with the log's confirmed gaps in place of older rows, without ids that are catalogued now."""
+    new = upsert(old, misses(outcomes))
+    return new if found is None else new.join(found.select("id"), "id", "left_anti")
+
+
+def miss_totals(table: DataFrame) -> DataFrame:
+    """Rows of the miss table by reason, ties by name, under a row for all."""
+    by = table.groupBy("reason").agg(F.count("*").alias("n"))
+    return table.agg(F.lit("").alias("reason"), F.count("*").alias("n")).unionByName(by)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap, so readers see the old or the new state."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}_{uuid.uuid4().hex}"
+    """Writes beside the table, then swaps. The old table is deleted only when the new one is in its place; where
+    a move fails, the old one is moved back and the error raised."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh = f"{path}_{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = p(f"{fresh}_old")
-    had = fs.exists(p(path))
-    if had:
-        fs.rename(p(path), old)
-    fs.rename(p(fresh), p(path))
-    if had:
-        fs.delete(old, True)
+    if not store.exists(spark, path):
+        store.rename(spark, fresh, path)
+        return
+    store.rename(spark, path, f"{fresh}_old")
+    try:
+        store.rename(spark, fresh, path)
+    except Exception:
+        store.rename(spark, f"{fresh}_old", path)
+        raise
+    store.delete(spark, f"{fresh}_old")
 
 
 def set_checkpoint(spark: SparkSession, path: str, value: int, key: str = "last_id") -> None:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from folioforge.functions.text import normalize_text
 
+# Words used of a query, rows of a page at most, and what a query's words may hold.
 MAX_TOKENS = 8
 MAX_LIMIT = 100
 _UNSAFE = re.compile(r"[^\w\s\u0590-\u05ff]")

@@ -7,6 +7,7 @@ the outcome log.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from folioforge.operators import search as se
 from folioforge.operators import viewer as vi
 from folioforge.operators import writes as wr
 from folioforge.sources import responses as rs
+from folioforge.store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,52 +99,60 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 9))
 
 
-def _index(books: DataFrame) -> ix.Index:
-    return ix.build(books)
+_stored: dict[tuple, str] = {}
 
 
-def _page(books: DataFrame, text: str, category: str = "", limit: int = 30, offset: int = 0) -> DataFrame:
+def catalog(spark: SparkSession, sf_dir: str, books: Callable[[SparkSession, str], DataFrame] = books_part) -> ca.Catalog:
+    """The catalog over a table, built and published once per application, then read from its stored form."""
+    key = (spark.sparkContext.applicationId, sf_dir, books.__name__)
+    if key not in _stored:
+        _stored[key] = f"{shared_dir(spark).rstrip('/')}/catalogs/{uuid.uuid4().hex}"
+        ca.Catalog(books(spark, sf_dir)).save(_stored[key])
+    return ca.Catalog.open(spark, _stored[key])
+
+
+def _page(c: ca.Catalog, text: str, category: str = "", limit: int = 30, offset: int = 0) -> DataFrame:
     """As ``search``, with scores rounded before the order, so that drift in the last digits cannot swap ties."""
-    found = _rounded(se.hits(_index(books), books, se.compile_query(text), category))
+    found = _rounded(se.hits(c.index, c.books, se.compile_query(text), category))
     return found.select(*se.SEARCH_COLUMNS, "score").orderBy("score", "id").offset(offset).limit(limit)
 
 
 @query(_ranked(_BOOKS, [("blue", False), ("b", True)], _PAGE, "", _ORDER + " 30"))
 def search_ranked(spark, sf_dir):
-    return _page(books_part(spark, sf_dir), "blue b")
+    return _page(catalog(spark, sf_dir), "blue b")
 
 
 @query(_ranked(_BOOKS, [("blue", False), ("b", True)], _PAGE, "WHERE category = (SELECT min(p_type) FROM part)", _ORDER + " 30"))
 def search_ranked_category(spark, sf_dir):
-    books = books_part(spark, sf_dir)
-    return _page(books, "blue b", books.agg(F.min("category")).first()[0])
+    c = catalog(spark, sf_dir)
+    return _page(c, "blue b", c.books.agg(F.min("category")).first()[0])
 
 
 @query(_ranked(_BOOKS, [("b", True)], _PAGE, "", _ORDER + " 30 OFFSET 30"))
 def search_page2(spark, sf_dir):
-    return _page(books_part(spark, sf_dir), "b", offset=30)
+    return _page(catalog(spark, sf_dir), "b", offset=30)
 
 
 @query(f"SELECT count(*) AS total FROM ({_ranked(_BOOKS, [('blue', False), ('b', True)], 'id')})")
 def search_total(spark, sf_dir):
-    books = books_part(spark, sf_dir)
-    return se.total(_index(books), books, "blue b")
+    c = catalog(spark, sf_dir)
+    return se.total(c.index, c.books, "blue b")
 
 
 @query(_ranked(_DOCS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
 def search_accented(spark, sf_dir):
-    return _page(books_doc(spark, sf_dir), "de é")
+    return _page(catalog(spark, sf_dir, books_doc), "de é")
 
 
 @query(_ranked(_TEXTS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
 def search_accented_texts(spark, sf_dir):
-    return _page(books_text(spark, sf_dir), "de é")
+    return _page(catalog(spark, sf_dir, books_text), "de é")
 
 
 @query(_ranked(_BOOKS, [("re", True)], "id, title, author, category", "", _ORDER + " 8"))
 def suggest(spark, sf_dir):
-    books = books_part(spark, sf_dir)
-    return _rounded(se.hits(_index(books), books, se.compile_query("re"))).select(*se.SUGGEST_COLUMNS, "score").orderBy("score", "id").limit(8)
+    c = catalog(spark, sf_dir)
+    return _rounded(se.hits(c.index, c.books, se.compile_query("re"))).select(*se.SUGGEST_COLUMNS, "score").orderBy("score", "id").limit(8)
 
 
 _MANY = {"q1": "blue b", "q2": "red", "q3": "brand 1", "q4": "green a"}
@@ -157,8 +167,8 @@ _MANY = {"q1": "blue b", "q2": "red", "q3": "brand 1", "q4": "green a"}
     + ")"
 )
 def search_batch(spark, sf_dir):
-    books = books_part(spark, sf_dir)
-    return _rounded(se.search_many(_index(books), books, _MANY)).withColumn("rank", F.col("rank").cast("long"))
+    c = catalog(spark, sf_dir)
+    return _rounded(se.search_many(c.index, c.books, _MANY)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_BOOKS} SELECT {_PAGE} FROM books ORDER BY id LIMIT 30 OFFSET 60")
@@ -320,42 +330,113 @@ def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
 
 
-@query("""SELECT page_id AS id, trim(regexp_replace(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&'), '&#x27;', ''''), '\\s+', ' ', 'g'), '[ :·|]+$', '')) AS page_title FROM pages""")
+def _sql_clean(c: str) -> str:
+    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{char}')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '\\s+', ' ', 'g'), '^[ :·|]+|[ :·|]+$', '', 'g'), '^[-–— ]+', '')"
+
+
+_TITLE = _sql_clean("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_DEAD = "(lower(title) IN ('catalog.example', 'catalog.example home page', 'catalog', 'home page', 'page not found', 'not found', 'error', 'object moved') OR regexp_matches(lower(title), 'אינו קיים|לא נמצא|runtime error|server error|404'))"
+_SEEN = f"""seen AS (SELECT page_id AS id, html, coalesce(length(html), 0) < 40 AS short, {_TITLE} AS title,
+  regexp_matches(lower(substr(html, 1, 4096)), '{"|".join(rs.BLOCK_MARKERS)}') AS blocked FROM pages)"""
+
+
+@query(f"WITH {_SEEN} SELECT id, title AS page_title FROM seen")
 def page_titles(spark, sf_dir):
     seen = rs.inspect(_pages(spark, sf_dir))
     title = F.get(F.filter("trace.candidates", lambda c: c["source"] == "<title>"), F.lit(0))["text"]
     return seen.select("id", title.alias("page_title"))
 
 
-@query("SELECT 'not-hebrew' AS reason, count(*) AS n FROM pages")
+_REASON = f"CASE WHEN short THEN 'empty-body' WHEN blocked THEN 'blocked-page' WHEN title = '' THEN 'no-title' WHEN regexp_matches(title, '[א-ת]') AND NOT {_DEAD} THEN NULL WHEN {_DEAD} THEN 'dead-title' ELSE 'not-hebrew' END"
+
+
+@query(f"WITH {_SEEN} SELECT {_REASON} AS reason, count(*) AS n FROM seen GROUP BY 1")
 def page_reject_reasons(spark, sf_dir):
     return rs.inspect(_pages(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_SEEN} SELECT id, substr(title, 1, 200) AS title, '' AS author, '' AS year, '' AS city, '' AS category FROM seen WHERE NOT short AND NOT blocked AND length(title) >= 2 AND NOT {_DEAD} AND regexp_matches(title, '[A-Za-z]')")
 def page_books(spark, sf_dir):
     """Accepted under a profile for Latin script."""
     latin = rs.ParseProfile(script="[A-Za-z]")
     return rs.inspect(_pages(spark, sf_dir), profile=latin).where("book IS NOT NULL").select("book.*")
 
 
+_STATUS = "CASE id % 9 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 502 WHEN 4 THEN 302 WHEN 5 THEN NULL ELSE 200 END"
+_ANSWERED = f"""WITH {_SEEN}, r AS (SELECT *, {_STATUS} AS status FROM seen)
+SELECT id, CASE WHEN status IS NULL THEN 'timeout' WHEN status IN (200, 403) AND blocked THEN 'blocked-page' WHEN status = 404 THEN 'http-404' WHEN status = 403 THEN 'http-403'
+  WHEN status = 429 THEN 'http-429' WHEN status = 502 THEN 'http-5xx' WHEN status = 302 THEN 'http-other' WHEN {_REASON} IS NULL THEN 'ok' ELSE {_REASON} END AS reason FROM r"""
+
+
+def answers(spark, sf_dir):
+    """The pages as captured responses of mixed outcome: a first attempt that failed, then the last one."""
+    status = F.expr(_STATUS)
+    sent = F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8"), F.lit("retry-after"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("soon"))
+    last = _pages(spark, sf_dir).select("id", F.lit(1).alias("attempt"), status.alias("status"), sent.alias("headers"), F.col("html").cast("binary").alias("body"), F.when(status.isNull(), "read timeout").alias("error"))
+    first = last.select("id", F.lit(0).alias("attempt"), F.lit(500).alias("status"), "headers", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("error"))
+    return last.unionByName(first)
+
+
+@query(_ANSWERED)
+def response_outcomes(spark, sf_dir):
+    return rs.classify(answers(spark, sf_dir)).select("id", "reason")
+
+
+@query(f"WITH x AS ({_ANSWERED}), y AS (SELECT reason FROM x WHERE reason IN ('http-404', 'dead-title')) SELECT '' AS reason, count(*) AS n FROM y UNION ALL SELECT reason, count(*) AS n FROM y GROUP BY reason")
+def misses_totals(spark, sf_dir):
+    log = rs.classify(answers(spark, sf_dir)).select("id", F.lit(1).alias("seq"), "reason")
+    none = spark.createDataFrame([], "id long, reason string, seen_at timestamp")
+    return wr.miss_totals(wr.upsert_misses(none, log))
+
+
+@query(f"""SELECT page_id AS id, CAST(0 AS INTEGER) AS attempt, 0.5e0 AS wait FROM pages UNION ALL
+SELECT id, 1, CASE WHEN status = 429 THEN CASE WHEN id % 2 = 0 THEN CAST(id AS DOUBLE) ELSE 30.0e0 END WHEN status = 403 THEN 4.0e0 WHEN status IS NULL OR status >= 500 THEN 1.0e0 END
+FROM (SELECT id, CAST({_STATUS} AS INTEGER) AS status FROM (SELECT page_id AS id FROM pages))""")
+def retry_waits(spark, sf_dir):
+    return oc.retry_plan(answers(spark, sf_dir)).drop("status")
+
+
 @query("SELECT p_partkey AS id, regexp_replace(p_name, '(blue|red)', '<mark>\\1</mark>', 'gi') AS marked FROM part")
 def highlight_titles(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), highlight(F.col("p_name"), "blue red").alias("marked"))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'no framing restriction', true, 'framed'), (2, 'x-frame-options: sameorigin', false, 'proxied'), (3, 'csp frame-ancestors', false, 'link'), (4, 'probe returned 503', false, 'link'), (5, 'unreachable: timeout', false, 'proxied')) AS t(id, reason, iframe, shown)")
+@query("""WITH h AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 503 ELSE 200 END AS status, CASE event_id % 4 WHEN 0 THEN 'sameorigin' WHEN 1 THEN 'deny' ELSE '' END AS xfo,
+  CASE event_id % 3 WHEN 0 THEN 'frame-ancestors self' WHEN 1 THEN 'frame-ancestors *' ELSE '' END AS csp, user_id % 2 = 0 AS proxy FROM events),
+v AS (SELECT id, proxy, CASE WHEN status IS NULL THEN 'unreachable: timeout' WHEN status <> 200 THEN 'probe returned 503' WHEN xfo <> '' THEN 'x-frame-options: ' || xfo WHEN csp LIKE '%frame-ancestors%' AND csp NOT LIKE '%*%' THEN 'csp frame-ancestors' ELSE 'no framing restriction' END AS reason FROM h)
+SELECT id, reason, reason = 'no framing restriction' AS iframe, CASE WHEN reason = 'no framing restriction' THEN 'framed' WHEN proxy THEN 'proxied' ELSE 'link' END AS shown FROM v""")
 def framing_verdict(spark, sf_dir):
-    rows = [(1, 200, {}, None, False), (2, 200, {"x-frame-options": "SAMEORIGIN"}, None, True), (3, 200, {"content-security-policy": "frame-ancestors 'self'"}, None, False), (4, 503, {}, None, False), (5, None, {}, "timeout", True)]
-    df = spark.createDataFrame(rows, "id long, status int, headers map<string,string>, error string, proxy boolean")
+    """Headers of mixed kinds, by event id."""
+    e = table(spark, sf_dir, "events")
+    status = F.expr("CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 503 ELSE 200 END")
+    xfo = F.expr("CASE event_id % 4 WHEN 0 THEN 'SAMEORIGIN' WHEN 1 THEN 'deny' ELSE '' END")
+    csp = F.expr("CASE event_id % 3 WHEN 0 THEN 'Frame-Ancestors self' WHEN 1 THEN 'frame-ancestors *' ELSE '' END")
+    sent = F.create_map(F.lit("x-frame-options"), xfo, F.lit("content-security-policy"), csp)
+    df = e.select(F.col("event_id").alias("id"), status.alias("status"), sent.alias("headers"), F.when(status.isNull(), "timeout").alias("error"), (F.col("user_id") % 2 == 0).alias("proxy"))
     verdicts = vi.framing(df)
     return verdicts.join(df.select("id", "proxy"), "id").select("id", "reason", "iframe", vi.viewer(F.col("iframe"), F.col("proxy")).alias("shown"))
 
 
-@query()
+@query(f"""WITH {_LOG}, e AS (SELECT log.seq, reason, 'w' || (user_id % 50) AS worker, CASE WHEN log.seq % 7 = 0 THEN CAST(log.seq % 10 AS DOUBLE) END AS wait FROM log JOIN events ON event_id = log.seq),
+s AS (SELECT worker, list(CASE WHEN reason <> 'http-403' THEN -1.0e0 WHEN wait IS NULL THEN -2.0e0 ELSE wait END ORDER BY seq) AS steps FROM e WHERE worker IS NOT NULL GROUP BY worker)
+SELECT worker, round(list_reduce(list_prepend(0.15e0, steps), lambda d, x: CASE x WHEN -1.0e0 THEN greatest(0.15e0, d * 0.9e0) WHEN -2.0e0 THEN least(8.0e0, greatest(0.25e0, d * 2.0e0)) ELSE least(8.0e0, greatest(d, x)) END), 9) AS delay FROM s""")
 def throttle_delay(spark, sf_dir):
-    e = outcomes(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("w"), F.pmod("user_id", F.lit(50))).alias("worker")), "seq")
-    return oc.throttle(e)
+    """Every seventh refusal says how long to wait."""
+    worker = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("w"), F.pmod("user_id", F.lit(50))).alias("worker"))
+    log = outcomes(spark, sf_dir).join(worker, "seq").where("worker IS NOT NULL").withColumn("wait", F.when(F.col("seq") % 7 == 0, F.col("seq") % 10))
+    return oc.throttle(log).withColumn("delay", F.round("delay", 9))
+
+
+@query(f"WITH {_LOG}, n AS (SELECT reason, count(*) AS n, min(seq) AS f FROM log GROUP BY reason) SELECT CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS place, printf('%-14s %12s %6.1f%%', reason, format('{{:,}}', n), CAST(100.0e0 * n / sum(n) OVER () AS DOUBLE)) AS line FROM n")
+def outcome_report(spark, sf_dir):
+    return oc.report(outcomes(spark, sf_dir))
+
+
+@query(f"""WITH {_BOOKS} SELECT '{{"id":' || id || ',"title":"' || title || '","author":"' || author || '","year":"' || year || '","city":"","category":"' || category || '","score":null}}' AS json FROM books ORDER BY id LIMIT 30""")
+def browse_json(spark, sf_dir):
+    return ca.as_json(se.browse(books_part(spark, sf_dir)))
 
 
 @query("SELECT p_partkey AS id, concat_ws(' · ', nullif(p_brand, ''), nullif(CAST(p_size AS VARCHAR), ''), nullif(p_type, '')) AS line FROM part")

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from folioforge.operators import index as ix
+from folioforge.operators import writes as wr
+from folioforge.operators.catalog import Catalog, CatalogMissing
 from folioforge.operators.outcomes import counters
-from folioforge.schema import HARD
+from folioforge.schema import BOOKS, HARD, MISSES
+from folioforge.sources.responses import ParseProfile, classify
 
 
 def stream_progress(outcomes: DataFrame, every: str = "10 seconds", late: str = "1 minute") -> DataFrame:
@@ -41,18 +45,28 @@ def stream_breaker(outcomes: DataFrame, threshold: int = 25, sample: int = 60) -
     return outcomes.select("run", "seq", "reason").groupBy("run").applyInPandasWithState(watch, "run string, seq long, seen long, hard long, consecutive long", "seen long, found long, failed long, row long, tripped boolean", "append", "NoTimeout")
 
 
-def load(responses: DataFrame, path: str, checkpoint: str):
-    """Start a stream of captured responses into the catalog at ``path``: each batch classifies, then upserts."""
-    from folioforge.operators.writes import replace_table, upsert
-    from folioforge.schema import BOOKS
-    from folioforge.sources.responses import classify
+def apply_batch(responses: DataFrame, path: str, number: int, profile: ParseProfile | None = None) -> Catalog:
+    """Classifies captured responses and publishes books, index, misses and high-water mark as one new version.
 
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        books = classify(df).where("book IS NOT NULL").select("book.*").withColumns({"source": F.lit("captured"), "seq": F.lit(number)})
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/books")
-        there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        old = spark.read.parquet(f"{path}/books") if there else spark.createDataFrame([], BOOKS)
-        replace_table(upsert(old, books), f"{path}/books")
+    A batch that is repeated gives the same version again; one that fails leaves the old version current. Only
+    changed rows are tokenized anew, the rest of the tables is copied.
+    """
+    spark = responses.sparkSession
+    seen = classify(responses, profile).withColumn("seq", F.lit(number)).persist()
+    new = seen.where("book IS NOT NULL").select("book.*", F.lit("captured").alias("source"), "seq")
+    try:
+        old = Catalog.open(spark, path)
+    except CatalogMissing:
+        old = Catalog(spark.createDataFrame([], BOOKS), misses=spark.createDataFrame([], MISSES))
+    books = wr.upsert(old.books, new)
+    index = ix.replace_rows(old.index, books, new.drop("seq"))
+    misses = wr.upsert_misses(old.misses, seen, books)
+    high = seen.agg(F.max("id")).first()[0]
+    saved = Catalog(books, index, misses).save(path, max(old.last_id(), high or 0))
+    seen.unpersist()
+    return saved
 
-    return responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+def load(responses: DataFrame, path: str, checkpoint: str, profile: ParseProfile | None = None):
+    """Starts a stream of captured responses into the catalog at ``path``, one version per micro-batch."""
+    return responses.writeStream.foreachBatch(lambda df, number: apply_batch(df, path, number, profile)).option("checkpointLocation", checkpoint).start()

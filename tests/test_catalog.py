@@ -1,16 +1,19 @@
 """Catalog behaviour on a few Hebrew rows, with FTS5 as the judge of ranking."""
 
+import json
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge import store
 from folioforge.functions import text as tx
 from folioforge.functions.highlight import highlight
 from folioforge.operators import catalog as ca
 from folioforge.operators import index as ix
 from folioforge.operators import outcomes as oc
 from folioforge.operators import search as se
+from folioforge.operators import viewer as vi
 from folioforge.operators import writes as wr
 from folioforge.plans.query import compile_query
 from folioforge.sources import responses as rs
@@ -94,10 +97,10 @@ def test_search_many_agrees_with_search(catalog):
 
 
 def test_index_round_trip_and_replacement(spark, catalog, tmp_path):
-    catalog.books.write.parquet(f"{tmp_path}/c/books")
-    catalog.index.write(f"{tmp_path}/c/index", 2)
-    opened = ca.Catalog.open(spark, f"{tmp_path}/c")
-    assert opened.search("סופר")["total"] == 1
+    opened = ca.Catalog(catalog.books, catalog.index).save(f"{tmp_path}/c", last_id=9, files=2)
+    assert opened.search("סופר")["total"] == 1 and opened.last_id() == 9 and opened.stats()["size_mb"] >= 0
+    page = json.loads(opened.search_json("סופר"))
+    assert page["total"] == 1 and page["books"][0]["id"] == 3456 and not page["has_more"] and json.loads(opened.search_json("", limit=2))["has_more"]
     with pytest.raises(ca.CatalogMissing):
         ca.Catalog.open(spark, f"{tmp_path}/none")
     changed = catalog.books.where("id = 3456").withColumn("title", F.lit("אחר"))
@@ -108,6 +111,68 @@ def test_index_round_trip_and_replacement(spark, catalog, tmp_path):
     assert {(r.id, r.term, r.weight) for r in new.terms.collect()} == {(r.id, r.term, r.weight) for r in fresh.terms.collect()}
 
 
+@pytest.mark.parametrize(("limit", "offset"), [(0, 0), (101, 0), (10, -1)])
+def test_pages_out_of_bounds_are_refused(catalog, limit, offset):
+    with pytest.raises(ValueError):
+        catalog.search("", limit=limit, offset=offset)
+    with pytest.raises(ValueError):
+        catalog.suggest("a", limit=21)
+
+
+def test_failed_renames_keep_the_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    wr.replace_table(spark.range(3), path)
+    real, calls = store.rename, []
+
+    def second_fails(spark, source, target):
+        calls.append(target)
+        if len(calls) == 2:
+            raise OSError("no")
+        real(spark, source, target)
+
+    monkeypatch.setattr(store, "rename", second_fails)
+    with pytest.raises(OSError):
+        wr.replace_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(store, "rename", lambda *a: (_ for _ in ()).throw(OSError("no")))
+    with pytest.raises(OSError):
+        wr.replace_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_batches_publish_whole_versions(spark, tmp_path, monkeypatch):
+    schema = "id long, attempt int, status int, headers map<string,string>, body binary, error string"
+    page = lambda t: bytearray(PAGES["detail"].replace("זהר", t).encode())
+    one_ = spark.createDataFrame([(1, 0, 200, {}, page("ראשון"), None), (2, 0, 404, {}, None, None), (3, 0, 403, {}, None, None)], schema)
+    two = spark.createDataFrame([(2, 0, 200, {}, page("שני"), None), (1, 0, 200, {}, page("אחרון"), None), (9, 0, 404, {}, None, None)], schema)
+    path = f"{tmp_path}/c"
+    first = ingest.apply_batch(one_, path, 0)
+    assert first.search("ראשון")["total"] == 1 and [r.id for r in first.misses.collect()] == [2] and first.last_id() == 3
+    monkeypatch.setattr(ix.Index, "write", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        ingest.apply_batch(two, path, 1)
+    monkeypatch.undo()
+    assert ca.Catalog.open(spark, path).search("ראשון")["total"] == 1
+    for _ in range(2):
+        now = ingest.apply_batch(two, path, 1)
+        assert now.search("ראשון")["total"] == 0 and now.search("אחרון")["total"] == now.search("שני")["total"] == 1
+        assert [r.id for r in now.misses.collect()] == [9] and now.last_id() == 9 and now.books.count() == 2
+
+
+def test_retry_plan_and_capabilities(spark):
+    rows = [(1, 0, 429, {"retry-after": "7"}), (1, 1, 429, {"retry-after": "later"}), (2, 0, 403, {}), (3, 1, 500, {}), (4, 0, None, {}), (5, 0, 404, {}), (6, 2, 500, {})]
+    got = oc.retry_plan(spark.createDataFrame(rows, "id long, attempt int, status int, headers map<string,string>")).collect()
+    assert [r.wait for r in got] == [7.0, 30.0, 2.0, 1.0, 0.5, None, None]
+    asked = []
+
+    def probe(id):
+        asked.append(id)
+        return spark.createDataFrame([(id, 200, {"x-frame-options": "DENY"} if id == 1 else {}, None)], "id long, status int, headers map<string,string>, error string")
+
+    known = vi.Capabilities(probe)
+    assert [known.of(i)[0] for i in (1, 2, 1, 2)] == [False, True, False, True] and asked == [1, 2]
+
+
 @pytest.mark.parametrize(
     ("text", "query", "wanted"),
     [
