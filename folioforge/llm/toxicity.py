@@ -1,19 +1,26 @@
 """Operator 3: toxicity by a linear-chain conditional random field.
 
 Two states, clean and toxic, over the words of a text. A word's features are
-the word and its prefixes of 4 to 6 bytes, so inflected forms share weights.
-Documents carry one label, so words are labelled from it: in a toxic document
-those with a feature that (over the sample's documents) goes with toxic ones
-are toxic, all others clean. Words without a weighted feature all have the
-same potential, so forward-backward runs over the weighted words alone, with
-the run of plain words between two of them as one power of the transition
-matrix: exact, and linear in the weighted words. The marginals' sum of
--log(1 - p) over a document goes through a logistic fit to the document score.
+the word, its prefixes of 4 to 6 bytes, so inflected forms share weights, and
+the word together with the one before it. Documents carry one label, so words
+are labelled from it: in a toxic document those with a feature that (over the
+sample's documents) goes with toxic ones are toxic, all others clean. Words
+without a weighted feature all have the same potential, so forward-backward
+runs over the weighted words alone, with the run of plain words between two of
+them as one power of the transition matrix: exact, and linear in the weighted
+words. The marginals' sum of -log(1 - p) over a document goes through a
+logistic fit to the document score.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those with the
-smallest hash of their id. Defined results: a null or empty text has no
-evidence and gets the score of none; without labels of both kinds the score is
-the smoothed share of toxic labels; equal rows get equal scores.
+smallest hash of their id; all their words count, and every feature whose
+document counts deviate from chance by ``LEAST_Z``. Texts are fitted in runs of
+``RUN`` words, each given the label before it, and equal runs once with their
+number. Defined results: a null or empty text has no evidence and gets the
+score of none; without labels of both kinds the score is the smoothed share of
+toxic labels; of texts that share an id the one with the smallest hash is
+learned from; equal rows get equal scores; an empty table gives no rows; kept
+columns stay inside a struct, so their names cannot clash. A text takes memory
+of about fifty times its length in one task, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -27,17 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.llm.arrowtext import annotate, list_array
-from folioforge.llm.bytewords import Words
+from folioforge.llm.bytewords import Words, gram_hashes
 from folioforge.llm.store import cut, documents
 
 SAMPLE = 6000
 PREFIXES = (4, 5, 6)
-MAX_FEATURES = 4000
-#: Documents that a feature must occur in, and the share of toxic ones that makes it a toxic feature.
-LEAST_DOCS, TOXIC_SHARE = 4, 0.9
-SEGMENT = 64
-MAX_SEGMENTS = 12_000
-KEEP_PLAIN = 10
+#: Documents that a feature must occur in, and how many deviations its toxic ones must be from chance.
+LEAST_DOCS, LEAST_Z = 4, 4.0
+#: The share of toxic ones among its documents that makes it a toxic feature.
+TOXIC_SHARE = 0.9
+RUN = 64
+#: Runs that one step of the fit holds at a time.
+BATCH = 8192
 
 
 @dataclass
@@ -101,13 +109,24 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * np.log(evidence + 1e-4) + self.shift)))
 
 
+def word_features(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each kind: every word's hash, and where it applies (a prefix must be shorter than the word, a pair
+    inside one text)."""
+    length, own = w.end - w.start, w.hashes()
+    pair, inside = np.zeros(len(own), dtype=np.uint64), np.zeros(len(own), dtype=bool)
+    pair[1:], inside[1:] = gram_hashes(own, 2), w.row[1:] == w.row[:-1]
+    return [(own, np.ones(len(own), dtype=bool)), *[(w.hashes(n), length > n) for n in PREFIXES], (pair, inside)]
+
+
+KINDS = 2 + len(PREFIXES)
+
+
 def feature_ids(w: Words, features: np.ndarray) -> list[np.ndarray]:
-    """For the word and each prefix shorter than it: positions in ``features``, or -1."""
-    out, length = [], w.end - w.start
-    for n in (None, *PREFIXES):
-        h = w.hashes(n)
+    """For each kind every word's position in ``features``, or -1."""
+    out = []
+    for h, on in word_features(w):
         at = np.minimum(np.searchsorted(features, h), len(features) - 1)
-        out.append(np.where((features[at] == h) & ((n is None) | (length > (n or 0))), at, -1))
+        out.append(np.where((features[at] == h) & on, at, -1))
     return out
 
 
@@ -119,9 +138,7 @@ def _share_sample(train: DataFrame) -> DataFrame:
             tables = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
-                w = Words(data, np.array([0, len(data)]))
-                length = w.end - w.start
-                own = np.unique(np.concatenate([w.hashes(), *(w.hashes(n)[length > n] for n in PREFIXES)]))
+                own = np.unique(np.concatenate([h[on] for h, on in word_features(Words(data, np.array([0, len(data)])))]))
                 tables.append(np.stack([own.view(np.int64), np.full(len(own), toxic), np.full(len(own), 1 - toxic)]))
             if tables:
                 h, toxic, clean = np.concatenate(tables, axis=1)
@@ -135,94 +152,123 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     """Fit on the labelled documents among ``docs``; the sample's size is the only bound."""
     marked = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg((F.max(label) > 0).cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64(id), id).limit(sample)
-    held = docs.select(F.col(id), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), id).dropDuplicates([id])
-    train = cut(held.select("text", "toxic"))
+    held = docs.select(F.col(id), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), id)
+    train = cut(held.groupBy(id).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     n_toxic, n = train.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic = n_toxic or 0
     share = (n_toxic + 0.5) / (n + 1)
     nothing = np.zeros(0)
     if not 0 < n_toxic < n:
         return Model(nothing.astype(np.uint64), nothing, 0.0, np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
-    lift = (F.col("toxic") + 0.5) / n_toxic / ((F.col("clean") + 0.5) / (n - n_toxic))
-    found = _share_sample(train).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("lift", lift).where("lift > 3 OR lift < 1.0 / 6").orderBy(F.desc(F.abs(F.ln("lift"))), "h").limit(MAX_FEATURES).toPandas().sort_values("h", key=lambda s: s.to_numpy().view(np.uint64))
+    expected = (F.col("toxic") + F.col("clean")) * (n_toxic / n)
+    found = _share_sample(train).where((F.col("toxic") + F.col("clean") >= LEAST_DOCS) & (F.abs(F.col("toxic") - expected) >= LEAST_Z * F.sqrt(expected))).toPandas().sort_values("h", key=lambda s: s.to_numpy().view(np.uint64))
     features = found["h"].to_numpy(dtype=np.int64).view(np.uint64)
     telling = ((found["toxic"] / (found["toxic"] + found["clean"])).to_numpy() >= TOXIC_SHARE) if len(found) else nothing.astype(bool)
     model = Model(features, np.zeros(len(features)), 0.0, np.zeros((2, 2)), 0.0, 0.0)
     if len(features):
-        ids, mask, y = _segments(train, features, telling)
-        model.weights, model.bias, model.move = _train(ids, mask, y, len(features))
+        model.weights, model.bias, model.move = _train(_runs(train, features, telling), len(features))
     seen = score_column(train, model, ["toxic"], "text").select("row.toxic", "out.evidence").toPandas()
     model.slope, model.shift = _logistic(np.log(seen["evidence"].to_numpy() + 1e-4), seen["toxic"].to_numpy(dtype=float))
     return model
 
 
-def _segments(train: DataFrame, features: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ``SEGMENT`` words: feature ids (runs, words, kinds), which words are there, and their labels."""
-    kinds = 1 + len(PREFIXES)
+@dataclass
+class Runs:
+    """Runs of words: length, the label before, labels, number of equal runs; and the weighted words' features as
+    flat places (run, word) and ids."""
+
+    length: np.ndarray
+    before: np.ndarray
+    y: np.ndarray
+    number: np.ndarray
+    place: np.ndarray
+    id: np.ndarray
+
+
+def _runs(train: DataFrame, features: np.ndarray, telling: np.ndarray) -> Runs:
+    """The texts' runs of ``RUN`` words; runs that are equal in all the model sees are counted, not repeated."""
 
     def run(batches):
         for batch in batches:
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
-                w = Words(data, np.array([0, len(data)]))
-                ids = np.stack(feature_ids(w, features), axis=1)
-                for lo in range(0, len(ids), SEGMENT):
-                    part = ids[lo : lo + SEGMENT]
-                    if (part >= 0).any() or (lo // SEGMENT) % KEEP_PLAIN == 0:
-                        out.append((part.astype(np.int16).tobytes(), bool(toxic)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_())], names=["ids", "toxic"])
-
-    rows = train.select("text", "toxic").mapInArrow(run, "ids binary, toxic boolean").orderBy(F.xxhash64("ids"), "toxic").limit(MAX_SEGMENTS).toPandas()
-    ids = np.full((len(rows), SEGMENT, kinds), -1, dtype=np.int64)
-    mask = np.zeros((len(rows), SEGMENT), dtype=bool)
-    for i, raw in enumerate(rows["ids"]):
-        part = np.frombuffer(raw, dtype=np.int16).reshape(-1, kinds)
-        ids[i, : len(part)], mask[i, : len(part)] = part, True
-    toxic = ((ids >= 0) & telling[ids]).any(axis=2) & rows["toxic"].to_numpy(dtype=bool)[:, None]
-    return ids, mask, toxic
-
-
-def _train(ids: np.ndarray, mask: np.ndarray, y: np.ndarray, n: int, rounds: int = 45, rate: float = 0.3, l2: float = 1e-6):
-    """Adam on the penalised log-likelihood; expectations by forward-backward over all runs at once.
+                ids = np.stack(feature_ids(Words(data, np.array([0, len(data)])), features), axis=1)
+                y = ((ids >= 0) & telling[ids]).any(axis=1) & bool(toxic)
+                for lo in range(0, len(ids), RUN):
+                    part = ids[lo : lo + RUN]
+                    word, kind = np.nonzero(part >= 0)
+                    seen = np.stack([word, part[word, kind]]).astype(np.int32)
+                    out.append((len(part), bool(lo and y[lo - 1]), np.flatnonzero(y[lo : lo + RUN]).astype(np.uint8).tobytes(), seen.tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["length", "before", "y", "seen"])
+
+    rows = train.select("text", "toxic").mapInArrow(run, "length int, before boolean, y binary, seen binary").groupBy("length", "before", "y", "seen").agg(F.count("*").alias("number"))
+    rows = rows.toPandas().sort_values(["length", "before", "number", "y", "seen"])
+    y = np.zeros((len(rows), RUN), dtype=bool)
+    for i, raw in enumerate(rows["y"]):
+        y[i, np.frombuffer(raw, dtype=np.uint8)] = True
+    seen = [np.frombuffer(raw, dtype=np.int32).reshape(2, -1) for raw in rows["seen"]]
+    run_of = np.repeat(np.arange(len(rows)), [x.shape[1] for x in seen])
+    both = np.concatenate(seen, axis=1) if seen else np.zeros((2, 0), np.int32)
+    return Runs(rows["length"].to_numpy(), rows["before"].to_numpy(dtype=bool), y, rows["number"].to_numpy(dtype=float), run_of * RUN + both[0], both[1])
+
+
+def _train(runs: Runs, n: int, rounds: int = 45, rate: float = 0.3, l2: float = 1e-6):
+    """Adam on the penalised log-likelihood; expectations by forward-backward, ``BATCH`` runs at once.
 
     The likelihood is a mean over all words, of which one feature holds few, so the penalty has to be small.
     """
-    runs, steps = mask.shape
     theta = np.zeros(n + 5)  # weights, bias, the 2 x 2 moves
     theta[n], theta[n + 1 :] = -2.0, [0.5, -1.0, -0.5, 0.0]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    total, flat = mask.sum(), np.where(ids >= 0, ids, n)
-    before = np.concatenate([np.zeros((runs, 1), bool), y[:, :-1]], axis=1)
-    pairs = np.array([((before == a) & (y == b) & mask).sum() for a in (0, 1) for b in (0, 1)], dtype=float)
+    total = float((runs.length * runs.number).sum())
+    starts = np.searchsorted(runs.place, np.arange(0, len(runs.length) + BATCH, BATCH) * RUN)
     for step in range(1, rounds + 1):
-        w = np.append(theta[:n], 0.0)
-        emit = np.ones((runs, steps, 2))
-        emit[..., 1] = np.exp(np.clip(w[flat].sum(axis=2) + theta[n], -30, 30))
-        move = np.exp(theta[n + 1 :].reshape(2, 2))
-        fwd, bwd, scale = np.empty((runs, steps, 2)), np.ones((runs, steps, 2)), np.ones((runs, steps))
-        state = np.tile([1.0, 0.0], (runs, 1))
-        for t in range(steps):
-            s = (state @ move) * emit[:, t]
-            scale[:, t] = s.sum(axis=1)
-            fwd[:, t] = state = s / scale[:, t, None]
-        for t in range(steps - 2, -1, -1):
-            on = mask[:, t + 1, None]
-            bwd[:, t] = np.where(on, ((emit[:, t + 1] * bwd[:, t + 1]) @ move.T) / scale[:, t + 1, None], 1.0)
-        p = (fwd * bwd)[..., 1] / (fwd * bwd).sum(axis=2)
-        prior = np.concatenate([np.tile([1.0, 0.0], (runs, 1, 1)), fwd[:, :-1]], axis=1)
-        joint = prior[..., :, None] * move * (emit * bwd)[..., None, :] / scale[..., None, None]
-        expected = (joint * mask[..., None, None]).sum(axis=(0, 1)).ravel()
-        error = np.where(mask, y - p, 0.0)
-        grad = np.empty_like(theta)
-        grad[:n] = np.bincount(flat.ravel(), np.repeat(error.ravel(), ids.shape[2]), minlength=n + 1)[:n]
-        grad[n], grad[n + 1 :] = error.sum(), pairs - expected
+        grad = np.zeros_like(theta)
+        for b, lo in enumerate(range(0, len(runs.length), BATCH)):
+            own = slice(starts[b], starts[b + 1])
+            _gradient(theta, n, grad, runs, slice(lo, lo + BATCH), runs.place[own] - lo * RUN, runs.id[own])
         grad = grad / total - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return theta[:n].copy(), float(theta[n]), theta[n + 1 :].reshape(2, 2).copy()
 
 
+def _gradient(theta: np.ndarray, n: int, grad: np.ndarray, runs: Runs, part: slice, place: np.ndarray, id: np.ndarray) -> None:
+    """Adds the part's share of the log-likelihood's gradient: observed minus expected counts."""
+    y, number, before = runs.y[part], runs.number[part], runs.before[part]
+    count, steps = len(y), int(runs.length[part].max())
+    y = y[:, :steps]
+    mask = np.arange(steps) < runs.length[part][:, None]
+    weight = np.bincount(place, theta[id], minlength=count * RUN).reshape(count, RUN)[:, :steps]
+    emit = np.ones((count, steps, 2))
+    emit[..., 1] = np.exp(np.clip(weight + theta[n], -30, 30))
+    move = np.exp(theta[n + 1 :].reshape(2, 2))
+    start = np.stack([~before, before], axis=1).astype(float)
+    fwd, bwd, scale = np.empty((count, steps, 2)), np.ones((count, steps, 2)), np.ones((count, steps))
+    state = start
+    for t in range(steps):
+        s = (state @ move) * emit[:, t]
+        scale[:, t] = s.sum(axis=1)
+        fwd[:, t] = state = s / scale[:, t, None]
+    for t in range(steps - 2, -1, -1):
+        on = mask[:, t + 1, None]
+        bwd[:, t] = np.where(on, ((emit[:, t + 1] * bwd[:, t + 1]) @ move.T) / scale[:, t + 1, None], 1.0)
+    p = (fwd * bwd)[..., 1] / (fwd * bwd).sum(axis=2)
+    error = np.where(mask, y - p, 0.0) * number[:, None]
+    grad[:n] += np.bincount(id, np.pad(error, ((0, 0), (0, RUN - steps))).ravel()[place], minlength=n)
+    grad[n] += error.sum()
+    after = emit * bwd / scale[..., None] * (mask * number[:, None])[..., None]
+    prior = np.concatenate([start[:, None], fwd[:, :-1]], axis=1)
+    last = np.concatenate([before[:, None], y[:, :-1]], axis=1)
+    for a in (0, 1):
+        for c in (0, 1):
+            seen = ((last == a) & (y == c) & mask).sum(axis=1) @ number
+            grad[n + 1 + 2 * a + c] += seen - move[a, c] * np.einsum("ns,ns->", prior[..., a], after[..., c])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, float]:
     """Slope and shift by damped Newton steps with a little smoothing."""
     beta = np.zeros(2)

@@ -180,6 +180,46 @@ def test_crf_marginals_equal_the_plain_recursion():
                 assert q == pytest.approx(full[i - idx[0]])
 
 
+def test_crf_gradient_equals_differences():
+    r = np.random.default_rng(4)
+    length, before = np.array([1, 5, 9, 9]), np.array([False, True, False, True])
+    y = np.zeros((4, toxicity.RUN), dtype=bool)
+    y[:, :9] = r.random((4, 9)) < 0.3
+    y &= np.arange(toxicity.RUN) < length[:, None]
+    place, id = np.array([1 * 64 + 2, 1 * 64 + 2, 2 * 64, 3 * 64 + 8]), np.array([0, 1, 1, 2])
+    runs, theta = toxicity.Runs(length, before, y, np.array([1.0, 3.0, 1.0, 2.0]), place, id), r.normal(size=8)
+
+    def likelihood(t):
+        move, total = t[4:].reshape(2, 2), 0.0
+        for i in range(4):
+            w = np.bincount(place[place // 64 == i] % 64, t[id[place // 64 == i]], minlength=64) + t[3]
+            z, own, a = np.array([0.0 if not before[i] else -np.inf, 0.0 if before[i] else -np.inf]), 0.0, int(before[i])
+            for k in range(length[i]):
+                z = np.logaddexp.reduce(z[:, None] + move, axis=0) + np.array([0.0, w[k]])
+                c = int(y[i, k])
+                own, a = own + move[a, c] + c * w[k], c
+            total += runs.number[i] * (own - np.logaddexp.reduce(z))
+        return total
+
+    grad = np.zeros(8)
+    toxicity._gradient(theta, 3, grad, runs, slice(0, 4), place, id)
+    for k in range(8):
+        e = np.eye(8)[k] * 1e-5
+        assert grad[k] == pytest.approx((likelihood(theta + e) - likelihood(theta - e)) / 2e-5, abs=1e-6)
+
+
+def test_toxicity_held_out_and_repeated_ids(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op3_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    bad, good = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    assert np.mean(bad) >= 0.9 and np.mean(good) <= 0.01
+    docs = spark.createDataFrame([(1, f"t{i % 7} word") for i in range(60)] + [(2, "bad"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(docs.repartition(k), labels) for k in (1, 5)]
+    assert (models[0].slope, models[0].shift) == (models[1].slope, models[1].shift)
+    assert toxicity.score_column(docs.where("false"), models[0], ["doc_id"]).count() == 0
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     g = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
