@@ -5,19 +5,20 @@ from __future__ import annotations
 import html
 import re
 
-_TAG = r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-_TOKEN = re.compile(r"<[!?][^>]*>|" + _TAG, re.S)
+#: A tag ends at ">" outside quotes, or before the next "<" or at the page's end, so that no place is read twice.
+TAG = r"<(/?)([a-zA-Z][^\s/><\"']*)((?:[^>\"'<]|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|(?=<)|\Z)"
+_TOKEN = re.compile(r"<[!?][^>]*(?:>|\Z)|" + TAG, re.S)
 
 
 def hidden(raw: str, own: str, cdata: str = "", others: str = "") -> re.Pattern:
     """A pattern for ``without``: elements whose content ends at their end tag or the page's end, elements that
     skip content only if they are closed (and the head), and other tokens to step over whole."""
-    return re.compile(rf"(?P<drop><!--.*?(?:-->|\Z)|{cdata}<(?P<raw>{raw})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<own>{own}|head)(?=[\s/>])[^>]*>" + (f"|{others}" if others else ""), re.S | re.I)
+    return re.compile(rf"(?P<drop><!--.*?(?:-->|\Z)|{cdata}<(?P<raw>{raw})\b[^>]*(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z))|<(?P<end>/?)(?P<own>{own}|head)(?=[\s/>])[^>]*(?:>|\Z)" + (f"|{others}" if others else ""), re.S | re.I)
 
 
-_HIDDEN = hidden("script|style|iframe|textarea", "noscript|template|svg|select", r"<!\[CDATA\[.*?(?:\]\]>|\Z)|", _TAG)
+_HIDDEN = hidden("script|style|iframe|textarea", "noscript|template|svg|select", r"<!\[CDATA\[.*?(?:\]\]>|\Z)|", TAG)
 _IN_HEAD = re.compile(
-    r"\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>(?:(?:(?!<title\b|<body\b|</head\b).)*?</title\s*>|[^<]*)"
+    r"\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noframes)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)|<title\b[^>]*>(?:(?:(?!<title\b|<body\b|</head\b).)*?</title\s*>|[^<]*)"
     r"|</?(?:base|basefont|bgsound|link|meta|noscript|template|html)(?=[\s/>])[^>]*>|</(?!(?:head|body|html|br)\b)[^>]*>|<head(?=[\s/>])[^>]*>",
     re.S | re.I,
 )

@@ -1,6 +1,6 @@
 """The subpackage's queries and their DuckDB twins, for the registry."""
 
-from folioforge.llm import decontaminate, secret_scan
+from folioforge.llm import decontaminate, page_twins, secret_scan
 from folioforge.llm.bpe import op2_bpe
 from folioforge.llm.cws import op7_fingerprints
 from folioforge.llm.decontaminate import op1_decontaminate
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_secrets": secret_scan.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op5_extract": page_twins.EXTRACT, "op6_secrets": secret_scan.ORACLE, "op9_warc": page_twins.WARC}

@@ -298,7 +298,7 @@ def test_extract(spark):
     assert got[4].text == "T <1>\nSome text here.\nMore bold text." and got[5].n_chars == 11 * 20000 - 1
     content, holds = extract.train()
     right = wrong = missed = 0
-    for seed in range(900, 960):
+    for seed in range(5000, 5060):  # beyond the pages of the training
         source, main = extract.template(seed)
         page = extract.Page(source)
         x = extract.features(page)
