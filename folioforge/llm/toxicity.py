@@ -17,7 +17,7 @@ document counts deviate from chance by ``LEAST_Z``. Texts are fitted in runs of
 ``RUN`` words, each given the label before it, and equal runs once with their
 number. Defined results: a null or empty text has no evidence and gets the
 score of none; without labels of both kinds the score is the smoothed share of
-toxic labels; of texts that share an id the one with the smallest hash is
+toxic labels (0.25 without any, so nothing is rejected); of texts that share an id the one with the smallest hash is
 learned from; equal rows get equal scores; an empty table gives no rows; kept
 columns stay inside a struct, so their names cannot clash. A text takes memory
 of about fifty times its length in one task, whatever the table's size.
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     train = cut(held.groupBy(id).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     n_toxic, n = train.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic = n_toxic or 0
-    share = (n_toxic + 0.5) / (n + 1)
+    share = (n_toxic + 0.5) / (n + 2)
     nothing = np.zeros(0)
     if not 0 < n_toxic < n:
         return Model(nothing.astype(np.uint64), nothing, 0.0, np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
