@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.store import cut, documents
 
-SAMPLES = 64
+SAMPLES = 32
 #: Rows aimed at per block, rows sampled for each, and the most blocks, which bounds the table of their first rows.
 BLOCK_ROWS, BLOCK_SAMPLE, MOST_BLOCKS = 1000, 4, 65_536
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,7 +45,8 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).cast("long").alias("key"), F.xxhash64("text").alias("hash"))  # null ids come last
     n = rows.count()
-    placed = rows.withColumn("block", _block(_cuts(rows, n)))
+    cuts = _cuts(rows, n)
+    placed = rows.withColumn("block", _block(cuts))
     firsts = sorted(((r.block, r.x.key, r.x.hash) for r in placed.groupBy("block").agg(F.max(F.struct("key", "hash")).alias("x")).collect()), reverse=True)
     sent = [(*first, firsts[i - 1][0]) for i, first in enumerate(firsts)]
     heads = docs.sparkSession.createDataFrame(sent, "block int, key long, hash long, target int")
@@ -53,6 +54,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     here = F.struct(F.col("block").alias("at"), F.lit(False).alias("guest"))
     there = F.struct(F.col("target").alias("at"), F.lit(True).alias("guest"))
     dealt = joined.select("id", "text", "key", "hash", "block", F.explode(F.when(F.col("target").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("id", "text", "key", "hash", "block", "to.at", "to.guest")
+    dealt = dealt.repartition(len(cuts) + 1, "at")  # a block or few per task, whatever the texts' size
     order = Window.partitionBy("at").orderBy("guest", F.desc("key"), F.desc("hash"), "text")
     return (
         dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest"), F.lead("block").over(order).alias("next_block"))

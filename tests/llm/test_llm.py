@@ -426,7 +426,7 @@ def test_weighted_sampling_estimates_jaccard(spark, sf, docs):
     for r in QUERIES["op7_fingerprints"](spark, sf).collect():
         a, b = Counter(words(text[r.doc_id])), Counter(words(text[order[(order.index(r.doc_id) + 1) % len(order)]]))
         error.append(r.near_next - (a & b).total() / max(1, (a | b).total()))
-    assert abs(np.mean(error)) < 0.02 and np.mean(np.abs(error)) < 0.045
+    assert abs(np.mean(error)) < 0.02 and np.mean(np.abs(error)) < 0.06
 
 
 def test_quality(spark, odd):
