@@ -55,7 +55,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     there = F.struct(F.col("target").alias("at"), F.lit(True).alias("guest"))
     dealt = joined.select("id", "text", "key", "hash", "block", F.explode(F.when(F.col("target").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("to")).select("id", "text", "key", "hash", "block", "to.at", "to.guest")
     dealt = dealt.repartition(len(cuts) + 1, "at")  # a block or few per task, whatever the texts' size
-    order = Window.partitionBy("at").orderBy("guest", F.desc("key"), F.desc("hash"), "text")
+    order = Window.partitionBy("at").orderBy("guest", F.desc("key"), F.desc("hash"), "text", "id", "block")  # the last two keep the columns of both reads alike, so that they share one shuffle
     return (
         dealt.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest"), F.lead("block").over(order).alias("next_block"))
         .where("NOT guest")
