@@ -45,6 +45,8 @@ SHINGLE = 3
 RADIUS = 2
 BUCKET = 1024
 SEED = 42
+#: Rows up to which the table of large buckets (24 bytes a row) is broadcast; a shuffled join beyond.
+BROADCAST_ROWS = 500_000
 _BLOCK = 8192
 _STEP = 16
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -387,10 +389,11 @@ def wide_links(classes: DataFrame, how: Wide = Wide()) -> DataFrame:  # noqa: B0
     keyed = classes.where("fp <> 0").select(*own, F.explode(bands).alias("x")).select("x.band", "x.key", *own)
     large = cut(keyed.groupBy("band", "key").count().where(F.col("count") > how.bucket).select("band", "key", F.ceil(F.col("count") / how.bucket).alias("chunks")))
     zero = F.lit(0).cast("long").alias("chunk")
-    if large.isEmpty():
+    many = large.count()
+    if not many:
         dealt = keyed.select("band", "key", zero, *own)
     else:
-        marked = keyed.join(large, ["band", "key"], "left")
+        marked = keyed.join(F.broadcast(large) if many <= BROADCAST_ROWS else large, ["band", "key"], "left")
         wide = marked.where("chunks IS NOT NULL")
         chunk = F.pmod(F.xxhash64("fp", "band"), F.col("chunks"))
         leaders = wide.groupBy("band", "key", "chunks", F.pmod(F.xxhash64("band", "fp"), F.lit(how.leaders)).alias("class")).agg(F.min(F.struct(*own)).alias("x"))
