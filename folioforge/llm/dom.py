@@ -6,7 +6,8 @@ import html
 import re
 
 #: A tag ends at ">" outside quotes, or before the next "<" or at the page's end, so that no place is read twice.
-TAG = r"<(/?)([a-zA-Z][^\s/><\"']*)((?:[^>\"'<]|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|(?=<)|\Z)"
+REST = r"((?:[^>\"'<]++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|(?=<)|\Z)"
+TAG = r"<(/?)([a-zA-Z][^\s/><\"']*)" + REST
 _TOKEN = re.compile(r"<[!?][^>]*(?:>|\Z)|" + TAG, re.S)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.dom import TAG, hidden, without
+from folioforge.llm.dom import REST, TAG, hidden, without
 from folioforge.llm.store import documents
 
 VERSION = "WARC/1.1"
@@ -29,16 +29,16 @@ VERSION = "WARC/1.1"
 CAPTURED = "1970-01-01T00:00:00Z"
 _DROPPED = hidden("script|style|iframe", "noscript|template|svg")
 #: Elements whose tags end a line (fixed list).
-_BREAKS = frozenset("address article aside blockquote body br button dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
+_BREAKS = "address|article|aside|blockquote|body|br|button|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+_BREAK = re.compile(rf"</?(?:{_BREAKS})(?![^\s/><\"'])" + REST, re.S | re.I)
 _MARKUP = re.compile(r"<[!?][^>]*(?:>|\Z)|" + TAG + r"|</[^>]*(?:>|\Z)", re.S)
 _SPACE = re.compile(r"[^\S\n]+")
 
 
 def plain_text(source: str | None) -> str:
     """Visible text of a payload, one line per block; time is linear in its length."""
-    bare = _MARKUP.sub(lambda m: "\n" if m[2] and m[2].lower() in _BREAKS else "", without(source or "", _DROPPED, "").replace("\n", " "))
-    text = html.unescape(bare)
-    return "\n".join(line for line in (x.strip() for x in _SPACE.sub(" ", text).split("\n")) if line)
+    bare = _MARKUP.sub("", _BREAK.sub("\n", without(source or "", _DROPPED, "").replace("\n", " ")))
+    return "\n".join(line for line in (x.strip() for x in _SPACE.sub(" ", html.unescape(bare)).split("\n")) if line)
 
 
 def _plain_texts(source: pd.Series) -> pd.Series:
