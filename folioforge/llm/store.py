@@ -14,9 +14,14 @@ def cut(df: DataFrame) -> DataFrame:
 
     The tables stay until ``clear`` is called, as results that are not yet computed may read them.
     """
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, with the table's path, for whoever deletes it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def clear(spark: SparkSession) -> None:
