@@ -86,21 +86,28 @@ def _block(cuts: list[tuple[int, int]]) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def _unit(bits: Column) -> Column:
-    """A uniform in (0, 1) from 32 bits."""
-    return (bits + 0.5) / float(1 << 32)
+#: Bits of a hash for each of the two uniforms of its Gamma variate; those above serve for b.
+UNIT_BITS = 25
+
+
+def _unit(bits: Column, n: int) -> Column:
+    """A uniform in (0, 1) from ``n`` bits."""
+    return (bits + 0.5) / float(1 << n)
 
 
 def _gamma(h: Column) -> Column:
-    """A Gamma(2, 1) variate from the two halves of a 64-bit hash."""
-    return -F.log(_unit(h.bitwiseAND(F.lit(0xFFFFFFFF))) * _unit(F.shiftrightunsigned(h, 32)))
+    """A Gamma(2, 1) variate from the lower bits of a 64-bit hash."""
+    low = F.lit((1 << UNIT_BITS) - 1)
+    return -F.log(_unit(h.bitwiseAND(low), UNIT_BITS) * _unit(F.shiftrightunsigned(h, UNIT_BITS).bitwiseAND(low), UNIT_BITS))
 
 
 def draw(term: Column, log_w: Column, sample: int) -> Column:
     """What the sample minimises over a text's terms; equal values mean the same term and t, as c is a hash of the
-    term and t moves the value by whole steps of r."""
+    term and t moves the value by whole steps of r. r, c and b come from bits of their own, so they are independent."""
     h1, h2 = (F.xxhash64(term, F.lit(2 * sample + i)) for i in range(2))
-    r, b = _gamma(h2), _unit(h1.bitwiseXOR(h2).bitwiseAND(F.lit(0xFFFFFFFF)))
+    left = 64 - 2 * UNIT_BITS
+    high = [F.shiftrightunsigned(h, 2 * UNIT_BITS) for h in (h1, h2)]
+    r, b = _gamma(h2), _unit(F.shiftleft(high[0], left).bitwiseOR(high[1]), 2 * left)
     return F.log(_gamma(h1)) - r * (F.floor(log_w / r + b) - b + 1)
 
 
