@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from folioforge.llm.arrowtext import annotate
 from folioforge.llm.bytewords import Words, gram_hashes, words_of
+from folioforge.llm.cutting import without
 from folioforge.llm.store import cut, documents
 
 NGRAM = 10
@@ -162,13 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         return scanned.where("out.n_hit = 0").select("row.*")
     if action != "spans":
         raise ValueError(f"unknown action {action!r}")
-    text = F.aggregate(
-        "out.spans",
-        F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(F.concat(s["kept"], F.substring(F.col("row.text"), s["at"] + 1, x["start"] - s["at"])).alias("kept"), x["end"].alias("at")),
-        lambda s: F.concat(s["kept"], F.substring(F.col("row.text"), s["at"] + 1, F.length("row.text"))),
-    )
-    new = F.when(F.size("out.spans") > 0, text).otherwise(F.col("row.text"))
+    new = without(F.col("row.text"), F.col("out.spans"))
     fields = {"text": new} | ({"n_chars": F.when(F.size("out.spans") > 0, F.length(new).cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     return scanned.select(*[fields.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 

@@ -17,11 +17,10 @@ columns stay inside a struct, so their names cannot clash; time is linear in a t
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm.cutting import let, without
 from folioforge.llm.store import documents
 
 #: The base patterns (fixed values); assign counts where its value, group 2, has 8 characters or more.
@@ -51,11 +50,6 @@ KINDS = ["assign", "access", "hex", "entropy"]
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def codes(candidate: Column) -> Column:
     """Places in the alphabet, from 0, of a candidate's characters."""
     return F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(_ALPHABET)) - 1)
@@ -80,8 +74,8 @@ def entropy(codes: Column) -> Column:
 
     def step(s: Column, i: Column) -> Column:
         grown = change(s, F.get(codes, i), 1)
-        after = F.when(i >= WINDOW, _let(grown, lambda g: change(g, F.get(codes, i - WINDOW), -1))).otherwise(grown)
-        return _let(after, lambda a: F.struct(a["counts"].alias("counts"), a["sum"].alias("sum"), F.when(i >= WINDOW - 1, F.least(a["least"], a["sum"])).otherwise(a["least"]).alias("least")))
+        after = F.when(i >= WINDOW, let(grown, lambda g: change(g, F.get(codes, i - WINDOW), -1))).otherwise(grown)
+        return let(after, lambda a: F.struct(a["counts"].alias("counts"), a["sum"].alias("sum"), F.when(i >= WINDOW - 1, F.least(a["least"], a["sum"])).otherwise(a["least"]).alias("least")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: F.floor((F.lit(_GAIN[WINDOW]).cast("long") - s["least"]) / WINDOW))
 
@@ -94,7 +88,7 @@ def _is_secret(candidate: Column) -> Column:
     for _, pattern, bits in reversed(CLASSES):
         least = F.when(candidate.rlike(pattern), F.lit(round(bits * _MICRO)).cast("long")).otherwise(least)
     mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
-    return F.coalesce(F.when(mixed & ~allowed, _let(codes(candidate), entropy) >= least), F.lit(False))
+    return F.coalesce(F.when(mixed & ~allowed, let(codes(candidate), entropy) >= least), F.lit(False))
 
 
 def _before(steps: Column) -> Column:
@@ -108,7 +102,7 @@ def _before(steps: Column) -> Column:
         bases = F.aggregate(own, blank, lambda s, b: grow(s, b["at"]), lambda s: s["out"])
         return F.flatten(F.zip_with(own, bases, lambda b, base: F.transform(b["out"], lambda x: x + base)))
 
-    return F.when(F.size(steps) > 0, _let(blocks, joined)).otherwise(none)
+    return F.when(F.size(steps) > 0, let(blocks, joined)).otherwise(none)
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -149,31 +143,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     """The documents' own columns with each stretch of spans replaced by ``mark``; ``n_chars``, where there is
     such a column, follows the new text."""
     found = scan(docs, docs.columns, text)
-    old = F.col("row").getField(text)
-    piece = "array<struct<start:int,end:int>>"
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        return F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(fresh, F.concat(s["kept"], F.array(F.struct(s["at"].alias("start"), x["start"].alias("end"))))).otherwise(s["kept"]).alias("kept"),
-        )
-
-    cuts = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast(piece).alias("kept")), step, lambda s: F.concat(s["kept"], F.array(F.struct(s["at"].alias("start"), F.char_length(old).alias("end")))))
-    changed = found.select("row", (F.size("spans") > 0).alias("changed"), F.when(F.size("spans") > 0, cuts).alias("cuts"))
-
-    def block(b: Column) -> Column:
-        """The kept pieces of one block, taken from the stretch of text that holds them."""
-
-        def pieces(own: Column) -> Column:
-            low = F.get(own, F.lit(0))["start"]
-            part = F.substring(old, low + 1, F.get(own, F.size(own) - 1)["end"] - low)
-            return _let(part, lambda t: F.transform(own, lambda x: F.substring(t, x["start"] - low + 1, x["end"] - x["start"])))
-
-        return _let(F.slice(F.col("cuts"), b * _BLOCK + 1, _BLOCK), pieces)
-
-    new = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size("cuts") - 1) / _BLOCK).cast("int")), block)), mark)
-    changed = changed.select("row", "changed", F.when(F.col("changed"), new).otherwise(old).alias("new"))
+    changed = found.select("row", (F.size("spans") > 0).alias("changed"), without(F.col("row").getField(text), F.col("spans"), mark).alias("new"))
     own = lambda c: F.col("new") if c == text else F.when(F.col("changed"), F.char_length("new").cast(docs.schema[c].dataType)).otherwise(F.col("row").getField(c)) if c == "n_chars" else F.col("row").getField(c)
     return changed.select(*[own(c).alias(c) for c in docs.columns])
 
