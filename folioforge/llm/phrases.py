@@ -42,7 +42,7 @@ KIND[list(ENDS + GAPS)] = False
 IS_END = np.zeros(256, dtype=bool)
 IS_END[list(ENDS)] = True
 #: Bytes of text that a task counts at a time; a longer text is counted by itself.
-BUFFER = 8 << 20
+BUFFER = 4 << 20
 #: Bits of the map of frequent words.
 MAP_BITS = 25
 #: Pointers in one row on their way to a prefix.
