@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from folioforge import store
 from folioforge.operators import index as ix
+from folioforge.operators import ranked as rk
 from folioforge.operators import search as se
+from folioforge.operators import segments as sg
 from folioforge.operators import writes as wr
 from folioforge.schema import MISSES, STATE
 
+#: Parquet options of the stored books: lookups by id and author skip the row groups whose Bloom filter says no.
+BLOOM = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#author": "true"}
+
 
 class CatalogMissing(Exception):
     """There is no catalog at the path."""
@@ -64,31 +69,51 @@ def as_json(rows: DataFrame) -> DataFrame:
 class Catalog:
     """An open catalog: the tables, the index, and the public reads.
 
-    On disk it is a folder of versions (``store.publish``), each with books, misses, state and the index, so
-    that what a reader opens fits together.
+    On disk it is a folder of versions: whole ones (``save``), each with books, misses, state and the index, or
+    lists of segments (``segments.append``). Either way what a reader opens fits together.
     """
 
-    def __init__(self, books: DataFrame, index: ix.Index | None = None, misses: DataFrame | None = None, folder: str | None = None):
-        self.books, self.index, self.misses, self.folder = books, index or ix.build(books), misses, folder
+    def __init__(self, books: DataFrame, index: ix.Index | None = None, misses: DataFrame | None = None, folder: str | None = None, version: sg.Version | None = None):
+        self.books, self.index, self.misses, self.folder, self.version = books, index or ix.build(books), misses, folder, version
 
     @staticmethod
-    def open(spark: SparkSession, path: str) -> Catalog:
-        folder = store.current(spark, path)
-        if folder is None:
+    def open(spark: SparkSession, path: str, name: str | None = None) -> Catalog:
+        """The newest published version, or the named one."""
+        done = store.published(spark, path)
+        if not done:
             raise CatalogMissing(f"no catalog at {path}")
+        if store.read_marker(spark, path, name or done[-1]):
+            version = sg.load(spark, path, name)
+            t = sg.tables(spark, path, version)
+            return Catalog(t["books"], ix.Index(t["terms"], t["lengths"], t["totals"]), t["misses"], version=version)
+        folder = f"{path}/versions/{name or done[-1]}"
         return Catalog(spark.read.parquet(f"{folder}/books"), ix.Index.read(spark, f"{folder}/index"), spark.read.parquet(f"{folder}/misses"), folder)
 
-    def save(self, path: str, last_id: int = 0, files: int = 8) -> Catalog:
+    def save(self, path: str, last_id: int = 0, ranked: bool = False) -> Catalog:
         """Publishes the tables as the path's new version: books by category, then author, which keeps the row
-        groups of equality filters few; the index by term."""
+        groups of equality filters few, with a Bloom filter on id and author; the index by term. The number of
+        files follows the tables' size. ``ranked`` adds the blocks and completions of ``ranked``."""
         spark = self.books.sparkSession
         misses = self.misses if self.misses is not None else spark.createDataFrame([], MISSES)
         state = spark.createDataFrame([("last_id", str(last_id))], STATE).coalesce(1)
-        books = self.books.repartitionByRange(files, "category", "author").sortWithinPartitions("category", "author", "id")
-        store.publish({"books": books, "misses": misses, "state": state}, path, prepare=lambda folder: self.index.write(f"{folder}/index", files))
+        books = self.books.repartitionByRange("category", "author", "id").sortWithinPartitions("category", "author", "id")
+
+        def rest(folder: str) -> None:
+            self.index.write(f"{folder}/index")
+            if ranked:
+                stored = ix.Index.read(spark, f"{folder}/index")
+                rk.write(stored, spark.read.parquet(f"{folder}/books"), f"{folder}/ranked")
+
+        store.publish({"books": books, "misses": misses, "state": state}, path, prepare=rest, options={"books": BLOOM})
         return Catalog.open(spark, path)
 
+    def ranked(self) -> rk.Blocks:
+        """The stored blocks and completions."""
+        return rk.Blocks.read(self.books.sparkSession, f"{self.folder}/ranked")
+
     def last_id(self) -> int:
+        if self.version:
+            return self.version.last_id
         return wr.get_checkpoint(self.books.sparkSession, f"{self.folder}/state") if self.folder else 0
 
     def search(self, query: str = "", category: str = "", limit: int = 30, offset: int = 0) -> dict:
@@ -119,7 +144,8 @@ class Catalog:
     def stats(self) -> dict:
         """Totals of books, misses and categories, and the size on disk in MB."""
         spark = self.books.sparkSession
-        size = round(store.size_of(spark, self.folder) / 1e6, 1) if self.folder else None
+        held = sum(s.size for s in self.version.segments) if self.version else store.size_of(spark, self.folder) if self.folder else None
+        size = None if held is None else round(held / 1e6, 1)
         return {"total": self.books.count(), "misses": self.misses.count() if self.misses is not None else 0, "categories": [(r.category, r.n) for r in self.categories().collect()], "size_mb": size, "last_id": self.last_id()}
 
     def health(self) -> dict:

@@ -19,9 +19,9 @@ class Index:
     lengths: DataFrame  # id, length
     totals: DataFrame  # one row: n_rows, n_tokens
 
-    def write(self, path: str, files: int = 8) -> None:
-        """Terms sorted, so that equality and prefix filters skip row groups."""
-        self.terms.repartitionByRange(files, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/terms")
+    def write(self, path: str) -> None:
+        """Terms sorted, so that equality and prefix filters skip row groups; the number of files follows their size."""
+        self.terms.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/terms")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 

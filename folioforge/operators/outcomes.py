@@ -93,17 +93,18 @@ def accepted(outcomes: DataFrame, **how) -> DataFrame:
     return outcomes.crossJoin(F.broadcast(last)).where("last_seq IS NULL OR seq <= last_seq").drop("last_seq")
 
 
-def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0, chunk_rows: int = 100_000) -> DataFrame:
-    """Per worker (``worker`` column) the delay after its last outcome: refusals double it within bounds, or raise
-    it to the seconds that the server asked for (``wait`` column, if there is one and it is not null); others let
-    it fall by a tenth to the base.
+def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0, chunk_rows: int = 100_000, by: str | None = "worker") -> DataFrame:
+    """The delay after the last outcome, of each ``by`` or (None) of all workers together, where a refusal seen by
+    one slows all: refusals double it within bounds, or raise it to the seconds that the server asked for
+    (``wait`` column, if there is one and it is not null); others let it fall by a tenth to the base.
 
-    An ordered fold without a worker's whole log in one place: each outcome clamps a multiple of the delay,
+    An ordered fold without the whole log in one place: each outcome clamps a multiple of the delay,
     d -> min(hi, max(lo, m d)), and so does any run of them. Chunks of ``chunk_rows`` sequence numbers are folded
-    to one such (m, lo, hi) each, and only these are put in order per worker.
+    to one such (m, lo, hi) each, runs of ``chunk_rows`` chunks again, and only these are put in order.
     """
+    keys = [] if by is None else [by]
     if base > most:  # the first refusal sets the delay for good
-        return outcomes.groupBy("worker").agg(F.when(F.max(F.coalesce(F.col("reason").isin(*REFUSED), F.lit(False))), F.lit(float(most))).otherwise(F.lit(float(base))).alias("delay"))
+        return outcomes.groupBy(*keys).agg(F.when(F.max(F.coalesce(F.col("reason").isin(*REFUSED), F.lit(False))), F.lit(float(most))).otherwise(F.lit(float(base))).alias("delay"))
     wait = F.col("wait").cast("double") if "wait" in outcomes.columns else F.lit(None).cast("double")
     number = lambda x: F.lit(float(x))
     triple = lambda m, lo, hi: F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"))
@@ -117,10 +118,16 @@ def throttle(outcomes: DataFrame, base: float = 0.15, most: float = 8.0, chunk_r
         # beyond 1e100 either way the bounds decide
         return triple(bound(d["m"] * m, number(1e-100), number(1e100)), bound(d["lo"] * m, lo, hi), bound(d["hi"] * m, lo, hi))
 
-    chunks = outcomes.groupBy("worker", F.expr(f"seq div {chunk_rows}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("seq", "reason", wait.alias("wait")))).alias("log"))
-    folded = chunks.select("worker", "chunk", F.aggregate("log", triple(number(1), number(0), number("inf")), step).alias("f"))
-    order = folded.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("log"))
-    return order.select("worker", F.aggregate("log", number(base), lambda d, x: bound(d * x["f"]["m"], x["f"]["lo"], x["f"]["hi"])).alias("delay"))
+    def after(d: Column, x: Column) -> Column:
+        m, lo, hi = x["f"]["m"], x["f"]["lo"], x["f"]["hi"]
+        return triple(bound(d["m"] * m, number(1e-100), number(1e100)), bound(d["lo"] * m, lo, hi), bound(d["hi"] * m, lo, hi))
+
+    none = triple(number(1), number(0), number("inf"))
+    chunks = outcomes.groupBy(*keys, F.expr(f"seq div {chunk_rows}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("seq", "reason", wait.alias("wait")))).alias("log"))
+    folded = chunks.select(*keys, "chunk", F.aggregate("log", none, step).alias("f"))
+    runs = folded.groupBy(*keys, F.expr(f"chunk div {max(2, chunk_rows)}").alias("run")).agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("log")).select(*keys, "run", F.aggregate("log", none, after).alias("f"))
+    order = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "f"))).alias("log"))
+    return order.select(*keys, F.aggregate("log", number(base), lambda d, x: bound(d * x["f"]["m"], x["f"]["lo"], x["f"]["hi"])).alias("delay"))
 
 
 def retry_plan(attempts: DataFrame, most: int = 3) -> DataFrame:

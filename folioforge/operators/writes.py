@@ -29,10 +29,9 @@ def misses(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(reason.isin(*GAPS)).select("id", "seq", reason.alias("reason"), F.current_timestamp().alias("seen_at"))
 
 
-def upsert_misses(old: DataFrame, outcomes: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The miss table with the log's confirmed gaps in place of older rows, without ids that are catalogued now."""
-    new = upsert(old, misses(outcomes))
-    return new if found is None else new.join(found.select("id"), "id", "left_anti")
+def upsert_misses(old: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The miss table with the log's confirmed gaps in place of older rows. Ids that are catalogued stay in it."""
+    return upsert(old, misses(outcomes))
 
 
 def miss_totals(table: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The catalog's queries over the driver's tables, each with its DuckDB twin where SQL can say it.
 
-``part`` stands for the catalog, the first lines of ``documents`` for accented
-titles, ``pages`` for captured responses, and ``events`` in arrival order for
+``part`` stands for the catalog, ``documents`` for accented titles, ``pages``
+for captured responses, and ``events`` in arrival order for
 the outcome log.
 """
 
@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as tx
 from folioforge.functions.highlight import highlight
+from folioforge.functions.patterns import first_of
 from folioforge.operators import catalog as ca
 from folioforge.operators import index as ix
 from folioforge.operators import outcomes as oc
+from folioforge.operators import ranked as rk
+from folioforge.operators import reports as rp
+from folioforge.operators import requests as rq
 from folioforge.operators import search as se
+from folioforge.operators import segments as sg
 from folioforge.operators import viewer as vi
 from folioforge.operators import writes as wr
+from folioforge.sources import captures as cp
 from folioforge.sources import responses as rs
-from folioforge.store import shared_dir
+from folioforge.store import fingerprint, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,14 +54,8 @@ def books_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").cast("string").alias("year"), F.lit("").alias("city"), F.col("p_type").alias("category"), F.lit("part").alias("source"))
 
 
-def books_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    first = F.substring(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), 1, 200)
-    return d.select(F.col("doc_id").alias("id"), first.alias("title"), F.col("source").alias("author"), F.lit("").alias("year"), F.lit("").alias("city"), F.col("lang").alias("category"), F.lit("documents").alias("source"))
-
-
 def books_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``books_doc``, with the whole text for a title."""
+    """Each document's whole text as a title."""
     whole = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("title"), F.col("source").alias("author"), F.col("lang").alias("category"))
     return whole.select("id", "title", "author", F.lit("").alias("year"), F.lit("").alias("city"), "category", F.lit("documents").alias("source"))
 
@@ -68,7 +68,6 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOOKS = "books AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, CAST(p_size AS VARCHAR) AS year, '' AS city, p_type AS category, 'part' AS source FROM part)"
-_DOCS = "books AS (SELECT doc_id AS id, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 200) AS title, source AS author, '' AS year, '' AS city, lang AS category FROM documents)"
 _TEXTS = "books AS (SELECT doc_id AS id, coalesce(text, '') AS title, source AS author, '' AS year, '' AS city, lang AS category FROM documents)"
 _LOG = "log AS (SELECT event_id AS seq, event_id AS id, ts, event_type AS detail, CASE event_type WHEN 'error' THEN 'http-403' WHEN 'view' THEN 'http-404' ELSE 'ok' END AS reason FROM events)"
 _QUOTED = "''".join("׳״'\"‘’“”`´".split("'"))
@@ -102,17 +101,20 @@ def _rounded(df: DataFrame) -> DataFrame:
 _stored: dict[tuple, str] = {}
 
 
-def catalog(spark: SparkSession, sf_dir: str, books: Callable[[SparkSession, str], DataFrame] = books_part) -> ca.Catalog:
-    """The catalog over a table, built and published once per application, then read from its stored form."""
-    key = (spark.sparkContext.applicationId, sf_dir, books.__name__)
+def catalog(spark: SparkSession, sf_dir: str, books: Callable[[SparkSession, str], DataFrame] = books_part, ranked: bool = False) -> ca.Catalog:
+    """The catalog over a table, built and published once for each state of the table's files, then read from its stored form."""
+    name = {books_part: "part", books_text: "documents"}[books]
+    key = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/{name}.parquet"), name, ranked)
     if key not in _stored:
-        _stored[key] = f"{shared_dir(spark).rstrip('/')}/catalogs/{uuid.uuid4().hex}"
-        ca.Catalog(books(spark, sf_dir)).save(_stored[key])
+        path = f"{shared_dir(spark).rstrip('/')}/catalogs/{uuid.uuid4().hex}"
+        ca.Catalog(books(spark, sf_dir)).save(path, ranked=ranked)
+        _stored[key] = path
     return ca.Catalog.open(spark, _stored[key])
 
 
 def _page(c: ca.Catalog, text: str, category: str = "", limit: int = 30, offset: int = 0) -> DataFrame:
     """As ``search``, with scores rounded before the order, so that drift in the last digits cannot swap ties."""
+    ca.check_page(limit, offset)
     found = _rounded(se.hits(c.index, c.books, se.compile_query(text), category))
     return found.select(*se.SEARCH_COLUMNS, "score").orderBy("score", "id").offset(offset).limit(limit)
 
@@ -139,11 +141,6 @@ def search_total(spark, sf_dir):
     return se.total(c.index, c.books, "blue b")
 
 
-@query(_ranked(_DOCS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
-def search_accented(spark, sf_dir):
-    return _page(catalog(spark, sf_dir, books_doc), "de é")
-
-
 @query(_ranked(_TEXTS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
 def search_accented_texts(spark, sf_dir):
     return _page(catalog(spark, sf_dir, books_text), "de é")
@@ -171,6 +168,102 @@ def search_batch(spark, sf_dir):
     return _rounded(se.search_many(c.index, c.books, _MANY)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(_ranked(_BOOKS, [("blue", False), ("b", True)], _PAGE, "", _ORDER + " 30"))
+def search_top(spark, sf_dir):
+    """As ``search_ranked``, from the blocks that can reach the page."""
+    c = catalog(spark, sf_dir, ranked=True)
+    return rk.search_top(c.ranked(), c.books, "blue b")
+
+
+@query(_ranked(_BOOKS, [("blue", False), ("b", True)], _PAGE, "WHERE category = (SELECT min(p_type) FROM part)", _ORDER + " 10 OFFSET 5"))
+def search_top_category(spark, sf_dir):
+    c = catalog(spark, sf_dir, ranked=True)
+    return rk.search_top(c.ranked(), c.books, "blue b", c.books.agg(F.min("category")).first()[0], 10, 5)
+
+
+@query(_ranked(_TEXTS, [("de", False), ("e", True)], _PAGE, "", _ORDER + " 30"))
+def search_top_texts(spark, sf_dir):
+    c = catalog(spark, sf_dir, books_text, ranked=True)
+    return rk.search_top(c.ranked(), c.books, "de é")
+
+
+_PHRASES = """q AS (SELECT DISTINCT t[1] AS w, t[2][1] AS p FROM (SELECT {t} AS t FROM books) WHERE len(t) >= 2),
+ph AS (SELECT w || ' ' || p AS query_id, 0 AS phrase, w AS word, false AS prefix FROM q UNION ALL SELECT w || ' ' || p, 1, p, true FROM q),
+""".format(t=_TOKENS % "title")
+
+
+def _many(tail: str) -> str:
+    """BM25 of every phrase of ``ph`` (query_id, phrase, word, prefix) in SQL."""
+    cols = " UNION ALL ".join(f"SELECT id, {w} AS weight, {_TOKENS % c} AS t FROM books" for c, w in (("title", "10.0e0"), ("author", "4.0e0"), ("category", "1.0e0")))
+    return f"""cols AS ({cols}), tok AS (SELECT id, weight, unnest(t) AS term FROM cols),
+len AS (SELECT id, CAST(count(*) AS DOUBLE) AS d FROM tok GROUP BY id),
+tot AS (SELECT CAST((SELECT count(*) FROM books) AS DOUBLE) AS n, CAST((SELECT count(*) FROM tok) AS DOUBLE) AS t),
+map AS (SELECT query_id, phrase, term FROM ph, (SELECT DISTINCT term FROM tok) WHERE CASE WHEN prefix THEN starts_with(term, word) ELSE term = word END),
+hit AS (SELECT query_id, phrase, id, sum(weight) AS f FROM map JOIN tok USING (term) GROUP BY ALL),
+idf AS (SELECT query_id, phrase, CASE WHEN ln((n - df + 0.5e0) / (df + 0.5e0)) > 0 THEN ln((n - df + 0.5e0) / (df + 0.5e0)) ELSE 1e-6 END AS idf, t / n AS mean FROM (SELECT query_id, phrase, count(*) AS df FROM hit GROUP BY ALL), tot),
+sc AS (SELECT query_id, id, round(-sum(idf * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * d / mean))), 9) AS score, count(*) AS held FROM hit JOIN idf USING (query_id, phrase) JOIN len USING (id) GROUP BY ALL)
+{tail}"""
+
+
+@query(f"WITH {_BOOKS}, {_PHRASES}{_many('SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank, id, score FROM sc WHERE held = 2 QUALIFY rank <= 10')}")
+def search_top_batch(spark, sf_dir):
+    """For every first word of a title with the first letter of the second, the best ten rows, in one run."""
+    c = catalog(spark, sf_dir, ranked=True)
+    words = c.books.select(tx.index_tokens(tx.expand(F.col("title"))).alias("t")).where(F.size("t") >= 2)
+    asked = [f"{r.w} {r.p}" for r in words.select(F.get("t", 0).alias("w"), F.substring(F.get("t", 1), 1, 1).alias("p")).distinct().collect()]  # as many as words times letters
+    return rk.Search(c.ranked(), {q: q for q in asked}, 10).top().withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_BOOKS}, ph AS (SELECT DISTINCT substr(term, 1, n) AS query_id, 0 AS phrase, substr(term, 1, n) AS word, true AS prefix FROM (SELECT unnest({_TOKENS % 'title'} || {_TOKENS % 'author'} || {_TOKENS % 'category'}) AS term FROM books), range(1, 7) AS t(n) WHERE n <= length(term)), {_many('SELECT query_id AS prefix, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank, id, title, author, category, score FROM sc JOIN books USING (id) QUALIFY rank <= 8')}")
+def suggest_prefixes(spark, sf_dir):
+    """The suggestions for every prefix of up to six characters, as stored."""
+    stored = catalog(spark, sf_dir, ranked=True).ranked().completions
+    return stored.where("rank <= 8").select("prefix", F.col("rank").cast("long").alias("rank"), *se.SUGGEST_COLUMNS, "score")
+
+
+@query(_ranked(_BOOKS, [("re", True)], "id, title, author, category", "", _ORDER + " 8"))
+def suggest_stored(spark, sf_dir):
+    c = catalog(spark, sf_dir, ranked=True)
+    return rk.complete(c.ranked(), c.index, c.books, "re")
+
+
+_BATCHES = """e AS (SELECT user_id AS id, event_id AS seq, event_type AS title, ntile(3) OVER (ORDER BY event_id) AS part FROM events WHERE user_id IS NOT NULL),
+books AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, p_type AS category FROM part WHERE p_partkey NOT IN (SELECT id FROM e) AND p_partkey NOT IN (SELECT s_suppkey * 7 FROM supplier)
+  UNION ALL SELECT id, arg_max(title, seq), 'batch ' || max(part), 'event' FROM e GROUP BY id)"""
+
+
+def _batched(spark, sf_dir) -> ca.Catalog:
+    """``part`` as a base, then three batches of rows by user from ``events`` and one of deleted ids from ``supplier``."""
+    path = f"{shared_dir(spark).rstrip('/')}/catalogs/{uuid.uuid4().hex}"
+    sg.append(spark, path, books_part(spark, sf_dir))
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("title"))
+    n, low = e.count(), 0
+    thirds = [n // 3 + (i < n % 3) for i in range(3)]
+    ids = e.select("seq").orderBy("seq")
+    for i, size in enumerate(thirds):
+        cut = ids.offset(low + size).limit(1).collect()
+        own = e.where(F.col("seq") >= start) if i else e
+        own = own.where(F.col("seq") < cut[0].seq) if cut else own
+        start, low = (cut[0].seq if cut else 0), low + size
+        rows = wr.last_write_wins(own).drop("seq")
+        sg.append(spark, path, rows.select("id", "title", F.lit(f"batch {i + 1}").alias("author"), F.lit("").alias("year"), F.lit("").alias("city"), F.lit("event").alias("category"), F.lit("events").alias("source")))
+    kept = e.select("id").distinct()
+    sg.append(spark, path, deleted=table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).alias("id")).distinct().join(kept, "id", "left_anti"))
+    return ca.Catalog.open(spark, path)
+
+
+@query(f"WITH {_BATCHES} SELECT * FROM books")
+def catalog_batches(spark, sf_dir):
+    return _batched(spark, sf_dir).books.select("id", "title", "author", "category")
+
+
+@query(_ranked(_BATCHES, [("batch", False), ("c", True)], "id, title, author, category", "", _ORDER + " 30"))
+def search_batches(spark, sf_dir):
+    """A ranked page over the base and its deltas."""
+    found = _rounded(se.hits((c := _batched(spark, sf_dir)).index, c.books, se.compile_query("batch c")))
+    return found.select(*se.SUGGEST_COLUMNS, "score").orderBy("score", "id").limit(30)
+
+
 @query(f"WITH {_BOOKS} SELECT {_PAGE} FROM books ORDER BY id LIMIT 30 OFFSET 60")
 def browse_all(spark, sf_dir):
     return se.browse(books_part(spark, sf_dir), offset=60).drop("score")
@@ -211,17 +304,6 @@ def category_chips(spark, sf_dir):
     return ca.chips(books_part(spark, sf_dir), 3)
 
 
-@query(f"WITH {_DOCS} SELECT id, {_FOLD % 'title'} AS normalized FROM books")
-def normalize_titles(spark, sf_dir):
-    return books_doc(spark, sf_dir).select("id", tx.normalize(F.col("title")).alias("normalized"))
-
-
-@query(f"WITH {_DOCS} SELECT id, {_FOLD % 'title'} AS expanded, array_to_string({_TOKENS % 'title'}, ' ') AS tokens FROM books")
-def expand_tokens(spark, sf_dir):
-    d = books_doc(spark, sf_dir).select("id", tx.expand(F.col("title")).alias("expanded"))
-    return d.select("id", "expanded", F.array_join(tx.index_tokens(F.col("expanded")), " ").alias("tokens"))
-
-
 @query(f"WITH {_TEXTS} SELECT id, {_FOLD % 'title'} AS normalized FROM books")
 def normalize_texts(spark, sf_dir):
     return books_text(spark, sf_dir).select("id", tx.normalize(F.col("title")).alias("normalized"))
@@ -252,11 +334,6 @@ def known_ids(spark, sf_dir):
     return oc.known_ids(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), outcomes(spark, sf_dir).select("id", "reason"))
 
 
-@query("SELECT i AS id FROM generate_series(1, 2000) AS t(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
-def pending_ids(spark, sf_dir):
-    return oc.pending_ids(spark, 1, 2000, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
-
-
 @query("SELECT i AS id FROM (SELECT min(doc_id) AS low, max(doc_id) AS high FROM documents) AS d, generate_series(d.low, d.high) AS t(i) WHERE i NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def pending_all_ids(spark, sf_dir):
     low, high = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -444,3 +521,80 @@ def card_lines(spark, sf_dir):
     b = books_part(spark, sf_dir)
     return b.select("id", tx.card_line(F.col("author"), F.col("year"), F.col("city"), F.col("category")).alias("line"))
 
+
+
+@query(f"""WITH {_LOG}, e AS (SELECT log.seq, reason, CASE WHEN log.seq % 7 = 0 THEN CAST(log.seq % 10 AS DOUBLE) END AS wait FROM log),
+s AS (SELECT list(CASE WHEN reason <> 'http-403' THEN -1.0e0 WHEN wait IS NULL THEN -2.0e0 ELSE wait END ORDER BY seq) AS steps FROM e)
+SELECT round(list_reduce(list_prepend(0.15e0, steps), lambda d, x: CASE x WHEN -1.0e0 THEN greatest(0.15e0, d * 0.9e0) WHEN -2.0e0 THEN least(8.0e0, greatest(0.25e0, d * 2.0e0)) ELSE least(8.0e0, greatest(d, x)) END), 9) AS delay FROM s""")
+def throttle_shared(spark, sf_dir):
+    """One delay for all workers; every seventh refusal says how long to wait."""
+    log = outcomes(spark, sf_dir).withColumn("wait", F.when(F.col("seq") % 7 == 0, F.col("seq") % 10))
+    return oc.throttle(log, by=None, chunk_rows=1000).withColumn("delay", F.round("delay", 9))
+
+
+_RUNNING = "count(*) FILTER (WHERE reason = 'ok') OVER w AS found, count(*) FILTER (WHERE reason IN ('http-404', 'dead-title')) OVER w AS missing, count(*) FILTER (WHERE reason = 'http-403') OVER w AS failed, count(*) FILTER (WHERE reason = 'http-403') OVER w AS blocked, count(*) FILTER (WHERE reason = 'challenge') OVER w AS challenged, count(*) OVER w AS processed"
+
+
+@query(f"""WITH RECURSIVE {_LOG}, t AS (SELECT DISTINCT ts FROM log WHERE ts IS NOT NULL), nxt AS (SELECT ts, min(ts) OVER (ORDER BY ts RANGE BETWEEN INTERVAL '1 hour' FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM t),
+rep AS (SELECT min(ts) AS ts, 0 AS place FROM t UNION ALL SELECT following, place + 1 FROM rep JOIN nxt ON nxt.ts = rep.ts WHERE following IS NOT NULL),
+run AS (SELECT ts, {_RUNNING} FROM log WINDOW w AS (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT DISTINCT run.* FROM run JOIN rep USING (ts) WHERE place > 0""")
+def progress_hourly(spark, sf_dir):
+    """Running totals when an hour has passed since the last report."""
+    return rp.progress_reports(outcomes(spark, sf_dir), 3600.0, rows=200)
+
+
+@query(f"""WITH RECURSIVE {_LOG}, t AS (SELECT DISTINCT ts FROM log WHERE ts IS NOT NULL), nxt AS (SELECT ts, min(ts) OVER (ORDER BY ts RANGE BETWEEN INTERVAL '10 seconds' FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM t),
+rep AS (SELECT min(ts) AS ts, 0 AS place FROM t UNION ALL SELECT following, place + 1 FROM rep JOIN nxt ON nxt.ts = rep.ts WHERE following IS NOT NULL),
+run AS (SELECT ts, {_RUNNING} FROM log WINDOW w AS (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT DISTINCT run.* FROM run JOIN rep USING (ts) WHERE place > 0""")
+def progress_since_last(spark, sf_dir):
+    """Running totals when ten seconds have passed since the last report."""
+    return rp.progress_reports(outcomes(spark, sf_dir))
+
+
+@query("SELECT event_id, user_id, ts, event_type FROM events WHERE ts IS NOT NULL QUALIFY lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts + INTERVAL '6 hours'")
+def debounced(spark, sf_dir):
+    """Of each user's events the last one before six quiet hours."""
+    return rq.debounce(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"), "6 hours")
+
+
+@query("""WITH r AS (SELECT user_id, ts AS at, event_id AS request FROM events WHERE event_type IN ('view', 'click')),
+a AS (SELECT user_id, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS at, event_id AS request FROM events WHERE event_type IN ('view', 'click'))
+SELECT a.user_id, a.at, a.request, r.request AS newest, coalesce(r.request = a.request, false) AS shown FROM a ASOF LEFT JOIN r ON a.user_id = r.user_id AND a.at >= r.at""")
+def stale_answers(spark, sf_dir):
+    """Views and clicks as requests that are answered after ``value`` minutes, unless a newer one was made before."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')")
+    asked = e.select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("request"))
+    came = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 60_000_000).cast("long")).cast(e.schema["ts"].dataType)
+    return rq.stale_guard(asked, e.select("user_id", came.alias("at"), F.col("event_id").alias("request")))
+
+
+@query(_ANSWERED)
+def capture_outcomes(spark, sf_dir):
+    """As ``response_outcomes``, with the responses written as WARC files and read back by byte ranges."""
+    path = f"{shared_dir(spark).rstrip('/')}/captures/{uuid.uuid4().hex}"
+    cp.write_captures(answers(spark, sf_dir), path)
+    return rs.classify(cp.read_captures(spark, path, 1 << 20)).select("id", "reason")
+
+
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY start) - 1 AS place, start FROM (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS start FROM benchmark WHERE text IS NOT NULL))
+SELECT doc_id, CAST(coalesce(min(place), -1) AS INTEGER) AS place FROM documents LEFT JOIN p ON contains(text, start) GROUP BY doc_id""")
+def first_patterns(spark, sf_dir):
+    """The first of the benchmark items' three-word beginnings, in order, that each document holds."""
+    starts = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("start")).distinct()
+    listed = sorted(r.start for r in starts.collect())
+    return first_of(table(spark, sf_dir, "documents"), "text", listed).groupBy("doc_id").agg(F.coalesce(F.min("place"), F.lit(-1)).alias("place"))
+
+
+@query(f"WITH {_BOOKS} SELECT id, title, author, year, city, category, source, 'https://example.org/' || id AS viewer_url, 'https://example.org/pdf/' || id AS pdf_url, CAST(NULL AS VARCHAR) AS proxy_url FROM books WHERE id = (SELECT max(p_partkey) FROM part)")
+def stored_lookup(spark, sf_dir):
+    """A point read of the stored catalog, whose row groups carry Bloom filters on ids."""
+    c = catalog(spark, sf_dir)
+    return c.book(c.books.agg(F.max("id")).first()[0])
+
+
+@query("SELECT doc_id AS id, lower(translate(regexp_replace(coalesce(text, ''), '[\\x{0591}-\\x{05c7}]', '', 'g'), '" + _QUOTED[:-1] + "', '')) AS folded FROM documents")
+def client_folded(spark, sf_dir):
+    """Whole texts under the browser side's lighter fold."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.client_fold(F.col("text")).alias("folded"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """Results of jobs that do not wait for each other; small ones leave room for others' tasks."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package as a zip file to the executors, once per application, unless their path has it."""
     if _ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _sent:

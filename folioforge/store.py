@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -43,13 +44,43 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files below the path, as one hash: another one where a table was rewritten."""
+    where, fs = _path(spark, path)
+    seen, files = hashlib.sha256(), fs.listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    for line in sorted(found):
+        seen.update(line.encode())
+    return seen.hexdigest()
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of all files below the path."""
     where, fs = _path(spark, path)
     return fs.getContentSummary(where).getLength()
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
+def write_marker(spark: SparkSession, path: str, name: str, text: str) -> None:
+    """Publishes a version: its marker appears whole, by one move, and only if the name is free."""
+    fresh = f"{path}/unpublished/{uuid.uuid4().hex}"
+    where, fs = _path(spark, fresh)
+    out = fs.create(where, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    folder, _ = _path(spark, f"{path}/published")
+    fs.mkdirs(folder)
+    rename(spark, fresh, f"{path}/published/{name}")
+
+
+def read_marker(spark: SparkSession, path: str, name: str) -> str:
+    rows = spark.read.text(f"{path}/published/{name}", wholetext=True).collect()
+    return rows[0].value if rows else ""
+
+
+def published(spark: SparkSession, path: str) -> list[str]:
     """Published versions, oldest first: those whose marker file exists."""
     where, fs = _path(spark, f"{path}/published")
     return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
@@ -57,22 +88,22 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
 
 def current(spark: SparkSession, path: str) -> str | None:
     """The folder of the newest published version."""
-    done = _versions(spark, path)
+    done = published(spark, path)
     return f"{path}/versions/{done[-1]}" if done else None
 
 
-def publish(tables: dict[str, DataFrame], path: str, keep: int = 2, prepare=None) -> str:
+def publish(tables: dict[str, DataFrame], path: str, keep: int = 2, prepare=None, options: dict[str, dict] | None = None) -> str:
     """Writes the tables as a new version and makes all of them current at once, by creating one marker file.
 
     Readers see the old version or the new one, never a mix; a failed write leaves the old one current.
-    ``prepare`` may write more into the version's folder. Versions beyond the newest ``keep`` are deleted.
+    ``prepare`` may write more into the version's folder; ``options`` are Parquet options by table. Versions beyond the newest ``keep`` are deleted.
     """
     spark = next(iter(tables.values())).sparkSession
-    done = _versions(spark, path)
+    done = published(spark, path)
     name = f"{int(done[-1].split('-')[0]) + 1 if done else 0:012d}-{uuid.uuid4().hex[:8]}"
     folder = f"{path}/versions/{name}"
     for table, df in tables.items():
-        df.write.parquet(f"{folder}/{table}")
+        df.write.options(**(options or {}).get(table, {})).parquet(f"{folder}/{table}")
     if prepare:
         prepare(folder)
     where, fs = _path(spark, f"{path}/published/{name}")
@@ -81,3 +112,10 @@ def publish(tables: dict[str, DataFrame], path: str, keep: int = 2, prepare=None
         delete(spark, f"{path}/published/{old}")
         delete(spark, f"{path}/versions/{old}")
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` below the shared folder and reads it back, so that later jobs do not run it again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

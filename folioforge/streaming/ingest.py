@@ -1,19 +1,15 @@
-"""The ingest operators over streams: progress windows, the breaker, and loading."""
+"""The ingest operators over streams: progress windows and loading; ordered folds are in ``ordered``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from folioforge.operators import index as ix
+from folioforge import store
+from folioforge.operators import segments as sg
 from folioforge.operators import writes as wr
-from folioforge.operators.catalog import Catalog, CatalogMissing
+from folioforge.operators.catalog import Catalog
 from folioforge.operators.outcomes import counters
-from folioforge.schema import BOOKS, HARD, MISSES
 from folioforge.sources.responses import ParseProfile, classify
 
 
@@ -23,50 +19,21 @@ def stream_progress(outcomes: DataFrame, every: str = "10 seconds", late: str =
     return out.select(F.col("w.start").alias("window_start"), "found", "missing", "failed", "blocked", "challenged", "processed")
 
 
-def stream_breaker(outcomes: DataFrame, threshold: int = 25, sample: int = 60) -> DataFrame:
-    """Per run (``run`` column) the outcome that trips its breaker, once; state is five numbers per run."""
-    hard = set(HARD)
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, found, failed, row, tripped = state.get if state.exists else (0, 0, 0, 0, False)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, reason in zip(rows["seq"], rows["reason"], strict=True):
-            if tripped:
-                break
-            seen, found = seen + 1, found + (reason == "ok")
-            failed, row = (failed + 1, row + 1) if reason in hard else (failed, 0)
-            if row >= threshold or (seen >= sample and not found and failed / seen > 0.8):
-                tripped = True
-                out.append((key[0], seq, seen, failed, row))
-        state.update((int(seen), int(found), int(failed), int(row), bool(tripped)))
-        yield pd.DataFrame(out, columns=["run", "seq", "seen", "hard", "consecutive"])
-
-    return outcomes.select("run", "seq", "reason").groupBy("run").applyInPandasWithState(watch, "run string, seq long, seen long, hard long, consecutive long", "seen long, found long, failed long, row long, tripped boolean", "append", "NoTimeout")
-
-
 def apply_batch(responses: DataFrame, path: str, number: int, profile: ParseProfile | None = None) -> Catalog:
-    """Classifies captured responses and publishes books, index, misses and high-water mark as one new version.
+    """Classifies captured responses and publishes books, index, misses and high-water mark as one delta.
 
-    A batch that is repeated gives the same version again; one that fails leaves the old version current. Only
-    changed rows are tokenized anew, the rest of the tables is copied.
+    A batch that is repeated changes nothing; one that fails leaves the old version current. What is written
+    follows the batch (``segments``). A book that is found keeps its row among the misses, and the reverse.
     """
     spark = responses.sparkSession
-    seen = classify(responses, profile).withColumn("seq", F.lit(number)).persist()
-    new = seen.where("book IS NOT NULL").select("book.*", F.lit("captured").alias("source"), "seq")
-    try:
-        old = Catalog.open(spark, path)
-    except CatalogMissing:
-        old = Catalog(spark.createDataFrame([], BOOKS), misses=spark.createDataFrame([], MISSES))
-    books = wr.upsert(old.books, new)
-    index = ix.replace_rows(old.index, books, new.drop("seq"))
-    misses = wr.upsert_misses(old.misses, seen, books)
+    seen = store.cut(classify(responses, profile).select("id", "reason", "book", F.lit(number).alias("seq")))
+    books = wr.last_write_wins(seen.where("book IS NOT NULL").select("book.*", F.lit("captured").alias("source"), "seq")).drop("seq")
+    misses = wr.last_write_wins(wr.misses(seen)).drop("seq")
     high = seen.agg(F.max("id")).first()[0]
-    saved = Catalog(books, index, misses).save(path, max(old.last_id(), high or 0))
-    seen.unpersist()
-    return saved
+    sg.append(spark, path, books, misses=misses, last_id=high or 0)
+    return Catalog.open(spark, path)
 
 
 def load(responses: DataFrame, path: str, checkpoint: str, profile: ParseProfile | None = None):
-    """Starts a stream of captured responses into the catalog at ``path``, one version per micro-batch."""
+    """Starts a stream of captured responses into the catalog at ``path``, one delta per micro-batch."""
     return responses.writeStream.foreachBatch(lambda df, number: apply_batch(df, path, number, profile)).option("checkpointLocation", checkpoint).start()
