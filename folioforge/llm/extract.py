@@ -32,10 +32,10 @@ from folioforge.llm.arrowtext import annotate
 from folioforge.llm.dom import Page
 from folioforge.llm.store import documents
 
-TRAIN_PAGES = 1000
+TRAIN_PAGES = 1500
 TREES, DEPTH, RATE = 30, 4, 0.3
-#: Classes that attribute tokens are hashed to.
-BUCKETS = 128
+#: Classes that attribute tokens are hashed to; each has a weight, its log-odds of content in the training pages.
+BUCKETS = 1 << 14
 #: Attributes whose words describe an element, and how they are parted (camel case too).
 _NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -51,8 +51,14 @@ def buckets(attrs: str) -> frozenset[int]:
     return frozenset(zlib.crc32(w.encode()) % BUCKETS for w in words if len(w) > 1)
 
 
-def features(page: Page) -> np.ndarray:
-    """One row per node; the last 2 x ``BUCKETS`` columns tell which classes its own and its ancestors' attributes have."""
+def classes(page: Page) -> list[frozenset[int]]:
+    """The attribute classes of each node."""
+    return [buckets(a) if len(a) <= 1000 else buckets.__wrapped__(a) for a in page.attrs]  # long ones are not remembered
+
+
+def features(page: Page, weight: np.ndarray) -> np.ndarray:
+    """One row per node; the last columns are the weights of its own attribute classes, summed, and the sum, the
+    least and the largest of its ancestors'."""
     n = len(page.tags)
     parent = page.parent
     chars, words, marks = [0] * n, [0] * n, [0] * n
@@ -67,18 +73,14 @@ def features(page: Page) -> np.ndarray:
         for x in (chars, words, marks, links, nodes, texts):
             x[p] += x[i]
     depth, boiler, main, place, children, heavier = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
-    named: list[frozenset[int]] = []
-    tokens = np.zeros((n, 2 * BUCKETS), dtype=np.float32)
+    own_named = classes(page)
+    own_weight, sums, least, most = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     for i in range(n):
         t, p = page.tags[i], parent[i]
         boiler[i], main[i] = _BOILER.get(t, 0), _MAIN.get(t, 0)
-        own_named = buckets(page.attrs[i]) if len(page.attrs[i]) <= 1000 else frozenset()
-        above = named[p] if p >= 0 else frozenset()
-        named.append(above | own_named if own_named else above)
-        if own_named:
-            tokens[i, list(own_named)] = 1
-        if above:
-            tokens[i, [BUCKETS + k for k in above]] = 1
+        own_weight[i] = float(sum(weight[k] for k in own_named[i]))
+        if p >= 0:
+            sums[i], least[i], most[i] = sums[p] + own_weight[p], min(least[p], own_weight[p]), max(most[p], own_weight[p])
         if p >= 0:
             depth[i], place[i] = depth[p] + 1, children[p]
             children[p] += 1
@@ -92,19 +94,17 @@ def features(page: Page) -> np.ndarray:
         np.log1p(np.array(own, dtype=np.float64)), k, np.array(texts) / k, np.array(depth), np.array(children),
         np.array(place) / np.maximum(np.array(children)[up], 1), np.array(children)[up], c / np.maximum(np.array(heavier)[up], 1),
         np.array(boiler), np.array(main),
-        np.array([_TEXT.get(t, 0) for t in page.tags]), np.array(main)[up], np.arange(n) / n,
+        np.array([_TEXT.get(t, 0) for t in page.tags]), np.array(main)[up], np.arange(n) / n, np.array(own_weight), np.array(sums), np.array(least), np.array(most),
     ]
-    return np.concatenate([np.stack([np.asarray(x, dtype=np.float32) for x in cols], axis=1), tokens], axis=1)
+    return np.stack([np.asarray(x, dtype=np.float32) for x in cols], axis=1)
 
 
 class Trees:
     """Gradient-boosted trees for a yes-or-no label: log-loss, second-order leaves, splits at 32 quantiles."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        dense = x.shape[1] - 2 * BUCKETS
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) for j in range(dense)]
+        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-        row, token = np.nonzero(x[:, dense:])
         share = np.clip(y.mean(), 0.01, 0.99)
         self.start, self.trees = float(np.log(share / (1 - share))), []
         f = np.full(len(y), self.start)
@@ -117,23 +117,16 @@ class Trees:
                 width = 2**level
                 gt, ht = np.bincount(leaf, g, minlength=width)[:, None], np.bincount(leaf, h, minlength=width)[:, None]
                 best = np.full(width, 1e-6)
-
-                def offer(gs, hs, name, at_cut, gt=gt, ht=ht, best=best, width=width, feature=feature, cut=cut):
-                    """Takes the best of the splits whose low sides have these sums, where it beats the best so far."""
+                for j, e in enumerate(edges):
+                    if not len(e):
+                        continue
+                    key = leaf * 33 + binned[:, j]
+                    gs, hs = (np.bincount(key, v, minlength=33 * width).reshape(width, 33).cumsum(axis=1)[:, : len(e)] for v in (g, h))
                     gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
                     at = gain.argmax(axis=1)
                     top = gain[np.arange(width), at]
                     for k in np.flatnonzero(top > best):
-                        best[k], feature[width - 1 + k], cut[width - 1 + k] = top[k], name(at[k]), at_cut(at[k])
-
-                for j, e in enumerate(edges):
-                    if len(e):
-                        key = leaf * 33 + binned[:, j]
-                        sums = [np.bincount(key, v, minlength=33 * width).reshape(width, 33).cumsum(axis=1)[:, : len(e)] for v in (g, h)]
-                        offer(*sums, lambda _, j=j: j, lambda k, e=e: e[k])
-                key = leaf[row] * 2 * BUCKETS + token
-                sums = [t - np.bincount(key, v[row], minlength=2 * BUCKETS * width).reshape(width, -1) for v, t in ((g, gt), (h, ht))]
-                offer(*sums, lambda k: dense + k, lambda _: 0.5)
+                        best[k], feature[width - 1 + k], cut[width - 1 + k] = top[k], j, e[at[k]]
                 leaf = 2 * leaf + (x[np.arange(len(y)), feature[width - 1 + leaf]] > cut[width - 1 + leaf])
             value = RATE * np.bincount(leaf, g, minlength=2**DEPTH) / (np.bincount(leaf, h, minlength=2**DEPTH) + 1)
             self.trees.append((feature, cut, value))
@@ -166,21 +159,27 @@ def template(seed: int) -> tuple[str, set[str]]:
         key = r.choice(["class", "class", "id"])
         return f'<{tag} {key}="{cls}">{body}</{tag}>' if cls else f"<{tag}>{body}</{tag}>"
 
+    # what is not main text may be as long as what is
+    prose = lambda lo, hi: r.choice([f"<p>{words(lo, hi, False)}</p>", f"<p>{words(lo, hi, False)}</p>", "".join(f"<p>{words(20, 120, False)}</p>" for _ in range(r.randint(1, 4)))])
     links = lambda k: "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3, False)}</a></li>' for i in range(k)) + "</ul>"
     # Attribute names that pages use (fixed values), by part of the page; some are of no meaning.
     odd = lambda: r.choice(["", "", "x%d" % r.randrange(99), "col-%d" % r.randrange(13), "row", "block", "box", "inner", "clearfix", "section"])
     called = lambda *names: (r.choice(names) + " " + odd()).strip()
-    ad = lambda: wrap(r.choice(["div", "div", "aside", "section"]), called("ad", "ads", "advert", "advertisement", "sponsored", "promo-box", "banner", "ad-slot", "adsbygoogle", "sponsor"), r.choice(["%s", "<p>%s</p>"]) % words(3, 30, False))
-    head = wrap(*r.choice([("header", odd()), ("div", called("header", "site-header", "masthead", "top-bar", "page-header", "branding", "logo"))]), r.choice(["", f"<h1>{words(1, 3, False)}</h1>"]) + words(2, 8, False))
+    some = lambda x, p=0.5: x if r.random() < p else ""
+    ad = lambda: wrap(r.choice(["div", "div", "aside", "section"]), called("ad", "ads", "advert", "advertisement", "sponsored", "promo-box", "banner", "ad-slot", "adsbygoogle", "sponsor"), r.choice([words(3, 30, False), prose(3, 40)]))
+    head = wrap(*r.choice([("header", odd()), ("div", called("header", "site-header", "masthead", "top-bar", "page-header", "branding", "logo"))]), r.choice(["", f"<h1>{words(1, 3, False)}</h1>"]) + r.choice([words(2, 8, False), words(2, 8, False), prose(3, 40)]))
     nav = wrap(*r.choice([("nav", odd()), ("div", called("nav", "menu", "navbar", "main-menu", "topnav", "breadcrumb", "toolbar")), ("ul", called("navigation", "nav-links", "menu", "pagination"))]), links(r.randint(3, 9)))
-    side = wrap(*r.choice([("aside", odd()), ("div", called("sidebar", "related", "side-bar", "secondary", "recommended", "most-read", "trending")), ("aside", called("widget", "related-posts"))]), f"<h3>{words(1, 4, False)}</h3>" + r.choice([links(r.randint(3, 8)), f"<p>{words(5, 40, False)}</p>"]))
-    foot = wrap(*r.choice([("footer", odd()), ("div", called("footer", "copyright", "site-footer", "bottom", "legal", "social", "share"))]), r.choice(["&copy; ", ""]) + r.choice(["<p>%s</p>", "%s"]) % words(3, 20, False))
-    notice = wrap(r.choice(["div", "section", "dialog"]), called("cookie-notice", "notice", "consent", "popup", "modal", "cookie-banner", "gdpr", "alert"), f"<p>{words(5, 30, False)}</p>" + r.choice(["", f"<button>{words(1, 2, False)}</button>"]))
+    side = wrap(*r.choice([("aside", odd()), ("div", called("sidebar", "related", "side-bar", "secondary", "recommended", "most-read", "trending")), ("aside", called("widget", "related-posts"))]), some(f"<h3>{words(1, 4, False)}</h3>", 0.8) + r.choice([links(r.randint(3, 8)), prose(5, 60)]))
+    foot = wrap(*r.choice([("footer", odd()), ("div", called("footer", "copyright", "site-footer", "bottom", "legal", "social", "share"))]), r.choice(["&copy; ", ""]) + r.choice([words(3, 20, False), prose(3, 60)]))
+    notice = wrap(r.choice(["div", "section", "dialog"]), called("cookie-notice", "notice", "consent", "popup", "modal", "cookie-banner", "gdpr", "alert"), prose(5, 50) + r.choice(["", f"<button>{words(1, 2, False)}</button>"]))
     form = wrap("form", r.choice(["", called("search", "newsletter", "subscribe", "login", "signup")]), f"<label>{words(1, 4, False)}</label><input><button>{words(1, 2, False)}</button>")
-    remark = lambda: wrap(r.choice(["div", "li", "article"]), called("comment", "reply", "comment-body", "response"), f"<p>{words(3, 40, False)}</p>")
+    remark = lambda: wrap(r.choice(["div", "li", "article"]), called("comment", "reply", "comment-body", "response"), prose(3, 60))
     comments = wrap(r.choice(["section", "div", "ol"]), called("comments", "discussion", "comment-list", "responses", "replies"), f"<h3>{words(1, 2, False)}</h3>" + "".join(remark() for _ in range(r.randint(1, 6))))
-    some = lambda x, p=0.5: x if r.random() < p else ""
-    body = r.choice(["", "<h1>%s</h1>" % words(3, 10, True)])
+    # a heading alone, in a header of the text's own with a byline, or in an element of no name
+    title = "<h1>%s</h1>" % words(2, 10, True)
+    byline = wrap(r.choice(["p", "div", "span"]), called("byline", "author", "meta", "date", ""), words(1, 8, True))
+    top = r.choice(["", title, title, f"<header>{title}{some(byline)}</header>", wrap("div", odd(), title + some(byline)), wrap("div", "", title)])
+    body = ""
     for _ in range(r.randint(1, 14)):
         kind = r.random()
         if kind < 0.72:
@@ -195,11 +194,24 @@ def template(seed: int) -> tuple[str, set[str]]:
             body += "<table>" + "".join(f"<tr><td>{words(1, 4, True)}</td><td>{words(1, 4, True)}</td></tr>" for _ in range(3)) + "</table>"
         else:
             body += r.choice([ad(), form, side, notice])
+    for _ in range(r.choice([0, 0, 0, 1, 1, 2])):  # elements of no name around the text
+        body = wrap(r.choice(["div", "div", "section"]), odd(), body)
+    body = top + body
+    for _ in range(r.choice([0, 0, 0, 1])):
+        body = wrap("div", odd(), body)
+    if not top:
+        main.difference_update(re.findall(r"w\d+", title + byline))
+    elif byline not in top:
+        main.difference_update(re.findall(r"w\d+", byline))
     if r.random() < 0.2:  # a text alone, in an element of its own or in none
         main.clear()
         text = "".join(r.choice(["<p>%s</p>", "<p>%s"]) % words(1, r.choice([6, 90, 300]), True) for _ in range(r.choice([1, 1, 2, 5])))
         tag = r.choice(["", "", "article", "article", "main", "div", "section"])
         return (wrap(tag, "", text) if tag else text), main
+    if r.random() < 0.1:  # text and heading in elements without a name, and nothing else
+        for _ in range(r.randint(1, 3)):
+            body = wrap("div", "", body)
+        return r.choice([body, f"<html><body>{body}</body></html>", f"<body>{body}"]), main
     if r.random() < 0.15:  # a bare page or fragment
         return (body if r.random() < 0.5 else some(head) + some(nav) + body + some(side) + some(foot)), main
     if r.random() < 0.1:  # a layout table
@@ -214,9 +226,12 @@ def template(seed: int) -> tuple[str, set[str]]:
     return r.choice([whole, *3 * [f"<!DOCTYPE html><html><head><title>t</title></head><body>{whole}</body></html>"]]), main
 
 
-def train(pages: int = TRAIN_PAGES) -> tuple[Trees, Trees]:
-    """The ensembles for "is content" and "holds content"."""
-    rows, content, holds = [], [], []
+@lru_cache(maxsize=2)
+def train(pages: int = TRAIN_PAGES) -> tuple[np.ndarray, Trees, Trees]:
+    """Weights of the attribute classes (log-odds of content in elements that have them), and the ensembles for
+    "is content" and "holds content"."""
+    read, content, holds, filled = [], [], [], []
+    seen = np.ones((2, BUCKETS))  # nodes of each class that are not content, and that are
     for seed in range(pages):
         source, main = template(seed)
         page = Page(source)
@@ -229,13 +244,24 @@ def train(pages: int = TRAIN_PAGES) -> tuple[Trees, Trees]:
         for i in range(n - 1, 0, -1):
             yes[page.parent[i]] += yes[i]
             all_[page.parent[i]] += all_[i]
-        rows.append(features(page)[all_ > 0])
-        content.append((yes / np.maximum(all_, 1) > 0.5)[all_ > 0])
-        holds.append((yes > 0)[all_ > 0])
-        outer = np.array([t in ("#root", "html", "body") for t in page.tags])[all_ > 0]
-        content[-1] &= ~outer
-    x = np.concatenate(rows)
-    return Trees(x, np.concatenate(content).astype(float)), Trees(x, np.concatenate(holds).astype(float))
+        outer = np.array([t in ("#root", "html", "body") for t in page.tags])
+        read.append(page)
+        filled.append(all_ > 0)
+        content.append((yes / np.maximum(all_, 1) > 0.5) & ~outer)
+        holds.append(yes > 0)
+        for i, own_classes in enumerate(classes(page)):
+            if all_[i] > 0:
+                seen[int(content[-1][i]), list(own_classes)] += 1
+    weight = np.log(seen[1] / seen[0])
+    pick = lambda ys: np.concatenate([y[f] for y, f in zip(ys, filled, strict=True)]).astype(float)
+    x = np.concatenate([features(p, weight)[f] for p, f in zip(read, filled, strict=True)])
+    return weight, Trees(x, pick(content)), Trees(x, pick(holds))
+
+
+def score(model: tuple[np.ndarray, Trees, Trees], pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of "is content" and "holds content" of all the pages' nodes."""
+    x = np.concatenate([features(p, model[0]) for p in pages])
+    return model[1].log_odds(x), model[2].log_odds(x)
 
 
 def decode(page: Page, content: np.ndarray, holds: np.ndarray) -> list[bool]:
@@ -265,13 +291,12 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     out = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_nodes", T.LongType()), T.StructField("n_blocks", T.LongType())])
 
     def make():
-        content, holds = shared.value
+        model = shared.value
 
         def work(chunk):
             read = [Page(t) for t in chunk.texts()]
             cuts = np.cumsum([0] + [len(p.tags) for p in read])
-            x = np.concatenate([features(p) for p in read])
-            a, b = content.log_odds(x), holds.log_odds(x)
+            a, b = score(model, read)
             texts, blocks = [], []
             for p, lo, hi in zip(read, cuts, cuts[1:], strict=False):
                 main = decode(p, a[lo:hi], b[lo:hi])
