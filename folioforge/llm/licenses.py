@@ -5,7 +5,8 @@ pieces, one of which every match holds unchanged. Texts become lower-cased
 words parted by single spaces; the pieces are found there by exact search, and
 around each hit the ``regex`` library's bounded-error matching verifies the
 notice and gives its span, with at most one edit inside the words that name
-the license, as other licenses' names are few edits away. The base phrases are short notices as well: an
+the license, none in a name of under five letters, as other names and words are
+few edits away. The base phrases are short notices as well: an
 unchanged match of theirs on word bounds counts at every place it starts.
 
 Defined results: a null or empty text has no words and no labels; score 1 means
@@ -45,6 +46,8 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", 6),
 ]
 
+#: Letters from which a name may hold an edit; shorter ones are a letter away from other words.
+LEAST_NAME = 5
 #: The words of a notice that name its license (fixed values): at most one edit may fall inside them.
 NAMES = {
     "released under the mit license": "mit",
@@ -69,11 +72,15 @@ class Notices:
         self.notices = []
         for label, words, errors in notices:
             name = NAMES.get(words, "")
+            name = f" {name} " if 0 < len(name) < LEAST_NAME else name  # a word of its own
             before, _, after = words.partition(name) if name else (words, "", "")
             exact = [regex.escape(x.encode(), special_only=True) for x in (before, name, after)]
-            inside = b"(?:" + exact[1] + b"){e<=1}" if name else b""
-            pattern = regex.compile(b"(?b)(?:" + exact[0] + inside + exact[2] + b"){e<=%d}" % errors)
-            self.notices.append((label, words.encode(), errors, [(s.encode(), at) for s, at in seeds(words, errors)], pattern))
+            if name.startswith(" "):  # the edits of both sides are counted together in ``find``
+                pattern = b"(?b)(?:%s){e<=%d}%s(?:%s){e<=%d}" % (exact[0], errors, exact[1], exact[2], errors)
+            else:
+                inside = b"(?:" + exact[1] + b"){e<=1}" if name else b""
+                pattern = b"(?b)(?:" + exact[0] + inside + exact[2] + b"){e<=%d}" % errors
+            self.notices.append((label, words.encode(), errors, [(s.encode(), at) for s, at in seeds(words, errors)], regex.compile(pattern)))
 
     def find(self, text: bytes) -> list[tuple[int, int, str, int, int]]:
         """(start, end, label, edits, the notice's length) in the text of spaced words; of overlapping matches of a
@@ -89,7 +96,7 @@ class Notices:
             done = 0  # windows that end here hold nothing but the match before
             for lo, hi in sorted(windows):
                 m = pattern.search(text, lo, hi) if hi > done else None
-                if m:
+                if m and sum(m.fuzzy_counts) <= errors:
                     out.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(words)))
                     done = m.end() + errors
         return sorted(set(out))

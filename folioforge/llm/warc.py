@@ -8,7 +8,10 @@ text needs one Arrow UDF; all else is DataFrame functions.
 
 Defined results: a null or empty payload still gives both records, the
 conversion with an empty block; a record without an id gets one from its
-target, place and payload; equal rows give equal records.
+target, place and payload; equal rows, and so ties, give equal records; an empty
+table gives none; a long payload takes time in proportion; columns beside those
+of ``responses`` are not read, so their names cannot clash. In the serialized
+header a line end inside a value becomes %0D or %0A.
 """
 
 from __future__ import annotations
@@ -56,6 +59,11 @@ def _digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+def one_line(c: Column) -> Column:
+    """A header's value: line ends as a URL writes them, other control characters as spaces."""
+    return F.regexp_replace(F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), r"[\x00-\x1F\x7F]", " ")
+
+
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Response records of a page table: key, record_id, target_uri, date, headers, payload, payload_digest."""
     body = F.coalesce(F.col(payload), F.lit(""))
@@ -73,7 +81,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
 def derive(source: DataFrame) -> DataFrame:
     """Two rows per response: key, record_type, record_id, refers_to, target_uri, date, content_type, block,
     block_digest, source_digest, record (the serialized record without its closing line ends)."""
-    text = source.select("*", F.pandas_udf(_plain_texts, T.StringType())("payload").alias("plain"))
+    text = source.select("key", "record_id", "target_uri", "date", "headers", "payload", "payload_digest", F.pandas_udf(_plain_texts, T.StringType())("payload").alias("plain"))
     header = lambda name: F.regexp_extract("headers", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
     fields = F.concat(
         F.lit("source-content-type: "), header("Content-Type"), F.lit("\r\nsource-status: "), F.regexp_extract("headers", r"^HTTP/\S+ (\d+)", 1),
@@ -87,7 +95,7 @@ def derive(source: DataFrame) -> DataFrame:
     )
     made = text.select("key", "target_uri", "date", F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("source_digest"), F.explode(kinds).alias("k")).select("*", "k.*").drop("k")
     made = made.select("*", _id(F.col("record_type"), F.col("refers_to")).alias("record_id"), _digest(F.col("block")).alias("block_digest"))
-    line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), one_line(c), F.lit("\r\n"))
     record = F.concat(
         F.lit(VERSION + "\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")),
         line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("date")), line("WARC-Refers-To-Date", F.col("date")), line("WARC-Block-Digest", F.col("block_digest")),
@@ -107,7 +115,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     text = F.regexp_replace(F.col("value"), rf"^{re.escape(VERSION)}\r\n", "")
     cut = F.locate("\r\n\r\n", text)
     named = F.transform(F.split(F.substring(text, F.lit(1), cut - 1), "\r\n"), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("k"), x.alias("v")))
-    headers = F.map_from_entries(F.transform(named, lambda x: F.struct(x["k"], F.substring(x["v"], F.char_length(x["k"]) + 3, F.char_length(x["v"])))))
+    valued = F.transform(named, lambda x: F.struct(x["k"].alias("k"), F.substring(x["v"], F.char_length(x["k"]) + 3, F.char_length(x["v"])).alias("v")))
+    # of a field that is given more than once the last value
+    keys = F.array_distinct(F.transform(valued, lambda x: x["k"]))
+    headers = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(valued, lambda x: x["k"] == k), -1)["v"]))
     return raw.select(headers.alias("headers"), F.regexp_replace(F.substring(text, cut + 4, F.char_length(text)), r"\r\n\r\n$", "").alias("block"))
 
 
