@@ -14,7 +14,7 @@ from alternating star contractions over those links.
 Two bits find copies with hardly an edit. ``Wide`` compares in the same way at
 a similarity of about 0.8 over five-word shingles: fingerprints of 256 bits,
 44 of which may differ, in buckets by bands of each text's smallest shingle
-hashes. A bucket of more rows than ``bucket`` is dealt into chunks that each
+hashes; what they link is checked against the texts' shingles (``near``). A bucket of more rows than ``bucket`` is dealt into chunks that each
 hold the bucket's leaders too, so that a large group meets at these.
 
 Defined results: a null, empty or blank text has fingerprint zero, which is
@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from folioforge.llm.arrowtext import annotate
 from folioforge.llm.bytewords import IS_TEXT, Words, gram_hashes, mix
+from folioforge.llm.near import LIKE, verified
 from folioforge.llm.store import cut, documents
 
 SHINGLE = 3
@@ -299,6 +300,7 @@ class Wide:
     rows: int = 4
     bucket: int = 1024
     leaders: int = 32
+    like: float = LIKE
 
     @property
     def columns(self) -> list[str]:
@@ -441,19 +443,38 @@ def group(docs: DataFrame, keep: list[str], text: str = "text", id: str = "doc_i
 
 
 def _rooted(docs: DataFrame, keep: list[str], text: str, id: str, wide: Wide | None = None, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """``group`` with ``root``, which tells components apart where their smallest ids are equal or null."""
+    """``group`` with ``root``, which tells components apart where their smallest ids are equal or null.
+
+    With ``wide``, the kept columns h0 and h1 tell rows' texts apart (``text_hashes``), and links between texts are
+    checked against their shingles.
+    """
+    hashed = ["h0", "h1"]
     held, kept = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, id, text])]), list(dict.fromkeys([*keep, id]))
     also = wide.columns if wide else []
     marked = wide_fingerprints(held, kept, text, wide) if wide else fingerprints(held, kept, text, shingle)
     marked = cut(marked.select("row", "out.fp", *[f"out.{c}" for c in also]))
     classes = cut(marked.groupBy("fp").agg(F.min(F.col("row").getField(id)).alias("rep"), *[F.min(c).alias(c) for c in also]))
-    found = components(wide_links(classes, wide) if wide else links(classes.select("fp"), radius, bucket))
+    if wide:
+        candidates = cut(wide_links(classes, wide))
+        one = cut(marked.where("fp <> 0").groupBy("fp").agg(F.min(F.struct(*[F.col("row").getField(c).alias(c) for c in hashed])).alias("x")).select("fp", "x.*"))
+        picked = components(candidates)
+        near = picked.select(F.col("node").alias("fp")).unionByName(picked.select(F.col("root").alias("fp"))).distinct()
+        named = docs.select(*[F.col(c) for c in hashed], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+        texts = one.join(near, "fp", "left_semi").join(named, hashed).groupBy("fp").agg(F.any_value("text").alias("text"))
+        found = components(verified(candidates, picked, texts, wide.shingle, wide.like))
+    else:
+        found = components(links(classes.select("fp"), radius, bucket))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = cut(rooted.join(lowest, "root").select("fp", "root", "component_id"))
     return marked.select("row", "fp").join(of, "fp").select("row", "fp", "root", "component_id")
 
 
+def text_hashes(id: str, text: str) -> list[Column]:
+    """128 bits that tell rows apart by id and text."""
+    return [F.xxhash64(F.lit(i), F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).alias(f"h{i}") for i in range(2)]
+
+
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how) -> DataFrame:
     """The documents' own columns, exactly one row of each group: the one of the smallest id (none comes last),
     then of the smallest fingerprint and hash of id and text. ``how`` is that of ``group``, or ``wide``.
@@ -461,8 +482,8 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how)
     Rows are told apart by that hash (128 bits), not by their id. Texts meet only where id and text of a kept row
     repeat; of those rows the smallest hash of the whole row stays.
     """
-    key = [F.xxhash64(F.lit(i), F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`")) for i in range(2)]
-    named = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), key[0].alias("h0"), key[1].alias("h1"))
+    key = text_hashes(id, text)
+    named = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), *key)
     rows = _rooted(named, ["h0", "h1"], "text", "id", **how).groupBy("root", "fp", "row").count()
     rows = cut(rows.select("root", "fp", "row.id", "row.h0", "row.h1", "count"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "h0", "h1")).alias("x")).select("x.h0", "x.h1")
@@ -470,7 +491,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how)
     dropped = cut(rows.select("h0", "h1").join(first, ["h0", "h1"], "left_anti"))
     repeated = cut(rows.where("count > 1").select("h0", "h1").join(first, ["h0", "h1"], "left_semi"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.select(row.alias("row"), key[0].alias("h0"), key[1].alias("h1")).join(dropped, ["h0", "h1"], "left_anti")
+    kept = docs.select(row.alias("row"), *key).join(dropped, ["h0", "h1"], "left_anti")
     if repeated.isEmpty():
         return kept.select("row.*")
     again = kept.join(repeated, ["h0", "h1"], "left_semi").groupBy("h0", "h1").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

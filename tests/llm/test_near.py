@@ -60,18 +60,23 @@ def test_wide_finds_near_copies_and_leaves_others(spark, bucket):
         texts += [" ".join(words)] + [edited(r, words, max(1, len(words) // r.choice([60, 90]))) for _ in range(r.choice([0, 1, 2, 30]))]
     texts += [edited(r, texts[0].split(), len(texts[0].split()) // 8) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    root = {x.row.doc_id: x.component_id for x in simhash._rooted(docs, ["doc_id"], "text", "doc_id", wide=simhash.Wide(bucket=bucket)).collect()}
+    docs = docs.select("*", *simhash.text_hashes("doc_id", "text"))
+    root = {x.row.doc_id: x.component_id for x in simhash._rooted(docs, ["doc_id", "h0", "h1"], "text", "doc_id", wide=simhash.Wide(bucket=bucket)).collect()}
     sets = [shingles(t) for t in texts]
     near = far = caught = merged = 0
+    partner = set()
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both == 0:
                 assert root[i] != root[j] or both, (i, j)
             like = both / len(sets[i] | sets[j])
+            if like >= 0.8 and root[i] == root[j]:
+                partner |= {i, j}
             near, caught = near + (like >= 0.8), caught + (like >= 0.8 and root[i] == root[j])
             far, merged = far + (0 < like < 0.5), merged + (0 < like < 0.5 and root[i] == root[j])
-    assert near > 500 and caught / near >= 0.9 and merged <= 0.2 * far
+    assert near > 500 and caught / near >= 0.95 and merged <= 0.01 * far
+    assert all(i in partner for i in root if root[i] != i)
 
 
 def test_deduplicate_wide_keeps_one_of_each_group(spark):
