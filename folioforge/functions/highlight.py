@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.blocks import before, let, stretches
 from folioforge.functions.text import MARKS, QUOTES, escape_html
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -31,28 +32,25 @@ def token_pattern(token: str) -> str:
 
 def _spans(text: Column, pattern: str) -> Column:
     """Where the pattern matches, leftmost first, without overlaps."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
-    def grow(s: Column, i: Column) -> Column:
-        start = s["at"] + F.char_length(F.get(between, i))
-        end = start + F.char_length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
-
-    none = F.array().cast(_SPAN)
-    all_ = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), grow, lambda s: s["out"])
-    return F.when(F.size(found) > 0, all_).otherwise(none)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
+    between = F.slice(F.transform(F.split(text, pattern, -1), F.char_length), F.lit(1), F.size(found))
+    starts = lambda n: F.zip_with(before(F.zip_with(n, between, lambda x, y: x + y), lambda a, b: a + b), between, lambda a, b: a + b)
+    placed = let(found, lambda n: F.zip_with(starts(n), n, lambda s, x: F.struct(s.alias("start"), (s + x).alias("end"))))
+    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast(_SPAN))
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted spans, those that overlap or touch as one."""
+    """Sorted spans, those that overlap or touch as one: a span that begins beyond all before it begins a new one, and
+    the furthest end before it ends the last."""
+    bound = lambda s: before(F.transform(s, lambda x: x["end"]), F.greatest)
 
-    def join(s: Column, x: Column) -> Column:
-        last = F.get(s, F.size(s) - 1)
-        longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(s) > 0) & (x["start"] <= last["end"]), longer).otherwise(F.concat(s, F.array(x)))
+    def join(s: Column) -> Column:
+        marked = F.zip_with(s, bound(s), lambda x, end: F.struct(x["start"].alias("start"), end.alias("before")))
+        first = F.filter(marked, lambda x, i: (i == 0) | (x["start"] > x["before"]))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return let(first, lambda f: F.transform(f, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(f, i + 1)["before"], last).alias("end"))))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(_SPAN), join)
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), join)).otherwise(spans)
 
 
 def highlight(c: Column, query: str) -> Column:
@@ -64,9 +62,10 @@ def highlight(c: Column, query: str) -> Column:
     spans = _merged(F.concat(*[_spans(text, token_pattern(t)) for t in tokens]))
 
     def stitched(s: Column) -> Column:
-        piece = lambda a, b: escape_html(F.substring(text, a + 1, b - a))
-        before = lambda i: F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0)
-        marked = F.transform(s, lambda x, i: F.concat(piece(before(i), x["start"]), F.lit("<mark>"), piece(x["start"], x["end"]), F.lit("</mark>")))
-        return F.concat(F.array_join(marked, ""), piece(before(F.size(s)), F.char_length(text)))
+        cut = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+        outside = lambda i: F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0)
+        parts = F.concat(F.flatten(F.transform(s, lambda x, i: F.array(cut(outside(i), x["start"]), cut(x["start"], x["end"])))), F.array(cut(outside(F.size(s)), F.char_length(text))))
+        marked = lambda t, i: F.when(i % 2 == 1, F.concat(F.lit("<mark>"), escape_html(t), F.lit("</mark>"))).otherwise(escape_html(t))
+        return F.array_join(F.transform(let(parts, lambda p: stretches(text, p)), marked), "")
 
-    return F.get(F.transform(F.array(spans), stitched), F.lit(0))
+    return let(spans, stitched)

@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from folioforge import store
 from folioforge.operators.index import Index
-from folioforge.operators.search import IDF_FLOOR, K1, SEARCH_COLUMNS, SMALL, SUGGEST_COLUMNS, B, suggest
+from folioforge.operators.search import IDF_FLOOR, K1, NAMED, SEARCH_COLUMNS, SMALL, SUGGEST_COLUMNS, B, reach, suggest
 from folioforge.plans.query import clamp, compile_query
 from folioforge.session import together
 
 #: Rows aimed at for a block, and the ratio of the largest to the smallest length in it.
 BLOCK_ROWS, LENGTH_RATIO = 256, 1.25
 PREFIX, COMPLETIONS = 6, 20
-#: Blocks of each query that are read first, words or blocks that a filter names, and rows of a Parquet page.
-FIRST, NAMED, PAGE_ROWS = 4, 256, 2000
+#: Blocks of each query that are read first, and rows of a Parquet page.
+FIRST, PAGE_ROWS = 4, 2000
 #: More than the arithmetic of a bound can lose.
 SLACK = 1e-11
 #: Parts in which the rows of a hot prefix or query are ranked first.
@@ -112,19 +112,6 @@ def complete(tables: Blocks, index: Index, books: DataFrame, text: str, limit: i
     return suggest(index, books, text, limit).withColumn("score", F.round("score", 9)).orderBy("score", "id")
 
 
-def _reach(column: str, words: set[tuple[str, bool]]) -> Column:
-    """A filter that Parquet can apply: equal words and prefixes, while they are few."""
-    if not 0 < len(words) <= NAMED:
-        return F.lit(True)
-    any_ = F.lit(False)
-    exact = sorted(w for w, prefix in words if not prefix)
-    if exact:
-        any_ = F.col(column).isin(exact)
-    for w in sorted(w for w, prefix in words if prefix):
-        any_ = any_ | F.col(column).startswith(w)
-    return any_
-
-
 class Search:
     """One or many ranked queries in one run; ``bounds`` and ``read`` tell which blocks could matter and which were read."""
 
@@ -145,11 +132,11 @@ class Search:
         self.begun = local(begun.select("query_id", "id").collect(), "query_id string, block long")
         scored = store.cut(self._scored(self.begun))
         last = best_first(scored, "query_id", ["rounded", "id"], k).groupBy("query_id").agg(F.count("*").alias("found"), F.max(F.struct("rounded", "id")).alias("x"))
-        reach = local([(r.query_id, -r.x.rounded, r.x.id) for r in last.collect() if r.found >= k], "query_id string, reach double, last long")
+        ends = local([(r.query_id, -r.x.rounded, r.x.id) for r in last.collect() if r.found >= k], "query_id string, reach double, last long")
         # of rows that tie with the last one of the page only those of smaller ids come before it
         most = F.round("bound", 9)
         could = F.col("reach").isNull() | (most > F.col("reach")) | ((most == F.col("reach")) & (F.col("least") < F.col("last")))
-        rest = self.bounds.join(self.begun, ["query_id", "block"], "left_anti").join(reach, "query_id", "left").where(could).select("query_id", "block")
+        rest = self.bounds.join(self.begun, ["query_id", "block"], "left_anti").join(ends, "query_id", "left").where(could).select("query_id", "block")
         few = rest.limit(NAMED + 1).collect()
         self.rest = local(few, "query_id string, block long") if len(few) <= NAMED else store.cut(rest)
         self.read = self.begun.unionByName(self.rest)
@@ -161,7 +148,7 @@ class Search:
 
     def _matched(self) -> DataFrame:
         """query_id, phrase, needed, term and its df: which terms stand for which words."""
-        near = self.tables.dictionary.where(_reach("term", self.words))
+        near = self.tables.dictionary.where(reach("term", self.words))
         lengths = sorted({len(w) for w, prefix in self.words if prefix})
         cut = F.array(*[F.struct(F.lit(True).alias("prefix"), F.substring("term", 1, n).alias("word")) for n in lengths], F.struct(F.lit(False).alias("prefix"), F.col("term").alias("word")))
         each = near.select("term", "df", F.explode(F.array_distinct(cut)).alias("x")).select("term", "df", "x.prefix", "x.word")
@@ -171,12 +158,12 @@ class Search:
         """query_id, phrase, idf and the mean length; frequencies come from the dictionary and the prefix table, and
         only those of longer prefixes of several terms are counted."""
         plain = self.matched.where("NOT prefix").select("query_id", "phrase", "df")
-        short = self.phrases.where(F.col("prefix") & (F.char_length("word") <= PREFIX)).join(self.tables.prefixes.withColumnRenamed("prefix", "word").where(_reach("word", {(w, False) for w, p in self.words if p})), "word").select("query_id", "phrase", "df")
+        short = self.phrases.where(F.col("prefix") & (F.char_length("word") <= PREFIX)).join(self.tables.prefixes.withColumnRenamed("prefix", "word").where(reach("word", {(w, False) for w, p in self.words if p})), "word").select("query_id", "phrase", "df")
         df = plain.unionByName(short)
         long = {(w, p) for w, p in self.words if p and len(w) > PREFIX}
         if long:
             terms = self.matched.where(F.col("prefix") & (F.char_length("word") > PREFIX)).select("query_id", "phrase", "term")
-            df = df.unionByName(self.tables.postings.where(_reach("term", long)).join(F.broadcast(terms) if len(long) <= NAMED else terms, "term").groupBy("query_id", "phrase").agg(F.count_distinct("id").alias("df")))
+            df = df.unionByName(self.tables.postings.where(reach("term", long)).join(F.broadcast(terms) if len(long) <= NAMED else terms, "term").groupBy("query_id", "phrase").agg(F.count_distinct("id").alias("df")))
         return df.crossJoin(F.broadcast(self.tables.totals)).select("query_id", "phrase", idf_of(F.col("df"), F.col("n_rows")).alias("idf"), (F.col("n_tokens") / F.col("n_rows")).alias("mean"))
 
     def _bounds(self) -> DataFrame:
@@ -184,8 +171,8 @@ class Search:
         plain = {(w, p) for w, p in self.words if not p or len(w) > PREFIX}
         short = {(w, False) for w, p in self.words if p and len(w) <= PREFIX}
         named = self.matched.where("NOT prefix OR char_length(word) > %d" % PREFIX).select("query_id", "phrase", "needed", "term")
-        own = self.tables.blocks.where(_reach("term", plain) if plain else F.lit(False)).join(named, "term").select("query_id", "needed", "phrase", "block", "impact", "least")
-        starts = self.tables.starts.where(_reach("prefix", short) if short else F.lit(False)).withColumnRenamed("prefix", "word")
+        own = self.tables.blocks.where(reach("term", plain) if plain else F.lit(False)).join(named, "term").select("query_id", "needed", "phrase", "block", "impact", "least")
+        starts = self.tables.starts.where(reach("prefix", short) if short else F.lit(False)).withColumnRenamed("prefix", "word")
         begin = starts.join(self.phrases.where(F.col("prefix")), "word").select("query_id", "needed", "phrase", "block", "impact", "least")
         shares = own.unionByName(begin).groupBy("query_id", "needed", "phrase", "block").agg(F.least(F.sum("impact"), F.lit(K1 + 1)).alias("share"), F.min("least").alias("least"))
         bound = F.sum(F.col("idf") * F.col("share")) + SLACK
@@ -195,7 +182,7 @@ class Search:
     def _scored(self, blocks: DataFrame) -> DataFrame:
         """query_id, id, score, rounded of the rows in the blocks that hold all words."""
         named = [r.block for r in blocks.select("block").distinct().limit(NAMED + 1).collect()]
-        near = self.tables.postings.where(_reach("term", self.words))
+        near = self.tables.postings.where(reach("term", self.words))
         if len(named) <= NAMED:
             near = near.where(F.col("block").isin(named))
         own = near.join(self.matched.select("query_id", "phrase", "needed", "term"), "term").join(blocks, ["query_id", "block"])

@@ -11,6 +11,8 @@ from folioforge.plans.query import Phrase, clamp, compile_query
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Phrase rows up to which a batch of queries is broadcast (at most eight per query).
 SMALL = 20_000
+#: Words, or blocks, that a filter names.
+NAMED = 256
 SEARCH_COLUMNS = ["id", "title", "author", "year", "city", "category"]
 SUGGEST_COLUMNS = ["id", "title", "author", "category"]
 
@@ -21,6 +23,17 @@ def _holds(p: Phrase) -> Column:
     return F.col("term").startswith(p.term) if p.prefix else F.col("term") == p.term
 
 
+def reach(column: str, words: set[tuple[str, bool]]) -> Column:
+    """A filter that Parquet can apply: the words (word, whether it is a prefix), while they are at most ``NAMED``."""
+    if not 0 < len(words) <= NAMED:
+        return F.lit(True)
+    exact = sorted(w for w, prefix in words if not prefix)
+    any_ = F.col(column).isin(exact) if exact else F.lit(False)
+    for w in sorted(w for w, prefix in words if prefix):
+        any_ = any_ | F.col(column).startswith(w)
+    return any_
+
+
 def scores(index: Index, phrases: list[Phrase]) -> DataFrame:
     """id and score (negative, lower is better) of the rows that hold every phrase.
 
@@ -85,7 +98,8 @@ def search_many(index: Index, books: DataFrame, queries: dict[str, str], k: int
     wanted = F.broadcast(wanted) if len(rows) <= SMALL else wanted
     lengths = sorted({len(r[2]) for r in rows if r[3]})
     cut = F.array(*[F.struct(F.lit(True).alias("prefix"), F.substring("term", 1, n).alias("word")) for n in lengths], F.struct(F.lit(False).alias("prefix"), F.col("term").alias("word")))
-    each = index.terms.select("id", "term", "weight", F.explode(F.array_distinct(cut)).alias("x")).select("id", "weight", "x.prefix", "x.word")
+    near = index.terms.where(reach("term", {(r[2], r[3]) for r in rows}))
+    each = near.select("id", "term", "weight", F.explode(F.array_distinct(cut)).alias("x")).select("id", "weight", "x.prefix", "x.word")
     found = each.join(wanted, ["word", "prefix"]).groupBy("query_id", "needed", "phrase", "id").agg(F.sum("weight").alias("f"))
     df = found.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
     ratio = (F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)

@@ -119,3 +119,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables, catalogs and captures that queries left in the shared folder; call it when no
+    result is pending."""
+    for name in ("tables", "catalogs", "captures"):
+        delete(spark, f"{shared_dir(spark).rstrip('/')}/{name}")
