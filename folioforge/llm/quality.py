@@ -8,7 +8,7 @@ likelihood of the graded ratings of at most ``SAMPLE`` labelled documents,
 those with the smallest hash of their id; scoring reads every document whole.
 
 Defined results: a null or empty text has no features, so the thresholds alone
-grade it; with ratings of one grade only, that grade is expected everywhere;
+grade it; with ratings of one grade only, that grade is expected everywhere; ties are kept;
 of texts that share an id the one with the smallest hash is learned from; equal
 rows get equal results; an empty table gives no rows; kept columns stay inside a
 struct, so their names cannot clash. A text takes memory of about sixty times
@@ -17,6 +17,7 @@ its length in one task, whatever the table's size.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,9 @@ from folioforge.llm.store import cut, documents
 SAMPLE = 2500
 BITS = 16
 ROUNDS = 120
+#: One rated document in so many is kept from the fit and sets the threshold, at which ``KEEP`` of those of the best
+#: grade stay; with fewer of these than ``LEAST_CALIBRATED`` the threshold is 0.5.
+FOLDS, KEEP, LEAST_CALIBRATED = 5, 0.985, 30
 
 
 def features(w: Words, raw: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +65,7 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
     grades: list[float]
+    least: float = 0.5  # probability of more than the lowest grade from which a document is kept
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= g) for each grade but the lowest."""
@@ -94,11 +99,21 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", id: str = "doc_
     grades = sorted(set(rows["grade"])) or [0.0]
     if len(grades) == 1:
         return Model(np.zeros(2 << BITS), np.zeros(0), grades)
+    fold = rows["id"].map(lambda i: zlib.crc32(str(i).encode()) % FOLDS == 0).to_numpy(dtype=bool)
     row = np.repeat(np.arange(len(rows), dtype=np.int32), rows["bucket"].map(len).to_numpy())
     bucket, value, y = np.concatenate(rows["bucket"].to_list()).astype(np.int64), np.concatenate(rows["value"].to_list()).astype(np.float64), rows["grade"].map(grades.index).to_numpy()
     del rows
-    weights, thresholds = _train(row, bucket, value, y, len(grades))
-    return Model(weights, thresholds, grades)
+    if len(np.unique(y[~fold])) < len(grades):  # too few to spare any
+        fold[:] = False
+    on = ~fold[row]
+    place = np.cumsum(~fold) - 1
+    weights, thresholds = _train(place[row[on]].astype(np.int32), bucket[on], value[on], y[~fold], len(grades))
+    model = Model(weights, thresholds, grades)
+    best = fold & (y == len(grades) - 1)
+    if best.sum() >= LEAST_CALIBRATED:
+        kept = model.tails(np.bincount(row, value * weights[bucket], minlength=len(y)))[best, 0]
+        model.least = float(np.clip(np.quantile(kept, 1 - KEEP), 0.01, 0.99))
+    return model
 
 
 def _train(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, y: np.ndarray, k: int, l2: float = 2e-4, rate: float = 0.05):
@@ -154,7 +169,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def selected(least: float = 0.5, grade: int = 1) -> Column:
-    """Whether the probability of at least the ``grade``-th grade above the lowest reaches ``least``."""
+    """Whether the probability of at least the ``grade``-th grade above the lowest reaches ``least`` (such as ``Model.least``)."""
     return F.coalesce(F.get("out.tails", grade - 1) >= least, F.lit(True))
 
 
@@ -162,4 +177,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, grades(documents(spark, sf_dir, "labels")))
     tail = lambda k: F.get("out.tails", k).alias(f"p_ge_{k + 1}")
-    return score(docs, model, ["doc_id"]).select("row.doc_id", "out.expected_grade", tail(0), tail(1), selected().alias("keep"))
+    return score(docs, model, ["doc_id"]).select("row.doc_id", "out.expected_grade", tail(0), tail(1), selected(model.least).alias("keep"))
