@@ -99,7 +99,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", id: str = "doc_
     grades = sorted(set(rows["grade"])) or [0.0]
     if len(grades) == 1:
         return Model(np.zeros(2 << BITS), np.zeros(0), grades)
-    fold = rows["id"].map(lambda i: zlib.crc32(str(i).encode()) % FOLDS == 0).to_numpy(dtype=bool)
+    fold = rows["id"].map(lambda i: zlib.crc32(f"fold {i}".encode()) % FOLDS == 0).to_numpy(dtype=bool)
     row = np.repeat(np.arange(len(rows), dtype=np.int32), rows["bucket"].map(len).to_numpy())
     bucket, value, y = np.concatenate(rows["bucket"].to_list()).astype(np.int64), np.concatenate(rows["value"].to_list()).astype(np.float64), rows["grade"].map(grades.index).to_numpy()
     del rows
