@@ -29,6 +29,7 @@ from folioforge.operators import writes as wr
 from folioforge.sources import captures as cp
 from folioforge.sources import responses as rs
 from folioforge.store import fingerprint, shared_dir
+from folioforge.streaming import ordered as so
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -598,3 +599,55 @@ def stored_lookup(spark, sf_dir):
 def client_folded(spark, sf_dir):
     """Whole texts under the browser side's lighter fold."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.client_fold(F.col("text")).alias("folded"))
+
+
+def _played(spark: SparkSession, rows: DataFrame, noise: int, build: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
+    """What the stream operator ``build`` gives for ``rows`` (with ``run``, ``ts`` and ``seq``) that arrive in ``parts`` micro-batches,
+    each up to ``noise`` seconds late, before rows of a run "end" long after all others."""
+    path = f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    came = (F.unix_micros("ts") + F.pmod(F.xxhash64("seq"), F.lit(noise * 1_000_000))).alias("came")
+    cuts = rows.select(came).approxQuantile("came", [i / parts for i in range(1, parts)], 0.01)
+    part = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= came))
+    last = rows.orderBy(F.desc("ts"), "seq").limit(1).withColumn("run", F.lit("end"))
+    arriving = [rows.where(part == k) for k in range(parts)] + [last.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(days))) for days in (30, 90)]
+    for df in arriving:
+        df.write.mode("append").parquet(f"{path}/in")
+        frame = build(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        q = frame.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{path}/out")
+
+
+def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(F.col("event_id").alias("seq"), F.concat(F.lit("r"), F.pmod("user_id", F.lit(20))).alias("run"))
+    return outcomes(spark, sf_dir).join(of, "seq").select("run", "seq", "reason", "ts", F.when(F.col("seq") % 7 == 0, F.col("seq") % 10).cast("double").alias("wait"))
+
+
+_RUN_LOG = f"{_LOG}, runs AS (SELECT 'r' || (user_id % 20) AS run, log.seq, reason, log.ts, CASE WHEN log.seq % 7 = 0 THEN CAST(log.seq % 10 AS DOUBLE) END AS wait FROM log JOIN events ON event_id = log.seq WHERE user_id IS NOT NULL)"
+
+
+@query(f"""WITH {_RUN_LOG}, a AS (SELECT *, CASE WHEN reason = 'http-403' THEN 1 ELSE 0 END AS h, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS seen FROM runs),
+b AS (SELECT *, sum(1 - h) OVER w AS soft, sum(h) OVER w AS hard, count(*) FILTER (WHERE reason = 'ok') OVER w AS found FROM a WINDOW w AS (PARTITION BY run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT run, seq, CAST(seen AS BIGINT) AS seen, CAST(hard AS BIGINT) AS hard, found, CAST(sum(h) OVER (PARTITION BY run, soft ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS consecutive, ts FROM b)
+SELECT run, seq, seen, hard, consecutive FROM c WHERE consecutive >= 3 OR (seen >= 60 AND found = 0 AND 1.0e0 * hard / seen > 0.8e0) QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts, seq) = 1""")
+def stream_trips(spark, sf_dir):
+    """The breaker of each run over a stream whose rows come up to six hours late."""
+    so.rocksdb(spark)
+    return _played(spark, _run_log(spark, sf_dir), 6 * 3600, lambda rows: so.stream_breaker(rows, 3, 60, "1 day"))
+
+
+@query(f"""WITH {_RUN_LOG}, s AS (SELECT run, list(CASE WHEN reason <> 'http-403' THEN -1.0e0 WHEN wait IS NULL THEN -2.0e0 ELSE wait END ORDER BY ts, seq) AS steps FROM runs GROUP BY run HAVING count(*) FILTER (WHERE reason = 'http-403') > 0)
+SELECT run, round(list_reduce(list_prepend(0.15e0, steps), lambda d, x: CASE x WHEN -1.0e0 THEN greatest(0.15e0, d * 0.9e0) WHEN -2.0e0 THEN least(8.0e0, greatest(0.25e0, d * 2.0e0)) ELSE least(8.0e0, greatest(d, x)) END), 9) AS delay FROM s""")
+def stream_delays(spark, sf_dir):
+    """The delay that all workers of a run share after its last outcome, over a stream whose rows come up to six hours late."""
+    so.rocksdb(spark)
+    changes = _played(spark, _run_log(spark, sf_dir), 6 * 3600, lambda rows: so.stream_throttle(rows, late="1 day"))
+    return changes.groupBy("run").agg(F.round(F.max_by("delay", "seq"), 9).alias("delay"))
+
+
+@query("SELECT event_id FROM events WHERE ts IS NOT NULL QUALIFY lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts + INTERVAL '6 hours'")
+def stream_debounced(spark, sf_dir):
+    """As ``debounced``, over a stream whose rows come up to six hours late."""
+    e = table(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", "user_id", "ts", F.col("event_id").alias("seq"), F.lit("typed").alias("run"))
+    return _played(spark, e, 6 * 3600, lambda rows: rq.stream_debounce(rows, "6 hours", "1 day")).where("run <> 'end'").select("event_id")

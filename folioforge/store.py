@@ -122,7 +122,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the intermediate tables, catalogs and captures that queries left in the shared folder; call it when no
+    """Deletes the intermediate tables, catalogs, captures and streams that queries left in the shared folder; call it when no
     result is pending."""
-    for name in ("tables", "catalogs", "captures"):
+    for name in ("tables", "catalogs", "captures", "streams"):
         delete(spark, f"{shared_dir(spark).rstrip('/')}/{name}")
