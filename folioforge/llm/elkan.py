@@ -194,7 +194,7 @@ def cluster(df: DataFrame, k: int = 16, rounds: int = 3, dims: int = 64, scale:
 
 
 def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(documents(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return cluster(documents(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").drop("calculated")
 
 
 def _oracle(k: int = 16, rounds: int = 3) -> str:
