@@ -24,8 +24,10 @@ from folioforge.llm.bytewords import IS_TEXT, Words, gram_hashes
 from folioforge.llm.store import cut
 
 LIKE, CHUNK, LEADERS = 0.8, 256, 16
+#: Bytes of text in a chunk, besides its leaders: a word takes about a hundred bytes while a chunk is compared.
+CHUNK_BYTES = 2 << 20
 #: Bytes of text that are cut into words at a time, and shared shingles that are counted at a time.
-_BYTES, _COLUMNS = 1 << 20, 8192
+_BYTES, _COLUMNS = 1 << 18, 4096
 
 
 def shingle_rows(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +48,11 @@ def shingle_rows(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarr
         rows += [row[inside] + lo, np.array([r + lo for r, _ in short], dtype=np.int64)]
         hashes += [grams[inside], np.array([h for _, h in short], dtype=np.uint64)]
         lo = hi
-    row, h = np.concatenate(rows), np.concatenate(hashes)
+    row, h = np.concatenate(rows).astype(np.int32), np.concatenate(hashes)
+    del rows, hashes
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
+    del order
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[new], h[new]
@@ -117,27 +121,27 @@ def _compared(keys: int, shingle: int, like: float):
     return run
 
 
-def verified(links: DataFrame, found: DataFrame, texts: DataFrame, shingle: int = 5, like: float = LIKE, chunk: int = CHUNK, leaders: int = LEADERS) -> DataFrame:
+def verified(links: DataFrame, found: DataFrame, texts: DataFrame, shingle: int = 5, like: float = LIKE, chunk: int = CHUNK, leaders: int = LEADERS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Of candidate ``links`` (a, b), whose groups are ``found`` (node, root), the links (a, b) that the texts bear out.
 
     ``texts`` has one row (fp, text) for each node; where texts differ that share a fingerprint, any of them.
     """
     nodes = found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root")).distinct()
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("n"))
-    sized = cut(nodes.join(sizes, "root").withColumn("chunks", F.when(F.col("n") <= chunk, 1).otherwise(F.ceil(F.col("n") / chunk)).cast("int")))
+    held = cut(nodes.join(texts, "fp"))
+    sizes = held.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sized = cut(nodes.join(sizes, "root").withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")))
     wide = sized.where("chunks > 1")
     first = wide.groupBy("root", "chunks", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(leaders)).alias("class")).agg(F.min("fp").alias("fp"))
     everywhere = first.select("root", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     own = sized.select("root", "fp", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"))
     places = own.unionByName(everywhere).distinct() if not wide.isEmpty() else own
-    held = cut(sized.select("fp").join(texts, "fp"))
-    dealt = places.join(held, "fp").select("root", "chunk", "fp", "text").repartition("root", "chunk").sortWithinPartitions("root", "chunk", "fp")
+    dealt = places.join(held.select("fp", "text"), "fp").select("root", "chunk", "fp", "text").repartition("root", "chunk").sortWithinPartitions("root", "chunk", "fp")
     near = cut(dealt.mapInArrow(_compared(2, shingle, like), "a long, b long"))
     if wide.isEmpty():
         return near
     linked = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
     alone = cut(wide.select("fp").join(linked, "fp", "left_anti"))
     pairs = links.join(alone.withColumnRenamed("fp", "a"), "a", "left_semi").unionByName(links.join(alone.withColumnRenamed("fp", "b"), "b", "left_semi").select("a", "b")).where("a <> b").distinct()
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(held, "fp").select("a", "b", "fp", "text")
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(held.select("fp", "text"), "fp").select("a", "b", "fp", "text")
     asked = sides.repartition("a", "b").sortWithinPartitions("a", "b", "fp")
     return near.unionByName(asked.mapInArrow(_compared(2, shingle, like), "a long, b long"))
