@@ -110,17 +110,17 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of fingerprints of one group within ``radius`` bits; groups are contiguous.
+def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of fingerprints of one group within ``radius`` bits, those of one distance between
+    positions at a time; groups are contiguous.
 
     ``fps`` has one 64-bit word per fingerprint, or rows of several. For each distance d between positions, the
     planes move by d against themselves, ``_STEP`` planes at a time; a block (64 pairs) leaves as soon as all its
     pairs are beyond the radius, and only blocks that stay are read on.
     """
     n = len(fps)
-    none = np.zeros(0, dtype=np.int64)
     if not n:
-        return none, none
+        return
     longest = int(np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))).max())
     size, words = 64 * (fps.size // n), (n + 63) // 64
     planes = np.zeros((size, words + longest // 64 + 2), dtype=np.uint64)
@@ -128,7 +128,6 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     planes.view(np.uint8)[:, : packed.shape[1]] = packed
     digits = max(1, int(radius + 1).bit_length())
-    lefts, rights = [none], [none]
     for d in range(1, longest):
         same = np.zeros(words * 64, dtype=bool)
         same[: n - d] = group[:-d] == group[d:]
@@ -151,9 +150,7 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
             near = np.zeros(words, dtype=np.uint64)
             near[live] = ~gone
             found = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-            lefts.append(found)
-            rights.append(found + d)
-    return np.concatenate(lefts), np.concatenate(rights)
+            yield found, found + d
 
 
 def _count(counters: list[np.ndarray], planes: list[np.ndarray], gone: np.ndarray) -> np.ndarray:
@@ -223,8 +220,12 @@ def _compare(radius: int, keys: int, words: int = 1):
             hi = min(lo + _BLOCK, len(group))
             while hi < len(group) and group[hi] == group[hi - 1]:
                 hi += 1
-            left, right = close_pairs(fps[lo:hi], group[lo:hi], radius)
-            low = _smallest(hi - lo, left, right)
+            low = np.arange(hi - lo)
+            for left, right in close_pairs(fps[lo:hi], group[lo:hi], radius):  # a group's pairs are never held together
+                left, right = low[left], low[right]
+                apart = left != right
+                if apart.any():
+                    low = _smallest(hi - lo, left[apart], right[apart])[low]
             moved = np.flatnonzero(low != np.arange(hi - lo))
             a.append(node[lo:hi][moved])
             b.append(node[lo:hi][low[moved]])

@@ -34,7 +34,7 @@ def test_close_pairs_equal_brute_force(words, radius):
             rows.append(x)
             group.append(g)
     fps, group = np.array(rows), np.array(group)
-    left, right = simhash.close_pairs(fps if words > 1 else fps[:, 0], group, radius)
+    left, right = (np.concatenate(x) for x in zip(*simhash.close_pairs(fps if words > 1 else fps[:, 0], group, radius), strict=True))
     far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
     wanted = {(i, j) for i, j in zip(*np.nonzero((far <= radius) & (group[:, None] == group[None])), strict=True) if i < j}
     assert set(zip(left.tolist(), right.tolist(), strict=True)) == wanted and len(wanted) > 20
