@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class Tokens:
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy(zero_copy_only=False)[w.row].astype(np.int64)
-        self.code, self.dictionary = encoded(w.low, w.start, w.end)
+        self.code, self.dictionary = encoded(w, KIND)
         ends = np.zeros(len(raw) + 1, dtype=np.int64)
         np.cumsum(IS_END[raw], out=ends[1:])
         self.follows = np.zeros(len(self.code), dtype=bool)
@@ -70,16 +71,11 @@ class Tokens:
             self.follows[:-1] = (w.row[1:] == w.row[:-1]) & (ends[w.start[1:]] == ends[w.start[:-1]])
 
 
-def encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Codes of the byte ranges, equal for equal bytes, and the ranges' bytes by code."""
-    size = end - start
-    offsets = np.zeros(len(start) + 1, dtype=np.int64)
-    np.cumsum(size, out=offsets[1:])
-    held = np.zeros(len(data) + 1, dtype=np.int8)
-    np.add.at(held, start, 1)
-    np.add.at(held, end, -1)
-    flat = data[np.cumsum(held[:-1], dtype=np.int8).astype(bool)]
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+def encoded(w: Words, kind: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the words, equal for equal bytes, and the words' bytes by code; ``kind`` tells which bytes are in words."""
+    offsets = np.zeros(len(w.start) + 1, dtype=np.int64)
+    np.cumsum(w.end - w.start, out=offsets[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(offsets), pa.py_buffer(w.low[kind[w.low]])])
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
@@ -238,9 +234,11 @@ def _packed(t: Tokens, words: list[bytes], lang: np.ndarray, columns: list[np.nd
     out[np.repeat(put, size) + inner] = flat[np.repeat(base[cells[row, col]], size) + inner]
     edges = np.append(at, len(out))
     rest = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(edges[first], len(out))), pa.py_buffer(out)]).cast(pa.binary())
-    keys = [b" ".join(words[c] for c in cells[i, : depth[i]].tolist()) for i in first.tolist()]
+    keys, deep = t.dictionary.take(pa.array(cells[first, 0])).cast(pa.binary()), depth[first] > 1
+    if deep.any():
+        keys = pc.replace_with_mask(keys, pa.array(deep), pa.array([b" ".join(words[c] for c in cells[i, : depth[i]].tolist()) for i in first[deep].tolist()], pa.binary()))
     counts = pa.ListArray.from_arrays(pa.array(np.append(first, n).astype(np.int32)), pa.array(number.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(t.langs, pa.string()).take(pa.array(lang[first])), pa.array(keys, pa.binary()), pa.array(depth[first].astype(np.int32)), rest, counts], names=["lang", "key", "depth", "rest", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(t.langs, pa.string()).take(pa.array(lang[first])), keys, pa.array(depth[first].astype(np.int32)), rest, counts], names=["lang", "key", "depth", "rest", "n"])
 
 
 class Projection:
@@ -250,7 +248,7 @@ class Projection:
         data = np.frombuffer(rest, dtype=np.uint8)
         line = np.concatenate([[0], np.cumsum(data == 0x0A)])
         w = Words(data, np.array([0, len(data)], dtype=np.int64), _LINE_KIND)
-        code, self.dictionary = encoded(data, w.start, w.end)
+        code, self.dictionary = encoded(w, _LINE_KIND)
         row = line[w.start]
         lead = np.ones(len(row), dtype=bool)
         lead[1:] = row[1:] != row[:-1]
@@ -288,34 +286,39 @@ def grown(packs: DataFrame, hot: dict[str, set[bytes]], least: int, longest: int
         held: list[pa.RecordBatch] = []
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, keys, depths = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            counts = batch.column(4)
-            new = [i == 0 or keys[i] != keys[i - 1] or langs[i] != langs[i - 1] for i in range(len(keys))]
+            lang, key = (batch.column(i).dictionary_encode().indices.to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (lang[1:] != lang[:-1])
             group = np.cumsum(new) - 1
+            starts = pa.array(np.flatnonzero(new))
+            langs, keys, depths = (batch.column(i).take(starts).to_pylist() for i in (0, 1, 2))
+            counts = batch.column(4)
             sizes = np.diff(counts.offsets.to_numpy())
             number = counts.flatten().to_numpy()
-            p = Projection(np.repeat(group, sizes), b"".join(batch.column(3).to_pylist()), number, longest - 1)
+            rest = batch.column(3)
+            ends = np.frombuffer(rest.buffers()[1], dtype=np.int32, count=len(rest) + 1, offset=4 * rest.offset)
+            p = Projection(np.repeat(group, sizes), rest.buffers()[2][int(ends[0]) : int(ends[-1])], number, longest - 1)
             p.least = least
             edges = np.searchsorted(p.of, np.arange(int(group[-1]) + 2))
             out_lang, out_phrase, out_n = [], [], []
             words = p.dictionary.to_pylist()
-            for g, i in enumerate(np.flatnonzero(new).tolist()):
+            for g, (lang, key, depth) in enumerate(zip(langs, keys, depths, strict=True)):
                 lo, hi = int(edges[g]), int(edges[g + 1])
-                total, lang, key = int(p.number[lo:hi].sum()), langs[i], keys[i]
+                total = int(p.number[lo:hi].sum())
                 parts = key.split(b" ")
                 all_hot = [w in hot_words.get(lang, ()) for w in parts]
                 p.found = []
                 if total >= least or all_hot[0]:
-                    for k in range(2, depths[i] + 1):
+                    for k in range(2, depth + 1):
                         part = all(all_hot[:k])
                         if part or total >= least:
                             out_lang.append(lang)
                             out_phrase.append(b" ".join(parts[:k]))
                             out_n.append(total)
-                if total >= least and depths[i] < longest:
+                if total >= least and depth < longest:
                     p.grow((), lo, hi)
                 for more, n in p.found:
-                    if depths[i] + len(more) <= longest:
+                    if depth + len(more) <= longest:
                         out_lang.append(lang)
                         out_phrase.append(b" ".join([key, *(words[c] for c in more)]))
                         out_n.append(n)
