@@ -1,11 +1,13 @@
-"""Folding, tokens and cleaning. Each Column function has a row-free plan but NFKC and accents, which need Arrow UDFs."""
+"""Folding, tokens and cleaning. Column functions are plain plans but NFKC, accents and expansion, which need Arrow UDFs."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,21 +22,64 @@ HEBREW = r"[\u05d0-\u05ea]"
 PREFIXES = "\u05d4\u05d5"
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+#: White space as Java's (?U)\\s has it.
+SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Texts that a UDF holds as Python strings at a time, beside its Arrow batch.
+_HELD = 256
 
 
-def _unaccent(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
+def _each(f: Callable[[str], str], c: Column) -> Column:
+    """``f`` of each text, null where it is null."""
+
+    def work(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if x is None else f(x) for x in texts.slice(lo, _HELD).to_pylist()], pa.string()) for lo in range(0, len(texts), _HELD)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return F.arrow_udf(work, T.StringType())(c)
+
+
+@cache
+def _nonspacing() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(i)) for i in range(0x110000) if unicodedata.category(chr(i)) == "Mn") + "]+")
+
+
+def bare(text: str) -> str:
+    """Base letters without their diacritics; letters such as sharp s stay."""
+    return text if text.isascii() else _nonspacing().sub("", unicodedata.normalize("NFD", text))
+
+
+def folded(text: str | None) -> str:
+    """``normalize`` of one string."""
+    text = re.sub(MARKS, "", unicodedata.normalize("NFKC", text or ""))
+    text = re.sub(SEPARATORS, " ", re.sub(f"[{QUOTES}]", "", text))
+    return re.sub(SPACES, " ", text).strip(" ").lower()
+
+
+def expanded_tokens(text: str | None) -> tuple[list[str], list[str]]:
+    """The tokens of one string, and the stripped forms that are not among them."""
+    tokens = [t for t in folded(text).split(" ") if t]
+    stripped = dict.fromkeys(t[1:] for t in tokens if len(t) >= 4 and t[0] in PREFIXES)
+    if not stripped:
+        return tokens, []
+    have = set(tokens)
+    return tokens, [t for t in stripped if t not in have]
+
+
+def index_terms(token: str) -> list[str]:
+    """``index_tokens`` of one token."""
+    text = bare(token).lower()
+    if text.isascii() and text.isalnum():
+        return [text]
+    return "".join(c if (kind := unicodedata.category(c))[0] in "LN" or kind == "Co" else " " for c in text).split()
 
 
 def nfkc(c: Column) -> Column:
-    return F.pandas_udf(_nfkc, T.StringType())(c)
+    return _each(lambda x: unicodedata.normalize("NFKC", x), c)
 
 
 def unaccent(c: Column) -> Column:
     """Base letters without their diacritics; letters such as sharp s stay."""
-    return F.pandas_udf(_unaccent, T.StringType())(c)
+    return _each(bare, c)
 
 
 def fold(c: Column) -> Column:
@@ -65,7 +110,8 @@ def expand_tokens(tokens: Column) -> Column:
 
 
 def expand(c: Column) -> Column:
-    return F.array_join(expand_tokens(tokenize(normalize(c))), " ")
+    """The tokens of a text, then each stripped form that is not among them yet; null counts as empty."""
+    return _each(lambda x: " ".join([w for part in expanded_tokens(x) for w in part]), F.coalesce(c, F.lit("")))
 
 
 def index_tokens(c: Column) -> Column:

@@ -75,6 +75,7 @@ class Catalog:
 
     def __init__(self, books: DataFrame, index: ix.Index | None = None, misses: DataFrame | None = None, folder: str | None = None, version: sg.Version | None = None):
         self.books, self.index, self.misses, self.folder, self.version = books, index or ix.build(books), misses, folder, version
+        self.unbuilt = index is None
 
     @staticmethod
     def open(spark: SparkSession, path: str, name: str | None = None) -> Catalog:
@@ -89,20 +90,23 @@ class Catalog:
         folder = f"{path}/versions/{name or done[-1]}"
         return Catalog(spark.read.parquet(f"{folder}/books"), ix.Index.read(spark, f"{folder}/index"), spark.read.parquet(f"{folder}/misses"), folder)
 
-    def save(self, path: str, last_id: int = 0, ranked: bool = False) -> Catalog:
+    def save(self, path: str, last_id: int = 0, ranked: bool = False, completions: bool | None = None) -> Catalog:
         """Publishes the tables as the path's new version: books by category, then author, which keeps the row
         groups of equality filters few, with a Bloom filter on id and author; the index by term. The number of
-        files follows the tables' size. ``ranked`` adds the blocks and completions of ``ranked``."""
+        files follows the tables' size. ``ranked`` adds the blocks of ``ranked``, and the completions unless these are
+        left out; ``complete`` adds them later."""
         spark = self.books.sparkSession
         misses = self.misses if self.misses is not None else spark.createDataFrame([], MISSES)
         state = spark.createDataFrame([("last_id", str(last_id))], STATE).coalesce(1)
         books = self.books.repartitionByRange("category", "author", "id").sortWithinPartitions("category", "author", "id")
 
         def rest(folder: str) -> None:
-            self.index.write(f"{folder}/index")
+            (ix.build(self.books, once=True) if self.unbuilt else self.index).write(f"{folder}/index")
             if ranked:
                 stored = ix.Index.read(spark, f"{folder}/index")
-                rk.write(stored, spark.read.parquet(f"{folder}/books"), f"{folder}/ranked")
+                rk.write(stored, spark, f"{folder}/ranked")
+                if completions is not False:
+                    rk.write_completions(spark, f"{folder}/ranked")
 
         store.publish({"books": books, "misses": misses, "state": state}, path, prepare=rest, options={"books": BLOOM})
         return Catalog.open(spark, path)
@@ -111,6 +115,11 @@ class Catalog:
         """The stored blocks and completions."""
         return rk.Blocks.read(self.books.sparkSession, f"{self.folder}/ranked")
 
+    def complete(self) -> None:
+        """Stores the completions beside the blocks unless they are there."""
+        if self.ranked().completions is None:
+            rk.write_completions(self.books.sparkSession, f"{self.folder}/ranked")
+
     def last_id(self) -> int:
         if self.version:
             return self.version.last_id

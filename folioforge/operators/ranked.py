@@ -14,8 +14,12 @@ a lookup. All tables are plain Parquet, sorted so that filters skip pages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ FIRST, PAGE_ROWS = 4, 2000
 SLACK = 1e-11
 #: Parts in which the rows of a hot prefix or query are ranked first.
 SALTS = 32
-TABLES = ("dictionary", "blocks", "starts", "postings", "prefixes", "completions", "totals")
+TABLES = ("dictionary", "blocks", "starts", "postings", "prefixes", "totals")
 
 
 def saturation(f: Column, length: Column, mean: Column) -> Column:
@@ -61,20 +65,63 @@ class Blocks:
     starts: DataFrame  # the same for prefixes: prefix, block, impact, least
     postings: DataFrame  # term, block, id, weight, length
     prefixes: DataFrame  # prefix, df
-    completions: DataFrame  # prefix, rank, score and the columns of a suggestion
     totals: DataFrame  # n_rows, n_tokens
+    completions: DataFrame | None = None  # prefix, rank, score, id; None where they are not stored
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Blocks:
-        return Blocks(*[spark.read.parquet(f"{path}/{t}") for t in TABLES])
-
-
-def write(index: Index, books: DataFrame, path: str) -> None:
+        done = store.exists(spark, f"{path}/completions/_SUCCESS")
+        return Blocks(*[spark.read.parquet(f"{path}/{t}") for t in TABLES], spark.read.parquet(f"{path}/completions") if done else None)
+
+
+def _put(df: DataFrame, path: str) -> None:
+    df.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(path)
+
+
+def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (id, term, block, weight, length) sorted by id and term: (id, prefix, block, f, length), where equal
+    prefixes of a row stand together for each length of a prefix."""
+    held: pa.Table | None = None
+
+    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, weight = rows["id"].to_numpy(), rows["weight"].to_numpy()
+        size = pc.utf8_length(rows["term"]).to_numpy()
+        for n in range(1, PREFIX + 1):
+            at = np.flatnonzero(size >= n)
+            if not len(at):
+                break
+            prefix = pc.utf8_slice_codeunits(rows["term"].take(pa.array(at)), 0, n).combine_chunks()
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (ids[at[1:]] != ids[at[:-1]]) | pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            some = rows.take(pa.array(at[first]))
+            columns = [some["id"], prefix.take(pa.array(first)), some["block"], pa.array(np.add.reduceat(weight[at], first)), some["length"]]
+            yield from pa.table(columns, names=["id", "prefix", "block", "f", "length"]).to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        ids = held["id"].to_numpy()
+        whole = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0  # the last row may go on in the next batch
+        if whole:
+            yield from made(held.slice(0, whole).combine_chunks())
+            held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield from made(held.combine_chunks())
+
+
+def _held(postings: DataFrame) -> DataFrame:
+    """id, prefix, block, f, length of every row's prefixes; a row's terms meet in one task and are counted there."""
+    kinds = {f.name: f.dataType.simpleString() for f in postings.schema}
+    near = postings.select("id", "term", "block", "weight", "length").repartition("id").sortWithinPartitions("id", "term")
+    return near.mapInArrow(_prefixed, f"id {kinds['id']}, prefix string, block long, f double, length {kinds['length']}")
+
+
+def write(index: Index, spark: SparkSession, path: str) -> None:
     """Builds the tables beside a stored index. Files follow the postings' number, pages are small."""
-    spark = books.sparkSession
     n_rows, n_tokens = index.totals.first()
     mean = F.lit(n_tokens / n_rows if n_rows and n_tokens else 1.0)
-    put = lambda df, name: df.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(f"{path}/{name}")
+    put = lambda df, name: _put(df, f"{path}/{name}")
     of = lambda name: spark.read.parquet(f"{path}/{name}")
     size = F.floor(F.log(F.col("length")) / F.log(F.lit(LENGTH_RATIO)))
     spans = index.lengths.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))  # a hundred lengths' classes at most
@@ -83,32 +130,39 @@ def write(index: Index, books: DataFrame, path: str) -> None:
     placed = index.terms.join(lengths, "id").select("term", "block", "id", "weight", "length")
     put(placed.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "id"), "postings")
     postings = of("postings")
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(PREFIX), F.char_length("term"))), lambda n: F.substring(F.col("term"), F.lit(1), n))
-    score = F.round(-idf_of(F.col("df"), F.lit(n_rows)) * saturation(F.col("f"), F.col("length"), mean), 9)
 
     def by_block() -> None:
         put(postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(saturation(F.col("weight"), F.col("length"), mean)).alias("impact"), F.min("id").alias("least")).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "blocks")
         put(of("blocks").groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), "dictionary")
 
     def by_prefix() -> None:
-        held = store.cut(postings.select("id", "block", "length", "weight", F.explode(starts).alias("prefix")).groupBy("prefix", "block", "id").agg(F.sum("weight").alias("f"), F.first("length").alias("length")))
-        put(held.groupBy("prefix", "block").agg(F.max(saturation(F.col("f"), F.col("length"), mean)).alias("impact"), F.min("id").alias("least")).repartitionByRange("prefix", "block").sortWithinPartitions("prefix", "block"), "starts")
-        put(held.groupBy("prefix").agg(F.count("*").alias("df")).repartitionByRange("prefix").sortWithinPartitions("prefix"), "prefixes")
-        scored = held.join(of("prefixes"), "prefix").select("prefix", "id", score.alias("score"))
-        named = best_first(scored, "prefix", ["score", "id"], COMPLETIONS).join(books.select(*SUGGEST_COLUMNS), "id")
-        put(named.select("prefix", "rank", "score", *SUGGEST_COLUMNS).repartitionByRange("prefix").sortWithinPartitions("prefix", "rank"), "completions")
+        shares = store.cut(_held(postings).groupBy("prefix", "block").agg(F.count("*").alias("n"), F.max(saturation(F.col("f"), F.col("length"), mean)).alias("impact"), F.min("id").alias("least")))
+        put(shares.drop("n").repartitionByRange("prefix", "block").sortWithinPartitions("prefix", "block"), "starts")
+        put(shares.groupBy("prefix").agg(F.sum("n").alias("df")).repartitionByRange("prefix").sortWithinPartitions("prefix"), "prefixes")
 
     together(by_block, by_prefix)
     put(index.totals.coalesce(1), "totals")
 
 
+def write_completions(spark: SparkSession, path: str) -> None:
+    """Adds the best rows of each prefix to the stored tables: ids alone, as a text stands in as many lists as it has prefixes."""
+    tables = Blocks.read(spark, path)
+    n_rows, n_tokens = tables.totals.first()
+    mean = F.lit(n_tokens / n_rows if n_rows and n_tokens else 1.0)
+    score = F.round(-idf_of(F.col("df"), F.lit(n_rows)) * saturation(F.col("f"), F.col("length"), mean), 9)
+    scored = _held(tables.postings).join(tables.prefixes, "prefix").select("prefix", "id", score.alias("score"))
+    best = best_first(scored, "prefix", ["score", "id"], COMPLETIONS)
+    _put(best.select("prefix", "rank", "score", "id").repartitionByRange("prefix").sortWithinPartitions("prefix", "rank"), f"{path}/completions")
+
+
 def complete(tables: Blocks, index: Index, books: DataFrame, text: str, limit: int = 8) -> DataFrame:
     """As ``suggest`` (scores rounded to nine places), read from the stored completions where the text is one
     word of at most ``PREFIX`` characters."""
     phrases, limit = compile_query(text), clamp(limit, COMPLETIONS)
-    if phrases and len(phrases) == 1 and phrases[0].prefix and 0 < len(phrases[0].term) <= PREFIX:
+    if tables.completions is not None and phrases and len(phrases) == 1 and phrases[0].prefix and 0 < len(phrases[0].term) <= PREFIX:
         found = tables.completions.where((F.col("prefix") == phrases[0].term) & (F.col("rank") <= limit))
-        return found.select(*SUGGEST_COLUMNS, "score").orderBy("score", "id")
+        ids = [r.id for r in found.select("id").collect()]
+        return found.join(books.where(F.col("id").isin(ids)).select(*SUGGEST_COLUMNS), "id").select(*SUGGEST_COLUMNS, "score").orderBy("score", "id")
     return suggest(index, books, text, limit).withColumn("score", F.round("score", 9)).orderBy("score", "id")
 
 
@@ -199,4 +253,5 @@ def search_top(tables: Blocks, books: DataFrame, query: str, category: str = "",
     wanted = books.where(F.col("category") == category) if category else books
     found = Search(tables, {"q": query}, limit + offset, wanted if category else None)
     page = found.top().where(F.col("rank") > offset)
-    return page.join(wanted.select(*SEARCH_COLUMNS), "id").select(*SEARCH_COLUMNS, "score").orderBy("score", "id")
+    ids = [r.id for r in page.select("id").collect()]  # a page at most
+    return page.join(wanted.where(F.col("id").isin(ids)).select(*SEARCH_COLUMNS), "id").select(*SEARCH_COLUMNS, "score").orderBy("score", "id")

@@ -137,7 +137,7 @@ def append(spark: SparkSession, path: str, books: DataFrame | None = None, delet
     names = [f.name for f in spark.createDataFrame([], BOOKS).schema]
     rows = store.cut((books if books is not None else spark.createDataFrame([], BOOKS)).select(*names))
     changed = rows.select("id") if deleted is None else rows.select("id").unionByName(deleted.select(F.col("id").cast("long"))).distinct()
-    fresh = ix.build(rows)
+    fresh = ix.build(rows, once=True)
     segment = _write(spark, path, {"books": rows, "terms": fresh.terms, "lengths": fresh.lengths, "changed": changed, "misses": misses if misses is not None else spark.createDataFrame([], MISSES)})
     own = spark.read.schema(KINDS["changed"][0]).parquet(f"{path}/segments/{segment.name}/changed")
     tokens = lambda df: df.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
