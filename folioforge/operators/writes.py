@@ -70,3 +70,25 @@ def get_checkpoint(spark: SparkSession, path: str, key: str = "last_id", default
 def compact(df: DataFrame, path: str, files: int, by: str | Column = "id") -> None:
     """Rewrite in key order, which keeps row group statistics narrow."""
     replace_table(df.repartitionByRange(files, by).sortWithinPartitions(by), path)
+
+
+def at_place(rows: DataFrame, column: str, place: int, parts: int = 1024) -> int | None:
+    """The whole number that stands at a place (from 0) in the order of the column; None beyond its end.
+
+    Ranges are counted and narrowed: each round one pass gives at most ``parts`` counts, whatever the number of rows.
+    """
+    own = rows.select(F.col(column).cast("decimal(20,0)").alias("v")).where("v IS NOT NULL")
+    n, low, high = own.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not 0 <= place < n:
+        return None
+    low, high = int(low), int(high)
+    while low < high:
+        width = (high - low) // parts + 1
+        step = F.floor((F.col("v") - F.lit(low)) / F.lit(width)) if width > 1 else F.col("v") - F.lit(low)
+        counts = own.where(F.col("v").between(low, high)).groupBy(step.cast("long").alias("k")).count().collect()
+        for k, count in sorted(map(tuple, counts)):
+            if place < count:
+                low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+                break
+            place -= count
+    return low
