@@ -385,7 +385,9 @@ def wide_links(classes: DataFrame, how: Wide = Wide()) -> DataFrame:  # noqa: B0
 
     A bucket of over ``bucket`` rows is dealt into chunks by hash, and its leaders, one of each of ``leaders``
     hash classes, are in all its chunks: rows near a leader, or near each other in one chunk of any band, are
-    linked. So a group that fills a bucket is one component, without all its rows in one task.
+    linked. So a group that fills a bucket is one component, without all its rows in one task. Rows of a large bucket
+    that are not in its largest component then meet every row of the bucket (``_rest``), so no pair that would
+    join components is left out.
     """
     own = ["fp", *[f"f{k}" for k in range(how.words)]]
     bands = F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.col(f"k{b}").alias("key")) for b in range(how.bands)])
@@ -403,7 +405,35 @@ def wide_links(classes: DataFrame, how: Wide = Wide()) -> DataFrame:  # noqa: B0
         spread = leaders.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "x.*")
         dealt = marked.where("chunks IS NULL").select("band", "key", zero, *own).unionByName(wide.select("band", "key", chunk.cast("long").alias("chunk"), *own)).unionByName(spread)
     sorted_ = dealt.repartition("band", "key", "chunk").sortWithinPartitions("band", "key", "chunk", "fp")
-    return sorted_.mapInArrow(_compare(how.radius, 3, how.words), "a long, b long")
+    found = sorted_.mapInArrow(_compare(how.radius, 3, how.words), "a long, b long")
+    if not many:
+        return found
+    found = cut(found)
+    return found.unionByName(_rest(wide.select("band", "key", *own), found, how))
+
+
+def _rest(wide: DataFrame, found: DataFrame, how: Wide) -> DataFrame:
+    """Links that the chunks of large buckets (``wide``: band, key and the fingerprints) may have missed.
+
+    What is linked already needs no further pair inside its component. Of each bucket the rows outside its largest
+    component are compared with all of the bucket, a chunk of the ones against a chunk of the others at a time:
+    each task holds two chunks, and the work follows the rows outside times the bucket.
+    """
+    own = [c for c in wide.columns if c not in ("band", "key")]
+    roots = components(found)
+    placed = cut(wide.join(roots, wide["fp"] == roots["node"], "left").select("band", "key", *own, F.coalesce("root", "fp").alias("root")))
+    sizes = placed.groupBy("band", "key", "root").count()
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "root")).alias("x"), F.sum("count").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    most = F.lit(4 * how.bucket)
+    chunks = lambda n: F.ceil(n / most).cast("long")
+    split = cut(main.select("band", "key", F.col("x.root").alias("main"), chunks(F.col("n")).alias("of_all"), chunks(F.col("n") - F.col("x.count")).alias("of_rest")))
+    rows = placed.join(split, ["band", "key"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    mine = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n)
+    all_ = rows.select("band", "key", *own, mine(F.col("of_all"), 2).alias("x"), "of_rest").select("band", "key", *own, "x", each(F.col("of_rest")).alias("y"))
+    outside = rows.where("root <> main").select("band", "key", *own, "of_all", mine(F.col("of_rest"), 3).alias("y")).select("band", "key", *own, each(F.col("of_all")).alias("x"), "y")
+    met = all_.unionByName(outside).select("band", "key", F.shiftleft("x", 32).bitwiseOR(F.col("y")).alias("chunk"), *own).distinct()
+    return met.repartition("band", "key", "chunk").sortWithinPartitions("band", "key", "chunk", "fp").mapInArrow(_compare(how.radius, 3, how.words), "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
