@@ -24,6 +24,8 @@ PREFIXES = "\u05d4\u05d5"
 
 #: White space as Java's (?U)\\s has it.
 SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Such runs but a single plain space.
+_WIDE = f" {SPACES}|{SPACES.replace(' ', '', 1)[:-1]}{SPACES[:-1]}*"
 #: Texts that a UDF holds as Python strings at a time, beside its Arrow batch.
 _HELD = 256
 
@@ -39,20 +41,24 @@ def _each(f: Callable[[str], str], c: Column) -> Column:
 
 
 @cache
-def _nonspacing() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(chr(i)) for i in range(0x110000) if unicodedata.category(chr(i)) == "Mn") + "]+")
+def _nonspacing(low: int, high: int) -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(i)) for i in range(low, high) if unicodedata.category(chr(i)) == "Mn") + "]+")
 
 
 def bare(text: str) -> str:
     """Base letters without their diacritics; letters such as sharp s stay."""
-    return text if text.isascii() else _nonspacing().sub("", unicodedata.normalize("NFD", text))
+    if text.isascii():
+        return text
+    # a set with characters beyond 0xffff is tried range by range at every place, one without them is a table
+    text = _nonspacing(0, 0x10000).sub("", unicodedata.normalize("NFD", text))
+    return re.sub("[\U00010000-\U0010ffff]+", lambda m: _nonspacing(0x10000, 0x110000).sub("", m[0]), text)
 
 
 def folded(text: str | None) -> str:
     """``normalize`` of one string."""
     text = re.sub(MARKS, "", unicodedata.normalize("NFKC", text or ""))
     text = re.sub(SEPARATORS, " ", re.sub(f"[{QUOTES}]", "", text))
-    return re.sub(SPACES, " ", text).strip(" ").lower()
+    return re.sub(_WIDE, " ", text).strip(" ").lower()
 
 
 def expanded_tokens(text: str | None) -> tuple[list[str], list[str]]:
