@@ -1,7 +1,8 @@
 """Ordered folds over late streams: rows wait in state until the watermark has passed them, then are taken in order.
 
-``transformWithState`` keeps the waiting rows of a run in a list and its fold in
-a value; a timer wakes the run when the watermark reaches its oldest row. Which
+``transformWithState`` keeps the waiting rows of a run in a list, packed by
+thousands as Arrow, and its fold in a value; a timer wakes the run when the
+watermark reaches its oldest row. Which
 rows arrive in which micro-batch, and in which order, does not matter, so the
 results are those of the batch operators over the rows that were not too late.
 State that follows the rows is bounded by what arrives within the lateness. The
@@ -13,13 +14,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from folioforge.schema import HARD, REFUSED
 
-_WAITING = "at long, seq long, reason string, wait double"
+_WAITING = pa.schema([("at", pa.int64()), ("seq", pa.int64()), ("reason", pa.string()), ("wait", pa.float64())])
+#: Rows of an element of the list, and rows that are Python objects at a time.
+_PACKED, _HELD = 10_000, 50_000
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -35,16 +40,26 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.waiting = handle.getListState("waiting", "packed binary")
         self.state = handle.getValueState("state", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(at), int(seq), reason, None if pd.isna(wait) else float(wait)) for pdf in rows for at, seq, reason, wait in zip(pdf["at"], pdf["seq"], pdf["reason"], pdf["wait"], strict=True)]
-        if held:
-            self.waiting.appendList(held)
-            self._wake(min(x[0] for x in held))
+        oldest = []
+        for pdf in rows:
+            if len(pdf):
+                self._wait(pa.Table.from_pandas(pdf[_WAITING.names], _WAITING, preserve_index=False))
+                oldest.append(int(pdf["at"].min()))
+        if oldest:
+            self._wake(min(oldest))
         return iter(())
 
+    def _wait(self, rows: pa.Table) -> None:
+        for lo in range(0, len(rows), _PACKED):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _WAITING) as out:
+                out.write_table(rows.slice(lo, _PACKED))
+            self.waiting.appendValue((sink.getvalue().to_pybytes(),))
+
     def _wake(self, at: int) -> None:
         """One timer, not after the oldest waiting row (timers are in milliseconds, rows in microseconds)."""
         timers = list(self.handle.listTimers())
@@ -57,20 +72,23 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=lambda x: (x[0], x[1]))
-        ready, left = [x for x in waiting if x[0] < passed], [x for x in waiting if x[0] >= passed]
-        state, out = (tuple(self.state.get()) if self.state.exists() else self.first), []
-        for row in ready:
-            state, made = self.step(state, tuple(row))
-            if made:
-                out.append((key[0], *made))
+        waiting = pa.concat_tables([_WAITING.empty_table(), *[pa.ipc.open_stream(bytes(x[0])).read_all() for x in self.waiting.get()]])
+        soon = pc.less(waiting["at"], passed)
+        ready, left = waiting.filter(soon).sort_by([("at", "ascending"), ("seq", "ascending")]), waiting.filter(pc.invert(soon))
+        state, made = (tuple(self.state.get()) if self.state.exists() else self.first), []
+        for lo in range(0, len(ready), _HELD):
+            out = []
+            for row in zip(*[c.to_pylist() for c in ready.slice(lo, _HELD).columns], strict=True):
+                state, emitted = self.step(state, row)
+                if emitted:
+                    out.append((key[0], *emitted))
+            made.append(pd.DataFrame(out, columns=self.columns))
         self.state.update(state)
-        if left:
-            self.waiting.put([tuple(x) for x in left])
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(out, columns=self.columns)
+        self.waiting.clear()
+        if len(left):
+            self._wait(left)
+            self.handle.registerTimer(pc.min(left["at"]).as_py() // 1000 + 1)
+        return iter(made)
 
     def close(self) -> None:
         pass
