@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge import store
 from folioforge.operators.outcomes import counters
 
-#: Most stretches, and rows sampled to cut them.
-STRETCHES, SAMPLED = 4096, 200_000
+#: Most stretches, rows sampled to cut them, and rows aimed at for each, which a task sorts in memory.
+STRETCHES, SAMPLED, ROWS = 4096, 200_000, 100_000
 
 
 def _cuts(moments: DataFrame, every: int, rows: int) -> list[int]:
@@ -42,6 +42,13 @@ def _cuts(moments: DataFrame, every: int, rows: int) -> list[int]:
     return cuts
 
 
+def _part(cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at or before ``t``."""
+    places = np.array(cuts, dtype=np.int64)
+    count = lambda t: pa.array(np.searchsorted(places, t.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+    return F.arrow_udf(count, "int")(F.col("t")) if cuts else F.lit(0)
+
+
 def _chain(t: np.ndarray, every: int) -> np.ndarray:
     """Of each place in the sorted times the first place at least ``every`` later (the length if there is none)."""
     return np.searchsorted(t, t + every, side="left")
@@ -92,13 +99,11 @@ def _stretches(batches: Iterator[pa.RecordBatch], entry: bool = False) -> Iterat
         yield (now[0], np.concatenate(held), *now[1:])
 
 
-def report_times(moments: DataFrame, every: int, rows: int = 1_000_000) -> DataFrame:
+def report_times(moments: DataFrame, every: int, rows: int = ROWS) -> DataFrame:
     """``t`` (microseconds) of the first row and of each one that is the first at least ``every`` after the one before."""
     moments = store.cut(moments.select("t").where("t IS NOT NULL").distinct())
     cuts = _cuts(moments, every, rows)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    stretch = F.size(F.filter(bounds, lambda c: c <= F.col("t"))) if cuts else F.lit(0)
-    dealt = moments.select(stretch.cast("int").alias("stretch"), "t")
+    dealt = moments.select(_part(cuts).alias("stretch"), "t")
     tasks = len(cuts) + 1
     placed = dealt.repartition(tasks, "stretch").sortWithinPartitions("stretch", "t")
     entries = store.cut(placed.mapInArrow(_entries(every), "stretch int, t long, until long"))
@@ -122,7 +127,7 @@ def report_times(moments: DataFrame, every: int, rows: int = 1_000_000) -> DataF
     return walked.mapInArrow(_walk(every), "stretch int, t long").select("t")
 
 
-def progress_reports(outcomes: DataFrame, every: float = 10.0, ts: str = "ts", rows: int = 1_000_000) -> DataFrame:
+def progress_reports(outcomes: DataFrame, every: float = 10.0, ts: str = "ts", rows: int = ROWS) -> DataFrame:
     """``ts`` of each report with the running totals of all outcomes up to its time. The first outcome starts the
     clock and is no report; outcomes without a time are in no report.
 
@@ -137,9 +142,7 @@ def progress_reports(outcomes: DataFrame, every: float = 10.0, ts: str = "ts", r
     names = ["found", "missing", "failed", "blocked", "challenged", "processed"]
     both = per.select("t", *names, F.lit(False).alias("report")).unionByName(reports.select("t", *[F.lit(0).cast("long").alias(c) for c in names], F.lit(True).alias("report")))
     cuts = _cuts(reports, 1, rows)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    part = (F.size(F.filter(bounds, lambda c: c <= F.col("t"))) if cuts else F.lit(0)).alias("part")
-    summed = both.groupBy("t").agg(F.max("report").alias("report"), *[F.sum(c).alias(c) for c in names]).select("*", part)
+    summed = both.groupBy("t").agg(F.max("report").alias("report"), *[F.sum(c).alias(c) for c in names]).select("*", _part(cuts).alias("part"))
     inside = Window.partitionBy("part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     own = summed.select("part", "t", "report", *[F.sum(c).over(inside).alias(c) for c in names])
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
