@@ -48,6 +48,8 @@ BUCKET = 1024
 SEED = 42
 #: Rows up to which the table of large buckets (24 bytes a row) is broadcast; a shuffled join beyond.
 BROADCAST_ROWS = 500_000
+#: Bits that ``_perhaps`` has for each key, and in all (16 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 27
 _BLOCK = 8192
 _STEP = 16
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -490,8 +492,9 @@ def _rooted(docs: DataFrame, keep: list[str], text: str, id: str, wide: Wide | N
         one = cut(marked.where("fp <> 0").groupBy("fp").agg(F.min(F.struct(*[F.col("row").getField(c).alias(c) for c in hashed])).alias("x")).select("fp", "x.*"))
         picked = components(candidates)
         near = picked.select(F.col("node").alias("fp")).unionByName(picked.select(F.col("root").alias("fp"))).distinct()
+        wanted = cut(one.join(near, "fp", "left_semi"))
         named = docs.select(*[F.col(c) for c in hashed], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-        texts = one.join(near, "fp", "left_semi").join(named, hashed).groupBy("fp").agg(F.any_value("text").alias("text"))
+        texts = wanted.join(_perhaps(named, wanted).where("perhaps").drop("perhaps"), hashed).groupBy("fp").agg(F.any_value("text").alias("text"))
         found = components(verified(candidates, picked, texts, wide.shingle, wide.like))
     else:
         found = components(links(classes.select("fp"), radius, bucket))
@@ -506,6 +509,21 @@ def text_hashes(id: str, text: str) -> list[Column]:
     return [F.xxhash64(F.lit(i), F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`")).alias(f"h{i}") for i in range(2)]
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``perhaps``, false only where no key has the row's h0: so that rows meet the keys in a shuffle only
+    where they may match. A bit map is broadcast, which lets more rows through as it fills; none is lost."""
+    n = keys.count()
+    if not n:
+        return rows.withColumn("perhaps", F.lit(False))
+    bits = min(MOST_BITS, max(1 << 15, 1 << (n * KEY_BITS - 1).bit_length()))
+    place = F.pmod("h0", F.lit(bits)) + 1
+    at = F.bitmap_bit_position(place)
+    maps = keys.select(F.bitmap_bucket_number(place).alias("bucket"), at.alias("at")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "bucket", "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("perhaps"))
+
+
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how) -> DataFrame:
     """The documents' own columns, exactly one row of each group: the one of the smallest id (none comes last),
     then of the smallest fingerprint and hash of id and text. ``how`` is that of ``group``, or ``wide``.
@@ -522,11 +540,12 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **how)
     dropped = cut(rows.select("h0", "h1").join(first, ["h0", "h1"], "left_anti"))
     repeated = cut(rows.where("count > 1").select("h0", "h1").join(first, ["h0", "h1"], "left_semi"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.select(row.alias("row"), *key).join(dropped, ["h0", "h1"], "left_anti")
-    if repeated.isEmpty():
-        return kept.select("row.*")
-    again = kept.join(repeated, ["h0", "h1"], "left_semi").groupBy("h0", "h1").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return kept.join(repeated, ["h0", "h1"], "left_anti").select("row").unionByName(again.select("row")).select("row.*")
+    told = _perhaps(docs.select(row.alias("row"), *key), dropped.unionByName(repeated))
+    some = told.where("perhaps").join(dropped, ["h0", "h1"], "left_anti")
+    if not repeated.isEmpty():
+        again = some.join(repeated, ["h0", "h1"], "left_semi").groupBy("h0", "h1").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        some = some.join(repeated, ["h0", "h1"], "left_anti").select("row").unionByName(again.select("row"))
+    return told.where("NOT perhaps").select("row").unionByName(some.select("row")).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
