@@ -115,6 +115,11 @@ class Catalog:
         """The stored blocks and completions."""
         return rk.Blocks.read(self.books.sparkSession, f"{self.folder}/ranked")
 
+    def rank(self) -> None:
+        """Stores the blocks beside the index unless they are there."""
+        if not store.exists(self.books.sparkSession, f"{self.folder}/ranked/totals/_SUCCESS"):
+            rk.write(self.index, self.books.sparkSession, f"{self.folder}/ranked")
+
     def complete(self) -> None:
         """Stores the completions beside the blocks unless they are there."""
         if self.ranked().completions is None:
