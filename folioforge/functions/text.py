@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,20 +27,49 @@ PREFIXES = "\u05d4\u05d5"
 SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Such runs but a single plain space.
 _WIDE = f" {SPACES}|{SPACES.replace(' ', '', 1)[:-1]}{SPACES[:-1]}*"
-#: Texts that a UDF holds as Python strings at a time, beside its Arrow batch.
-_HELD = 256
+#: Texts, and bytes of them, that a UDF holds as Python strings at a time, beside its Arrow batch (a longer text by itself).
+_HELD, _HELD_BYTES = 256, 1 << 20
+
+
+def _pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    lo, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > lo and (i - lo == _HELD or held + n > _HELD_BYTES):
+            yield texts.slice(lo, i - lo).to_pylist()
+            lo, held = i, 0
+        held += n
+    if len(texts) > lo:
+        yield texts.slice(lo).to_pylist()
+
+
+def _mapped(f: Callable[[str], str], texts: pa.Array) -> Iterator[pa.Array]:
+    for some in _pieces(texts):
+        yield pa.array([None if x is None else f(x) for x in some], pa.string())
 
 
 def _each(f: Callable[[str], str], c: Column) -> Column:
-    """``f`` of each text, null where it is null."""
+    """``f`` of each text, null where it is null. Several in a row share a Python worker."""
 
     def work(texts: pa.Array) -> pa.Array:
-        parts = [pa.array([None if x is None else f(x) for x in texts.slice(lo, _HELD).to_pylist()], pa.string()) for lo in range(0, len(texts), _HELD)]
+        parts = list(_mapped(f, texts))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return F.arrow_udf(work, T.StringType())(c)
 
 
+def _flowing(f: Callable[[str], str]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from _mapped(f, texts)
+
+    return work
+
+
+def _each_alone(f: Callable[[str], str], c: Column) -> Column:
+    """As ``_each`` in a Python worker of its own, which returns results as they are made and holds none beside the batch that came in."""
+    return F.arrow_udf(_flowing(f), T.StringType())(c)
+
+
 @cache
 def _nonspacing(low: int, high: int) -> re.Pattern:
     return re.compile("[" + "".join(re.escape(chr(i)) for i in range(low, high) if unicodedata.category(chr(i)) == "Mn") + "]+")
@@ -80,7 +110,9 @@ def index_terms(token: str) -> list[str]:
 
 
 def nfkc(c: Column) -> Column:
-    return _each(lambda x: unicodedata.normalize("NFKC", x), c)
+    """Only texts with other than ASCII characters go to Python, as NFKC leaves the rest as they are."""
+    wide = F.when(F.octet_length(c) > F.char_length(c), c)
+    return F.coalesce(_each_alone(lambda x: unicodedata.normalize("NFKC", x), wide), c)
 
 
 def unaccent(c: Column) -> Column:
