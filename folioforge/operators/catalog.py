@@ -16,7 +16,7 @@ from folioforge.operators import writes as wr
 from folioforge.schema import MISSES, STATE
 
 #: Parquet options of the stored books: lookups by id and author skip the row groups whose Bloom filter says no.
-BLOOM = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#author": "true"}
+BLOOM = {"compression": "zstd", "parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#author": "true"}
 
 
 class CatalogMissing(Exception):
@@ -101,29 +101,30 @@ class Catalog:
         books = self.books.repartitionByRange("category", "author", "id").sortWithinPartitions("category", "author", "id")
 
         def rest(folder: str) -> None:
-            (ix.build(self.books, once=True) if self.unbuilt else self.index).write(f"{folder}/index")
+            stored = spark.read.parquet(f"{folder}/books")
+            (ix.build(stored, once=True, path=f"{folder}/index/rows") if self.unbuilt else self.index).write(f"{folder}/index")
             if ranked:
-                stored = ix.Index.read(spark, f"{folder}/index")
-                rk.write(stored, spark, f"{folder}/ranked")
+                rk.write(spark, folder)
                 if completions is not False:
-                    rk.write_completions(spark, f"{folder}/ranked")
+                    rk.write_completions(spark, folder)
 
-        store.publish({"books": books, "misses": misses, "state": state}, path, prepare=rest, options={"books": BLOOM})
+        with store.swept(spark):
+            store.publish({"books": books, "misses": misses, "state": state}, path, prepare=rest, options={"books": BLOOM})
         return Catalog.open(spark, path)
 
     def ranked(self) -> rk.Blocks:
         """The stored blocks and completions."""
-        return rk.Blocks.read(self.books.sparkSession, f"{self.folder}/ranked")
+        return rk.Blocks.read(self.books.sparkSession, self.folder)
 
     def rank(self) -> None:
         """Stores the blocks beside the index unless they are there."""
         if not store.exists(self.books.sparkSession, f"{self.folder}/ranked/totals/_SUCCESS"):
-            rk.write(self.index, self.books.sparkSession, f"{self.folder}/ranked")
+            rk.write(self.books.sparkSession, self.folder)
 
     def complete(self) -> None:
         """Stores the completions beside the blocks unless they are there."""
         if self.ranked().completions is None:
-            rk.write_completions(self.books.sparkSession, f"{self.folder}/ranked")
+            rk.write_completions(self.books.sparkSession, self.folder)
 
     def last_id(self) -> int:
         if self.version:

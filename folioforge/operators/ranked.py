@@ -1,7 +1,7 @@
 """Ranked search that reads the blocks which can reach the page, and stored completions of short prefixes.
 
-Rows are grouped into blocks of similar length and neighbouring ids, about ``BLOCK_ROWS`` in each. Beside the
-postings there is a table of the largest share that a term can add to a score
+Rows are grouped into blocks of similar length and neighbouring ids, as the index stores them. Beside the
+postings, which are the index's, there is a table of the largest share that a term can add to a score
 inside each block, and a dictionary with every term's document frequency. A
 search sums these shares to a bound for each block that holds all its words,
 reads the few best blocks, and then only those whose bound reaches the last
@@ -24,25 +24,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge import store
-from folioforge.operators.index import Index
+from folioforge.operators.index import STORED, Index, blocked, told_apart
 from folioforge.operators.search import IDF_FLOOR, K1, NAMED, SEARCH_COLUMNS, SMALL, SUGGEST_COLUMNS, B, reach, suggest
 from folioforge.plans.query import clamp, compile_query
-from folioforge.session import together
 
-#: Rows aimed at for a block, and the ratio of the largest to the smallest length in it.
-BLOCK_ROWS, LENGTH_RATIO = 256, 1.25
 PREFIX, COMPLETIONS = 6, 20
-#: Blocks of each query that are read first, and rows of a Parquet page.
-FIRST, PAGE_ROWS = 4, 2000
+#: Blocks of each query that are read first.
+FIRST = 4
+#: Rows, and their terms, whose prefixes are cut at a time.
+_ROWS, _TERMS = 256, 200_000
 #: More than the arithmetic of a bound can lose.
 SLACK = 1e-11
 #: Parts in which the rows of a hot prefix or query are ranked first.
 SALTS = 32
-TABLES = ("dictionary", "blocks", "starts", "postings", "prefixes", "totals")
+TABLES = ("dictionary", "blocks", "starts", "prefixes", "totals")
 
 
-def saturation(f: Column, length: Column, mean: Column) -> Column:
-    """The share of BM25 that does not depend on the word."""
+def saturation(f, length, mean):
+    """The share of BM25 that does not depend on the word, of columns or arrays."""
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
 
 
@@ -62,97 +61,125 @@ def best_first(rows: DataFrame, by: str, order: list[Column | str], k: int | Col
 class Blocks:
     dictionary: DataFrame  # term, df
     blocks: DataFrame  # term, block, n, impact, least (the smallest id)
-    starts: DataFrame  # the same for prefixes: prefix, block, impact, least
+    starts: DataFrame  # the same for prefixes: prefix, block, n, impact, least
     postings: DataFrame  # term, block, id, weight, length
     prefixes: DataFrame  # prefix, df
     totals: DataFrame  # n_rows, n_tokens
     completions: DataFrame | None = None  # prefix, rank, score, id; None where they are not stored
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> Blocks:
+    def read(spark: SparkSession, folder: str) -> Blocks:
+        """Those of a catalog's stored version."""
+        path = f"{folder}/ranked"
+        dictionary, blocks, starts, prefixes, totals = [spark.read.parquet(f"{path}/{t}") for t in TABLES]
+        postings = spark.read.parquet(f"{folder}/index/terms").select("term", "block", "id", "weight", "length")
         done = store.exists(spark, f"{path}/completions/_SUCCESS")
-        return Blocks(*[spark.read.parquet(f"{path}/{t}") for t in TABLES], spark.read.parquet(f"{path}/completions") if done else None)
+        return Blocks(dictionary, blocks, starts, postings, prefixes, totals, spark.read.parquet(f"{path}/completions") if done else None)
 
 
 def _put(df: DataFrame, path: str) -> None:
-    df.write.option("parquet.page.row.count.limit", PAGE_ROWS).mode("overwrite").parquet(path)
-
-
-def _prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (id, term, block, weight, length) sorted by id and term: (id, prefix, block, f, length), where equal
-    prefixes of a row stand together for each length of a prefix."""
-    held: pa.Table | None = None
-
-    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, weight = rows["id"].to_numpy(), rows["weight"].to_numpy()
-        size = pc.utf8_length(rows["term"]).to_numpy()
-        for n in range(1, PREFIX + 1):
-            at = np.flatnonzero(size >= n)
-            if not len(at):
-                break
-            prefix = pc.utf8_slice_codeunits(rows["term"].take(pa.array(at)), 0, n).combine_chunks()
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (ids[at[1:]] != ids[at[:-1]]) | pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(new)
-            some = rows.take(pa.array(at[first]))
-            columns = [some["id"], prefix.take(pa.array(first)), some["block"], pa.array(np.add.reduceat(weight[at], first)), some["length"]]
-            yield from pa.table(columns, names=["id", "prefix", "block", "f", "length"]).to_batches()
-
+    df.write.options(**STORED).mode("overwrite").parquet(path)
+
+
+def _pieces(batch: pa.RecordBatch, apart: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, all with the same value of ``apart``."""
+    held = pc.list_value_length(batch["weights"]).to_numpy()
+    changes = batch[apart].to_numpy() if apart else None
+    lo, terms = 0, 0
+    for i in range(batch.num_rows):
+        if i > lo and (i - lo == _ROWS or terms + held[i] > _TERMS or changes is not None and changes[i] != changes[i - 1]):
+            yield batch.slice(lo, i - lo)
+            lo, terms = i, 0
+        terms += held[i]
+    if batch.num_rows > lo:
+        yield batch.slice(lo)
+
+
+def _prefixed(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Over the index's rows, for each length of a prefix: the places of the rows, their prefixes, and the weight of each."""
+    terms = pc.split_pattern(rows["terms"], " ")
+    at, weight = pc.list_parent_indices(terms).to_numpy(), pc.list_flatten(rows["weights"]).to_numpy()
+    terms = pc.list_flatten(terms)
+    size = pc.utf8_length(terms).to_numpy()
+    for n in range(1, PREFIX + 1):
+        long = np.flatnonzero(size >= n)
+        if not len(long):
+            break
+        prefix, row = pc.utf8_slice_codeunits(terms.take(pa.array(long)), 0, n), at[long]
+        new = np.ones(len(long), dtype=bool)  # a row's terms are sorted
+        new[1:] = (row[1:] != row[:-1]) | pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        yield row[first], prefix.take(pa.array(first)), np.add.reduceat(weight[long], first)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over the index's rows: id, prefix, f, length of every row's prefixes."""
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        ids = held["id"].to_numpy()
-        whole = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0  # the last row may go on in the next batch
-        if whole:
-            yield from made(held.slice(0, whole).combine_chunks())
-            held = held.slice(whole)
-    if held is not None and held.num_rows:
-        yield from made(held.combine_chunks())
-
-
-def _held(postings: DataFrame) -> DataFrame:
-    """id, prefix, block, f, length of every row's prefixes; a row's terms meet in one task and are counted there."""
-    kinds = {f.name: f.dataType.simpleString() for f in postings.schema}
-    near = postings.select("id", "term", "block", "weight", "length").repartition("id").sortWithinPartitions("id", "term")
-    return near.mapInArrow(_prefixed, f"id {kinds['id']}, prefix string, block long, f double, length {kinds['length']}")
-
-
-def write(index: Index, spark: SparkSession, path: str) -> None:
-    """Builds the tables beside a stored index. Files follow the postings' number, pages are small."""
+        for rows in _pieces(batch):
+            for at, prefix, f in _prefixed(rows):
+                where = pa.array(at)
+                yield pa.RecordBatch.from_arrays([rows["id"].take(where), prefix, pa.array(f), rows["length"].take(where)], names=["id", "prefix", "f", "length"])
+
+
+def _started(mean: float):
+    """Over the index's rows sorted by block: prefix, block, n, impact, least, once for each prefix of a block."""
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by("prefix").aggregate([("n", "sum"), ("impact", "max"), ("least", "min")])
+        return pa.table([found[c] for c in ("prefix", "n_sum", "impact_max", "least_min")], names=["prefix", "n", "impact", "least"])
+
+    def made(block: int | None, parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            found = summed(parts)
+            yield from found.add_column(1, "block", pa.array(np.full(found.num_rows, block))).to_batches()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for batch in batches:
+            for rows in _pieces(batch, "block"):
+                ids, length = rows["id"], rows["length"].to_numpy()
+                if block != (own := rows["block"][0].as_py()):
+                    yield from made(block, parts)
+                    block, parts = own, []
+                for at, prefix, f in _prefixed(rows):
+                    parts.append(pa.table([prefix, pa.array(np.ones(len(at), dtype=np.int64)), pa.array(saturation(f, length[at], mean)), ids.take(pa.array(at))], names=["prefix", "n", "impact", "least"]))
+                parts = [summed(parts)]
+        yield from made(block, parts)
+
+    return work
+
+
+def write(spark: SparkSession, folder: str) -> None:
+    """Builds the tables beside the index of a catalog's stored version. Rows move as wholes, once for terms and once for
+    prefixes; what is counted of a block is counted in one task."""
+    index = Index.read(spark, f"{folder}/index")
     n_rows, n_tokens = index.totals.first()
-    mean = F.lit(n_tokens / n_rows if n_rows and n_tokens else 1.0)
-    put = lambda df, name: _put(df, f"{path}/{name}")
-    of = lambda name: spark.read.parquet(f"{path}/{name}")
-    size = F.floor(F.log(F.col("length")) / F.log(F.lit(LENGTH_RATIO)))
-    spans = index.lengths.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))  # a hundred lengths' classes at most
-    part = F.floor((F.col("id") - F.col("low")) / F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1.0) * BLOCK_ROWS / F.col("n")))
-    lengths = index.lengths.withColumn("size", size).join(F.broadcast(spans), "size").select("id", "length", (F.col("size") * (1 << 40) + part).cast("long").alias("block"))
-    placed = index.terms.join(lengths, "id").select("term", "block", "id", "weight", "length")
-    put(placed.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "id"), "postings")
-    postings = of("postings")
-
-    def by_block() -> None:
-        put(postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(saturation(F.col("weight"), F.col("length"), mean)).alias("impact"), F.min("id").alias("least")).repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "blocks")
+    mean = n_tokens / n_rows if n_rows and n_tokens else 1.0
+    put = lambda df, name: _put(df, f"{folder}/ranked/{name}")
+    of = lambda name: spark.read.parquet(f"{folder}/ranked/{name}")
+    kind = index.rows.schema["id"].dataType.simpleString()
+    with store.swept(spark):
+        near = blocked(index.rows)
+        each = told_apart(near, "block", "length")
+        put(each.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(saturation(F.col("weight"), F.col("length"), F.lit(mean))).alias("impact"), F.min("id").alias("least")).sortWithinPartitions("term", "block"), "blocks")
         put(of("blocks").groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), "dictionary")
+        put(near.drop("ns").sortWithinPartitions("block").mapInArrow(_started(mean), f"prefix string, block long, n long, impact double, least {kind}").sortWithinPartitions("prefix", "block"), "starts")
+        put(of("starts").groupBy("prefix").agg(F.sum("n").alias("df")).repartitionByRange("prefix").sortWithinPartitions("prefix"), "prefixes")
+        put(index.totals.coalesce(1), "totals")
 
-    def by_prefix() -> None:
-        shares = store.cut(_held(postings).groupBy("prefix", "block").agg(F.count("*").alias("n"), F.max(saturation(F.col("f"), F.col("length"), mean)).alias("impact"), F.min("id").alias("least")))
-        put(shares.drop("n").repartitionByRange("prefix", "block").sortWithinPartitions("prefix", "block"), "starts")
-        put(shares.groupBy("prefix").agg(F.sum("n").alias("df")).repartitionByRange("prefix").sortWithinPartitions("prefix"), "prefixes")
-
-    together(by_block, by_prefix)
-    put(index.totals.coalesce(1), "totals")
 
-
-def write_completions(spark: SparkSession, path: str) -> None:
+def write_completions(spark: SparkSession, folder: str) -> None:
     """Adds the best rows of each prefix to the stored tables: ids alone, as a text stands in as many lists as it has prefixes."""
-    tables = Blocks.read(spark, path)
+    tables, rows = Blocks.read(spark, folder), Index.read(spark, f"{folder}/index").rows
     n_rows, n_tokens = tables.totals.first()
     mean = F.lit(n_tokens / n_rows if n_rows and n_tokens else 1.0)
     score = F.round(-idf_of(F.col("df"), F.lit(n_rows)) * saturation(F.col("f"), F.col("length"), mean), 9)
-    scored = _held(tables.postings).join(tables.prefixes, "prefix").select("prefix", "id", score.alias("score"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    held = rows.mapInArrow(_held, f"id {kinds['id']}, prefix string, f double, length long")
+    scored = held.join(tables.prefixes, "prefix").select("prefix", "id", score.alias("score"))
     best = best_first(scored, "prefix", ["score", "id"], COMPLETIONS)
-    _put(best.select("prefix", "rank", "score", "id").repartitionByRange("prefix").sortWithinPartitions("prefix", "rank"), f"{path}/completions")
+    with store.swept(spark):
+        _put(best.select("prefix", "rank", "score", "id").repartitionByRange("prefix").sortWithinPartitions("prefix", "rank"), f"{folder}/ranked/completions")
 
 
 def complete(tables: Blocks, index: Index, books: DataFrame, text: str, limit: int = 8) -> DataFrame:
@@ -191,8 +218,8 @@ class Search:
         most = F.round("bound", 9)
         could = F.col("reach").isNull() | (most > F.col("reach")) | ((most == F.col("reach")) & (F.col("least") < F.col("last")))
         rest = self.bounds.join(self.begun, ["query_id", "block"], "left_anti").join(ends, "query_id", "left").where(could).select("query_id", "block")
-        few = rest.limit(NAMED + 1).collect()
-        self.rest = local(few, "query_id string, block long") if len(few) <= NAMED else store.cut(rest)
+        few = rest.limit(SMALL + 1).collect()
+        self.rest = local(few, "query_id string, block long") if len(few) <= SMALL else store.cut(rest)
         self.read = self.begun.unionByName(self.rest)
         self.found = scored.unionByName(self._scored(self.rest)) if few else scored
 
@@ -202,11 +229,15 @@ class Search:
 
     def _matched(self) -> DataFrame:
         """query_id, phrase, needed, term and its df: which terms stand for which words."""
-        near = self.tables.dictionary.where(reach("term", self.words))
+        return self._standing(self.tables.dictionary).select("query_id", "phrase", "needed", "term", "df", "word", "prefix")
+
+    def _standing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose term stands for a word, once for each phrase with it; they are not moved while the phrases are few."""
+        near = rows.where(reach("term", self.words))
         lengths = sorted({len(w) for w, prefix in self.words if prefix})
         cut = F.array(*[F.struct(F.lit(True).alias("prefix"), F.substring("term", 1, n).alias("word")) for n in lengths], F.struct(F.lit(False).alias("prefix"), F.col("term").alias("word")))
-        each = near.select("term", "df", F.explode(F.array_distinct(cut)).alias("x")).select("term", "df", "x.prefix", "x.word")
-        return each.join(self.phrases, ["word", "prefix"]).select("query_id", "phrase", "needed", "term", "df", "word", "prefix")
+        each = near.select(*rows.columns, F.explode(F.array_distinct(cut)).alias("x")).select(*rows.columns, "x.prefix", "x.word")
+        return each.join(self.phrases, ["word", "prefix"])
 
     def _weights(self) -> DataFrame:
         """query_id, phrase, idf and the mean length; frequencies come from the dictionary and the prefix table, and
@@ -236,10 +267,8 @@ class Search:
     def _scored(self, blocks: DataFrame) -> DataFrame:
         """query_id, id, score, rounded of the rows in the blocks that hold all words."""
         named = [r.block for r in blocks.select("block").distinct().limit(NAMED + 1).collect()]
-        near = self.tables.postings.where(reach("term", self.words))
-        if len(named) <= NAMED:
-            near = near.where(F.col("block").isin(named))
-        own = near.join(self.matched.select("query_id", "phrase", "needed", "term"), "term").join(blocks, ["query_id", "block"])
+        near = self.tables.postings.where(F.col("block").isin(named)) if len(named) <= NAMED else self.tables.postings
+        own = self._standing(near).join(blocks, ["query_id", "block"])
         f = own.groupBy("query_id", "needed", "phrase", "id").agg(F.sum("weight").alias("f"), F.first("length").alias("length"))
         part = F.col("idf") * saturation(F.col("f"), F.col("length"), F.col("mean"))
         out = f.join(self.weights, ["query_id", "phrase"]).groupBy("query_id", "needed", "id").agg((-F.sum(part)).alias("score"), F.count("*").alias("held")).where("held = needed")
@@ -251,7 +280,9 @@ def search_top(tables: Blocks, books: DataFrame, query: str, category: str = "",
     """The page of ``search`` for a query with searchable words."""
     limit, offset = clamp(limit), max(0, offset)
     wanted = books.where(F.col("category") == category) if category else books
-    found = Search(tables, {"q": query}, limit + offset, wanted if category else None)
-    page = found.top().where(F.col("rank") > offset)
-    ids = [r.id for r in page.select("id").collect()]  # a page at most
-    return page.join(wanted.where(F.col("id").isin(ids)).select(*SEARCH_COLUMNS), "id").select(*SEARCH_COLUMNS, "score").orderBy("score", "id")
+    with store.swept(books.sparkSession):
+        found = Search(tables, {"q": query}, limit + offset, wanted if category else None)
+        page = found.top().where(F.col("rank") > offset)
+        rows = page.collect()  # a page at most
+    page = F.broadcast(books.sparkSession.createDataFrame(rows, page.schema))
+    return page.join(wanted.where(F.col("id").isin([r.id for r in rows])).select(*SEARCH_COLUMNS), "id").select(*SEARCH_COLUMNS, "score").orderBy("score", "id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -114,13 +116,25 @@ def publish(tables: dict[str, DataFrame], path: str, keep: int = 2, prepare=None
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below the shared folder and reads it back, so that later jobs do not run it again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def cut(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
+    """Writes ``df`` to ``path`` or below the shared folder and reads it back, so that later jobs do not run it again."""
+    path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Inside, a job's shuffle files go as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the intermediate tables, catalogs, captures and streams that queries left in the shared folder; call it when no
     result is pending."""
